@@ -439,16 +439,16 @@ _SELECTS: dict[str, str] = {
     "r12_kpi_long_plan_churn": f"""select plan_type, users, churn_rate,
         cast(churn_rate::decimal(9,2) - 11.95 as double) as above_conservative_target,
         cast(churn_rate::decimal(9,2) - 3.83 as double) as above_best_case
-        from ({_segments("cohort", "plan_type")}) where plan_type in ('Quarterly', 'Long-term')""",
+        from ({_segments("(select * from cohort where payment_plan_days > 30)", "plan_type")})""",
     "r13_kpi_manual_to_auto": f"""select count(*) as manual_users,
         count(*) filter (converted) as converted,
         {_pct('count(*) filter (converted)', 'count(*)')} as conversion_pct
         from (select m.msno, bool_or(a.transaction_date > m.transaction_date) is true as converted
               from (select msno, min(transaction_date) as transaction_date from transactions
-                    where payment_plan_days = 30 and is_auto_renew = 0
+                    where payment_plan_days > 7 and payment_plan_days <= 30 and is_auto_renew = 0
                       and transaction_date <= date '2000-12-31' group by msno) m
               left join (select * from transactions
-                    where payment_plan_days = 30 and is_auto_renew = 1
+                    where payment_plan_days > 7 and payment_plan_days <= 30 and is_auto_renew = 1
                       and transaction_date <= date '2000-12-31') a on a.msno = m.msno
               group by m.msno)""",
     "r14_test_vs_control_rate": f"""select test_users, test_rate, control_users, control_rate,
@@ -463,9 +463,13 @@ _SELECTS: dict[str, str] = {
 }
 
 
-def statements() -> dict[str, str]:
-    """Query name to a complete statement."""
-    shared = f"with {TABLES},{BLOCKS}"
+def statements(tables: str = TABLES + ",") -> dict[str, str]:
+    """Query name to a complete statement.
+
+    With `tables=""` the statements read relations train, members, transactions and user_logs that
+    the connection already has.
+    """
+    shared = f"with {tables}{BLOCKS}"
     result = {name: f"{shared}\n{select}" for name, select in _SELECTS.items()}
     result["b1_tie_report"] = f"{shared},{_TIED}"
     result["a26_retention_scenario"] = f"{shared},\n{_scenario('cohort')}\n{_SCENARIO_LINES}"

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from functools import reduce
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,11 +16,16 @@ from .plans import coverage, features, kpi, renewal, scenario, usage
 from .session import scratch_path
 from .sources import tables as io
 from .sources.derived import CONFIG as CFG
-from .sources.derived import StarSchema, star_tables
+from .sources.derived import StarSchema
 from .sources.schemas import CLEAN, DATE_COLUMNS, RAW
 
 Query = Callable[[SparkSession, str], DataFrame]
+TableQuery = Callable[[io.Tables], DataFrame]
+
+# Every query by name, over a folder of generated tables.
 QUERIES: dict[str, Query] = {}
+# Those of them that start from the four cleaned tables, wherever these come from.
+TABLE_QUERIES: dict[str, TableQuery] = {}
 
 
 def _plain(df: DataFrame) -> DataFrame:
@@ -28,16 +34,39 @@ def _plain(df: DataFrame) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("double") for c in decimals}) if decimals else df
 
 
+# The tables of a folder are opened once per session; this holds plans and file lists, no rows.
+_OPEN: WeakKeyDictionary[SparkSession, dict[str, tuple[StarSchema, io.Tables]]] = (
+    WeakKeyDictionary()
+)
+
+
+def _open(spark: SparkSession, folder: str) -> tuple[StarSchema, io.Tables]:
+    folders = _OPEN.setdefault(spark, {})
+    if folder not in folders:
+        star = StarSchema(spark, folder)
+        folders[folder] = star, io.Tables(star.clean)
+    return folders[folder]
+
+
+def _star(spark: SparkSession, folder: str) -> StarSchema:
+    return _open(spark, folder)[0]
+
+
+def _tables(spark: SparkSession, folder: str) -> io.Tables:
+    return _open(spark, folder)[1]
+
+
 def _add(name: str, query: Query) -> None:
     QUERIES[name] = lambda spark, folder: _plain(query(spark, folder))
 
 
-def _on_clean(name: str, query: Callable[[io.Tables], DataFrame]) -> None:
-    _add(name, lambda spark, folder: query(star_tables(spark, folder)))
+def _on_clean(name: str, query: TableQuery) -> None:
+    TABLE_QUERIES[name] = lambda t: _plain(query(t))
+    _add(name, lambda spark, folder: query(_tables(spark, folder)))
 
 
 def _on_raw(name: str, table: str, query: Callable[[DataFrame], DataFrame]) -> None:
-    _add(name, lambda spark, folder: query(StarSchema(spark, folder).raw(table)))
+    _add(name, lambda spark, folder: query(_star(spark, folder).raw(table)))
 
 
 def _on_features(name: str, query: Callable[[DataFrame], DataFrame]) -> None:
@@ -50,7 +79,7 @@ def _read_back(table: str, fmt: str) -> Query:
     """Deliver the raw table as a file, then read the file under its declared schema."""
     def query(spark: SparkSession, folder: str) -> DataFrame:
         path = scratch_path(spark, f"raw_{table}")
-        writer = StarSchema(spark, folder).raw(table).write.format(fmt)
+        writer = _star(spark, folder).raw(table).write.format(fmt)
         if fmt == "csv":
             writer = writer.option("header", True)
         writer.save(path)
@@ -60,7 +89,7 @@ def _read_back(table: str, fmt: str) -> Query:
 
 def _stored_usage(spark: SparkSession, folder: str) -> DataFrame:
     path = scratch_path(spark, "user_logs")
-    io.write_clean(star_tables(spark, folder).user_logs, path, "user_logs")
+    io.write_clean(_tables(spark, folder).user_logs, path, "user_logs")
     stored = io.read_clean(spark, path, "user_logs")
     return stored.groupBy(io.MONTH).agg(
         F.count(F.lit(1)).alias("rows"), F.min("date").alias("first_day"),
@@ -70,17 +99,17 @@ def _stored_usage(spark: SparkSession, folder: str) -> DataFrame:
 
 def _stored_features(spark: SparkSession, folder: str) -> DataFrame:
     path = scratch_path(spark, "features")
-    io.write_features(features.user_features(star_tables(spark, folder), CFG), path)
+    io.write_features(features.user_features(_tables(spark, folder), CFG), path)
     return spark.read.parquet(path)
 
 
 def _union_raw(spark: SparkSession, folder: str) -> DataFrame:
-    star = StarSchema(spark, folder)
+    star = _star(spark, folder)
     return io.union_usage(star.raw("usage_full"), star.raw("usage_increment"))
 
 
 def _reconcile(spark: SparkSession, folder: str) -> DataFrame:
-    star = StarSchema(spark, folder)
+    star = _star(spark, folder)
     increment = star.clean("usage_increment")
     combined = io.union_usage(star.clean("usage_full"), increment)
     return profile.reconcile_month(combined, increment, "date")

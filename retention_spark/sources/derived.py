@@ -43,9 +43,12 @@ class StarSchema:
 
     def __init__(self, spark: SparkSession, folder: str, cfg: AnalysisConfig = CONFIG):
         self.spark, self.folder, self.cfg = spark, folder, cfg
+        self._opened: dict[str, DataFrame] = {}
 
     def _read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        if name not in self._opened:
+            self._opened[name] = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return self._opened[name]
 
     def train(self) -> DataFrame:
         day = F.to_date("o_orderdate")
