@@ -369,6 +369,7 @@ _SELECTS: dict[str, str] = {
         count(*) filter (is_cancel = 1) as latest_is_cancel from rated r where rate4 > 10000""",
     # Feature table
     "u1_user_features": _FEATURES,
+    "u1_user_features_prepared": _FEATURES,
     "u1a_total_listen_mins": "select msno, mins2 / 100.0 as total_listen_mins from features",
     "u1b_total_songs": "select msno, total_songs from features",
     "u1c_skipped_songs": "select msno, skipped_songs from features",

@@ -13,6 +13,7 @@ from pyspark.sql.types import DecimalType
 from .functions.buckets import plan_type
 from .operators import blocks, clean, profile
 from .plans import coverage, features, kpi, renewal, scenario, usage
+from .plans.prepare import exposed_cohort, latest_payments, prepare, user_usage
 from .session import scratch_path
 from .sources import tables as io
 from .sources.derived import CONFIG as CFG
@@ -190,19 +191,19 @@ _on_clean("p19_duplicate_keys", lambda t: profile.duplicate_keys(t.transactions,
 
 # Building blocks
 
-_on_clean("b1_latest_as_of", lambda t: blocks.latest_as_of(t.transactions, CFG.cut))
+_on_clean("b1_latest_as_of", lambda t: latest_payments(t, CFG))
 _on_clean("b1_tie_report", lambda t: blocks.tie_report(t.transactions, CFG.cut))
-_on_clean("b2_exposure", lambda t: coverage.exposed_cohort(t, CFG).select(
+_on_clean("b2_exposure", lambda t: exposed_cohort(t, CFG).select(
     blocks.USER, "start_date", "end_date", "possible_exposure_days"))
-_on_clean("b3_active_days", lambda t: blocks.active_days(t.train, t.user_logs, CFG))
+_on_clean("b3_active_days", lambda t: blocks.active_days(t.train, user_usage(t, CFG)))
 _on_clean("b4_active_days_clipped", lambda t: blocks.active_days_clipped(
-    t.train, coverage.exposed_cohort(t, CFG), t.user_logs, CFG))
+    t.train, exposed_cohort(t, CFG), user_usage(t, CFG), CFG))
 _on_clean("b5_rate", lambda t: blocks.with_rate(
-    blocks.active_days(t.train, t.user_logs, CFG)
-    .join(coverage.exposed_cohort(t, CFG), blocks.USER)
+    blocks.active_days(t.train, user_usage(t, CFG))
+    .join(exposed_cohort(t, CFG), blocks.USER)
 ).select(blocks.USER, "active_days", "possible_exposure_days", "active_day_rate"))
-_on_clean("b6_silent", lambda t: blocks.silent(t.train, t.user_logs, CFG))
-_on_clean("b7_listened", lambda t: blocks.listened(t.user_logs, CFG))
+_on_clean("b6_silent", lambda t: blocks.silent(t.train, user_usage(t, CFG)))
+_on_clean("b7_listened", lambda t: blocks.listened(user_usage(t, CFG)))
 _on_clean("b8_segment_rate", lambda t: blocks.segment_rate(
     renewal.paying_cohort(t, CFG), ["payment_plan_days", "is_cancel"]))
 _on_clean("b9_bucket", lambda t: t.transactions.groupBy(
@@ -222,6 +223,8 @@ _on_clean("q7_rate_sanity_diagnosis", lambda t: coverage.rate_sanity_diagnosis(t
 # Feature table
 
 _on_features("u1_user_features", lambda df: df)
+_add("u1_user_features_prepared", lambda spark, folder: features.user_features(
+    prepare(spark, _tables(spark, folder), CFG), CFG))
 _on_features("u1a_total_listen_mins", lambda df: df.select(blocks.USER, "total_listen_mins"))
 _on_features("u1b_total_songs", lambda df: df.select(blocks.USER, "total_songs"))
 _on_features("u1c_skipped_songs", lambda df: df.select(blocks.USER, "skipped_songs"))

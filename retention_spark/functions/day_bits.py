@@ -43,7 +43,10 @@ def count_days(words: list[Column]) -> Column:
 
 
 def count_days_between(words: list[Column], start: date, first: Column, last: Column) -> Column:
-    """Number of days of the set inside the interval [first, last] of each row."""
+    """Number of days of the set inside the interval [first, last] of each row.
+
+    An interval with an unknown end, or one that ends before it starts, holds no day.
+    """
     kept = []
     for number, word in enumerate(words):
         base = number * WORD
@@ -52,6 +55,8 @@ def count_days_between(words: list[Column], start: date, first: Column, last: Co
         ones = F.call_function(
             "shiftrightunsigned", F.lit(-1).cast("bigint"), WORD - 1 - (high - low)
         )
-        mask = F.when(low <= high, F.call_function("shiftleft", ones, low))
+        # greatest and least pass over NULL, so unknown ends are kept out by the first test.
+        holds_days = (first <= last) & (low <= high)
+        mask = F.when(holds_days, F.call_function("shiftleft", ones, low))
         kept.append(word.bitwiseAND(mask))
     return count_days(kept)

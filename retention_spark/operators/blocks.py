@@ -144,19 +144,18 @@ def usage_by_user(logs: DataFrame, cfg: AnalysisConfig) -> DataFrame:
     )
 
 
-def cohort_usage(train: DataFrame, logs: DataFrame, cfg: AnalysisConfig,
-                 listeners_only: bool = False) -> DataFrame:
+def cohort_usage(train: DataFrame, usage: DataFrame, listeners_only: bool = False) -> DataFrame:
     """The cohort with its usage sums; users without usage keep 0 active days unless dropped."""
-    joined = train.join(usage_by_user(logs, cfg), USER, "inner" if listeners_only else "left")
+    joined = train.join(usage, USER, "inner" if listeners_only else "left")
     return joined.withColumn("active_days", F.coalesce("active_days", F.lit(0).cast("bigint")))
 
 
-def active_days(train: DataFrame, logs: DataFrame, cfg: AnalysisConfig) -> DataFrame:
+def active_days(train: DataFrame, usage: DataFrame) -> DataFrame:
     """Active days of every cohort user inside the whole window."""
-    return cohort_usage(train, logs, cfg).select(USER, "is_churn", "active_days")
+    return cohort_usage(train, usage).select(USER, "is_churn", "active_days")
 
 
-def active_days_clipped(train: DataFrame, exposed: DataFrame, logs: DataFrame,
+def active_days_clipped(train: DataFrame, exposed: DataFrame, usage: DataFrame,
                         cfg: AnalysisConfig) -> DataFrame:
     """Active days of every exposed cohort user inside the user's own exposure interval.
 
@@ -169,7 +168,7 @@ def active_days_clipped(train: DataFrame, exposed: DataFrame, logs: DataFrame,
     intervals = exposed.select(USER, "start_date", "end_date", "possible_exposure_days")
     return (
         train.join(intervals, USER)
-        .join(usage_by_user(logs, cfg).select(USER, *_words(cfg)), USER, "left")
+        .join(usage.select(USER, *_words(cfg)), USER, "left")
         .select(USER, "is_churn", "possible_exposure_days", days.alias("active_days"))
     )
 
@@ -193,14 +192,14 @@ def with_rate(df: DataFrame) -> DataFrame:
     )
 
 
-def listened(logs: DataFrame, cfg: AnalysisConfig) -> DataFrame:
+def listened(usage: DataFrame) -> DataFrame:
     """Users with at least one usage row in the window, active or not."""
-    return in_window(logs, cfg).select(USER).distinct()
+    return usage.select(USER)
 
 
-def silent(train: DataFrame, logs: DataFrame, cfg: AnalysisConfig) -> DataFrame:
+def silent(train: DataFrame, usage: DataFrame) -> DataFrame:
     """Cohort users without any usage row in the window."""
-    return train.join(listened(logs, cfg), USER, "left_anti")
+    return train.join(listened(usage), USER, "left_anti")
 
 
 # Segments

@@ -12,15 +12,13 @@ from ..operators.blocks import (
     USER,
     cohort_usage,
     days_active_after,
-    exposure,
-    latest_as_of,
     listened,
     segment_rate,
     silent,
-    usage_by_user,
     with_rate,
 )
 from ..sources.tables import Tables
+from .prepare import exposed_cohort, latest_payments, user_usage
 
 
 def _flagged(df: DataFrame, flag: str) -> DataFrame:
@@ -37,9 +35,8 @@ def member_coverage(t: Tables) -> DataFrame:
 
 def coverage_status(t: Tables, cfg: AnalysisConfig) -> DataFrame:
     """Why a user cannot be analysed: no payment, no member row, or both."""
-    paid = t.transactions.filter(F.col("transaction_date") <= F.lit(cfg.cut)).select(USER)
     joined = (
-        t.train.join(_flagged(paid.distinct(), "paid"), USER, "left")
+        t.train.join(_flagged(latest_payments(t, cfg), "paid"), USER, "left")
         .join(_flagged(t.members, "member"), USER, "left")
     )
     no_payment, no_member = F.col("paid").isNull(), F.col("member").isNull()
@@ -55,11 +52,6 @@ def coverage_status(t: Tables, cfg: AnalysisConfig) -> DataFrame:
     return rates.orderBy(F.desc("users"), "status")
 
 
-def exposed_cohort(t: Tables, cfg: AnalysisConfig) -> DataFrame:
-    """Latest payment with its exposure interval, for users with a member row."""
-    return exposure(latest_as_of(t.transactions, cfg.cut), t.members, cfg)
-
-
 def analysable_status(t: Tables, cfg: AnalysisConfig) -> DataFrame:
     """Users kept for the exposure analyses and users dropped from them."""
     days = exposed_cohort(t, cfg).select(
@@ -83,7 +75,7 @@ def usage_coverage(t: Tables, cfg: AnalysisConfig) -> DataFrame:
     so no distinct count runs over the joined rows.
     """
     cohort = t.train.groupBy(USER).agg(F.count(F.lit(1)).alias("copies"))
-    heard = _flagged(listened(t.user_logs, cfg), "heard")
+    heard = _flagged(listened(user_usage(t, cfg)), "heard")
     missing = F.col("heard").isNull()
     return cohort.join(heard, USER, "left").agg(
         F.count(USER).alias("in_train"),
@@ -94,13 +86,13 @@ def usage_coverage(t: Tables, cfg: AnalysisConfig) -> DataFrame:
 
 def silent_rate(t: Tables, cfg: AnalysisConfig) -> DataFrame:
     """Users without usage in the window and their churn."""
-    return silent(t.train, t.user_logs, cfg).agg(
+    return silent(t.train, user_usage(t, cfg)).agg(
         F.count(F.lit(1)).alias("no_history"), label_percent("is_churn").alias("churn_rate_pct")
     )
 
 
 def _rated(t: Tables, cfg: AnalysisConfig) -> DataFrame:
-    days = cohort_usage(t.train, t.user_logs, cfg)
+    days = cohort_usage(t.train, user_usage(t, cfg))
     return with_rate(days.join(exposed_cohort(t, cfg), USER))
 
 

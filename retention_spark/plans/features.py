@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from ..config import AnalysisConfig
 from ..functions.exact import round_ratio
 from ..functions.listening import minutes
-from ..operators.blocks import USER, cohort_usage, exposure, latest_as_of, with_rate
+from ..operators.blocks import USER, cohort_usage, with_rate
 from ..sources.tables import Tables
+from .prepare import exposed_cohort, user_usage
 
 
 def user_features(t: Tables, cfg: AnalysisConfig) -> DataFrame:
@@ -19,9 +20,8 @@ def user_features(t: Tables, cfg: AnalysisConfig) -> DataFrame:
     Users without usage have NULL totals but 0 for the per-day and per-song ratios. Rates are
     decimals; buckets are left to the consumer.
     """
-    usage = cohort_usage(t.train, t.user_logs, cfg)
-    payments = latest_as_of(t.transactions, cfg.cut)
-    users = with_rate(usage.join(exposure(payments, t.members, cfg), USER))
+    usage = cohort_usage(t.train, user_usage(t, cfg))
+    users = with_rate(usage.join(exposed_cohort(t, cfg), USER))
     active, songs = F.col("active_days"), F.col("total_songs")
     total_ms = F.col("total_ms")
     per_day = F.when(active > 0, F.round(minutes(total_ms, active), 2)).otherwise(0)

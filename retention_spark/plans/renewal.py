@@ -8,14 +8,15 @@ from pyspark.sql import functions as F
 from ..config import AnalysisConfig
 from ..functions.buckets import plan_type
 from ..functions.exact import label_percent
-from ..operators.blocks import USER, latest_as_of, listened, segment_rate, silent
+from ..operators.blocks import USER, listened, segment_rate, silent
 from ..sources.tables import Tables
+from .prepare import latest_payments, user_usage
 
 
 def paying_cohort(t: Tables, cfg: AnalysisConfig, cohort: DataFrame | None = None) -> DataFrame:
     """Latest payment of every cohort user who has one, with the label."""
     cohort = t.train if cohort is None else cohort
-    return latest_as_of(t.transactions, cfg.cut).join(cohort, USER)
+    return latest_payments(t, cfg).join(cohort, USER)
 
 
 def renewal_churn(t: Tables, cfg: AnalysisConfig) -> DataFrame:
@@ -25,13 +26,13 @@ def renewal_churn(t: Tables, cfg: AnalysisConfig) -> DataFrame:
 
 def silent_renewal_churn(t: Tables, cfg: AnalysisConfig) -> DataFrame:
     """The same for users without any usage row."""
-    cohort = silent(t.train, t.user_logs, cfg)
+    cohort = silent(t.train, user_usage(t, cfg))
     return segment_rate(paying_cohort(t, cfg, cohort), ["is_auto_renew"])
 
 
 def listener_renewal_churn(t: Tables, cfg: AnalysisConfig) -> DataFrame:
     """The same for users with at least one usage row."""
-    cohort = t.train.join(listened(t.user_logs, cfg), USER, "left_semi")
+    cohort = t.train.join(listened(user_usage(t, cfg)), USER, "left_semi")
     return segment_rate(paying_cohort(t, cfg, cohort), ["is_auto_renew"])
 
 

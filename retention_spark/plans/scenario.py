@@ -63,19 +63,22 @@ def scenario_by_plan(users: DataFrame, cfg: AnalysisConfig) -> DataFrame:
 def with_total(results: DataFrame) -> DataFrame:
     """The plan types and their total, from one pass; sums are taken before any rounding.
 
-    The total has no revenue per user.
+    The total has no revenue per user, and is there even when no plan type is. Only the
+    few finished lines, one per plan type, are brought together.
     """
-    is_total = F.grouping("plan_type") == 1
-    measures = [
-        "users", "today_usd",
-        *[c for s in SCENARIOS for c in (f"retained_{s}", f"annual_{s}_usd")],
-    ]
-    return results.rollup("plan_type").agg(
-        F.when(is_total, TOTAL).otherwise(F.first("plan_type")).alias("name"),
-        F.when(~is_total, F.max("annual_revenue_per_user_usd"))
-        .alias("annual_revenue_per_user_usd"),
-        *[F.sum(c).alias(c) for c in measures],
-    ).withColumn("plan_type", F.col("name"))
+    def total(name: str) -> Column:
+        if name == "plan_type":
+            return F.lit(TOTAL)
+        if name == "annual_revenue_per_user_usd":
+            return F.lit(None)
+        return F.sum(name)
+
+    line = F.struct(*[
+        total(f.name).cast(f.dataType).alias(f.name) for f in results.schema.fields
+    ])
+    return results.agg(
+        F.collect_list(F.struct(*results.columns)).alias("lines"), line.alias("total")
+    ).select(F.inline(F.concat("lines", F.array("total"))))
 
 
 def retention_scenario(t: Tables, cfg: AnalysisConfig) -> DataFrame:

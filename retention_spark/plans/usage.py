@@ -21,7 +21,7 @@ from ..operators.blocks import (
 )
 from ..operators.median import grouped_median
 from ..sources.tables import Tables
-from .coverage import exposed_cohort
+from .prepare import exposed_cohort, user_usage
 
 LABEL = "is_churn"
 MEDIAN_CELL = Decimal("0.01")  # minutes
@@ -29,7 +29,7 @@ MEDIAN_CELL = Decimal("0.01")  # minutes
 
 def listening_time_by_label(t: Tables, cfg: AnalysisConfig) -> DataFrame:
     """Mean minutes per listener; every listener counts once."""
-    users = cohort_usage(t.train, t.user_logs, cfg, listeners_only=True)
+    users = cohort_usage(t.train, user_usage(t, cfg), listeners_only=True)
     return users.groupBy(LABEL).agg(
         exact_mean(F.col("total_ms"), MS_PER_MINUTE).alias("avg_listen_time_min")
     )
@@ -37,7 +37,7 @@ def listening_time_by_label(t: Tables, cfg: AnalysisConfig) -> DataFrame:
 
 def skip_rate_by_label(t: Tables, cfg: AnalysisConfig) -> DataFrame:
     """Mean share of skipped songs per listener, in percent."""
-    users = cohort_usage(t.train, t.user_logs, cfg, listeners_only=True).filter("total_songs > 0")
+    users = cohort_usage(t.train, user_usage(t, cfg), listeners_only=True).filter("total_songs > 0")
     share = decimal_ratio(F.col("skipped_songs"), F.col("total_songs"))
     return users.groupBy(LABEL).agg(
         F.count(USER).alias("no_users"), F.round(F.avg(share) * 100, 2).alias("avg_skip_rate")
@@ -46,7 +46,7 @@ def skip_rate_by_label(t: Tables, cfg: AnalysisConfig) -> DataFrame:
 
 def active_rate_by_label(t: Tables, cfg: AnalysisConfig) -> DataFrame:
     """Mean active-day rate; active days of the whole window."""
-    days = active_days(t.train, t.user_logs, cfg)
+    days = active_days(t.train, user_usage(t, cfg))
     return with_rate(days.join(exposed_cohort(t, cfg), USER)).groupBy(LABEL).agg(
         F.count(USER).alias("users"),
         exact_mean(F.col("active_day_rate")).alias("avg_active_day_rate"),
@@ -56,7 +56,7 @@ def active_rate_by_label(t: Tables, cfg: AnalysisConfig) -> DataFrame:
 def engagement_tiers(t: Tables, cfg: AnalysisConfig) -> DataFrame:
     """Churn per engagement tier; active days inside each user's own exposure interval."""
     users = with_rate(
-        active_days_clipped(t.train, exposed_cohort(t, cfg), t.user_logs, cfg)
+        active_days_clipped(t.train, exposed_cohort(t, cfg), user_usage(t, cfg), cfg)
     ).withColumn("bucket", engagement_tier(F.col("active_day_rate"), cfg))
     return segment_rate(users, ["bucket"]).orderBy("bucket")
 
@@ -65,7 +65,7 @@ def listening_intensity_by_label(t: Tables, cfg: AnalysisConfig) -> DataFrame:
     """Mean and median minutes per active day, over minutes of active rows only."""
     per_day = minutes(F.col("active_ms"), F.col("active_days"))
     users = (
-        cohort_usage(t.train, t.user_logs, cfg, listeners_only=True)
+        cohort_usage(t.train, user_usage(t, cfg), listeners_only=True)
         .filter("active_days > 0")
         .select(LABEL, per_day.alias("per_day"))
     )
