@@ -1,4 +1,4 @@
-"""Exact median per group without gathering a group."""
+"""Count, mean and exact median per group without gathering a group."""
 
 from __future__ import annotations
 
@@ -6,12 +6,13 @@ from collections.abc import Sequence
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def grouped_median(df: DataFrame, keys: Sequence[str], value: str, width: object) -> DataFrame:
-    """Exact median (mean of the two middle values) of a decimal column per group.
+def grouped_mean_median(df: DataFrame, keys: Sequence[str], value: str,
+                        width: object) -> DataFrame:
+    """Per group: count, mean and exact median (mean of the two middle values) of a decimal column.
 
     `median` and `percentile` keep every distinct value of a group in one task's memory. Here equal
     values are counted first, a histogram of cells `width` wide finds the one or two cells that
@@ -23,39 +24,45 @@ def grouped_median(df: DataFrame, keys: Sequence[str], value: str, width: object
     values = (
         df.filter(F.col(value).isNotNull())
         .groupBy(*keys, F.col(value).alias("value"))
-        .agg(F.count(F.lit(1)).alias("n"))
+        .agg(F.count(F.lit(1)).alias("n"), F.sum(value).alias("sum"))
         .withColumn("cell", F.floor(F.col("value") / F.lit(width)))
     )
 
-    running = Window.partitionBy(*keys).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    whole = Window.partitionBy(*keys)
-    total, two = F.col("total"), F.lit(2)
-    low_rank = F.call_function("div", total + 1, two)
-    high_rank = F.call_function("div", total, two) + 1
+    upto_here = (Window.unboundedPreceding, Window.currentRow)
+    group = Window.partitionBy(*keys)
+    total, two = F.col("count"), F.lit(2)
     cells = (
-        values.groupBy(*keys, "cell").agg(F.sum("n").alias("n"))
-        .withColumn("below", F.sum("n").over(running.orderBy("cell")) - F.col("n"))
-        .withColumn("total", F.sum("n").over(whole))
-        .withColumns({"low_rank": low_rank, "high_rank": high_rank})
+        values.groupBy(*keys, "cell").agg(F.sum("n").alias("n"), F.sum("sum").alias("sum"))
+        .withColumns({
+            "below": F.sum("n").over(group.orderBy("cell").rowsBetween(*upto_here)) - F.col("n"),
+            "count": F.sum("n").over(group),
+            "sum": F.sum("sum").over(group),
+        })
+        .withColumns({
+            "low_rank": F.call_function("div", total + 1, two),
+            "high_rank": F.call_function("div", total, two) + 1,
+        })
         .filter("below < high_rank and below + n >= low_rank")
-        .drop("n", "total")
+        .select(*keys, "cell", "below", "count", "sum", "low_rank", "high_rank")
     )
 
     # Two cells per group are left; AQE measures that side and broadcasts it.
     same = reduce(and_, [F.col(f"v.{k}").eqNullSafe(F.col(f"c.{k}")) for k in [*keys, "cell"]])
-    middle = values.alias("v").join(cells.alias("c"), same).select(
-        *[F.col(f"v.{k}") for k in keys], "v.cell", "v.value", "v.n",
-        "c.below", "c.low_rank", "c.high_rank",
-    )
-    in_cell = Window.partitionBy(*keys, "cell").orderBy("value").rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
-    )
-    upto = F.col("below") + F.sum("n").over(in_cell)
+    middle = values.withColumnRenamed("sum", "own_sum").alias("v").join(
+        cells.alias("c"), same
+    ).select("v.*", "c.below", "c.count", "c.sum", "c.low_rank", "c.high_rank")
+    in_cell = Window.partitionBy(*keys, "cell").orderBy("value").rowsBetween(*upto_here)
+
+    # Taken as sum over count, the value needs the same columns here as in the histogram, and
+    # the shuffle that counts equal values is run once for both.
+    own_value = F.col("own_sum") / F.col("n")
+
+    def at(rank: str) -> Column:
+        return F.min(F.when(F.col("upto") >= F.col(rank), own_value))
+
     return (
-        middle.withColumn("upto", upto).groupBy(*keys)
-        .agg(
-            F.min(F.when(F.col("upto") >= F.col("low_rank"), F.col("value"))).alias("low"),
-            F.min(F.when(F.col("upto") >= F.col("high_rank"), F.col("value"))).alias("high"),
-        )
-        .select(*keys, ((F.col("low") + F.col("high")) / 2).alias("median"))
+        middle.withColumn("upto", F.col("below") + F.sum("n").over(in_cell))
+        .groupBy(*keys, "count", "sum")
+        .agg(((at("low_rank") + at("high_rank")) / 2).alias("median"))
+        .select(*keys, "count", (F.col("sum") / F.col("count")).alias("mean"), "median")
     )

@@ -19,7 +19,7 @@ from ..operators.blocks import (
     segment_rate,
     with_rate,
 )
-from ..operators.median import grouped_median
+from ..operators.median import grouped_mean_median
 from ..sources.tables import Tables
 from .prepare import exposed_cohort, user_usage
 
@@ -69,11 +69,9 @@ def listening_intensity_by_label(t: Tables, cfg: AnalysisConfig) -> DataFrame:
         .filter("active_days > 0")
         .select(LABEL, per_day.alias("per_day"))
     )
-    means = users.groupBy(LABEL).agg(
-        F.count(F.lit(1)).alias("users"),
-        F.round(F.avg("per_day"), 2).alias("avg_mins_per_active_day"),
+    return grouped_mean_median(users, [LABEL], "per_day", MEDIAN_CELL).select(
+        LABEL,
+        F.col("count").alias("users"),
+        F.round("mean", 2).alias("avg_mins_per_active_day"),
+        F.round("median", 2).alias("median_mins_per_active_day"),
     )
-    medians = grouped_median(users, [LABEL], "per_day", MEDIAN_CELL).select(
-        LABEL, F.round("median", 2).alias("median_mins_per_active_day")
-    )
-    return means.join(medians, LABEL, "left")

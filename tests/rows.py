@@ -6,7 +6,7 @@ import random
 from datetime import date, timedelta
 
 from retention_spark.sources.schemas import CLEAN
-from retention_spark.sources.tables import Tables
+from retention_spark.sources.tables import Tables, read_clean, write_clean
 
 WIN_START, WIN_END = date(2000, 10, 1), date(2000, 12, 31)
 
@@ -30,6 +30,14 @@ def tables(spark, train=(), members=(), transactions=(), user_logs=()) -> Tables
     return Tables(lambda name: spark.createDataFrame(list(rows[name]), CLEAN[name]))
 
 
+def stored_tables(spark, folder, **rows) -> Tables:
+    """The same tables written as cleaning writes them and read back."""
+    made = tables(spark, **rows)
+    for table in CLEAN:
+        write_clean(getattr(made, table), f"{folder}/{table}", table)
+    return Tables(lambda table: read_clean(spark, f"{folder}/{table}", table))
+
+
 def random_rows(seed: int, users: int = 300) -> dict[str, list[tuple]]:
     """Users with every kind of gap: missing rows, NULL fields, ties, activity out of bounds."""
     r = random.Random(seed)

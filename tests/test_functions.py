@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from retention_spark.config import AnalysisConfig
 from retention_spark.functions import buckets, day_bits, exact, listening
-from retention_spark.operators.median import grouped_median
+from retention_spark.operators.median import grouped_mean_median
 
 CFG = AnalysisConfig()
 
@@ -108,15 +108,19 @@ def test_median(spark, case):
     }[case]
     rows = [(g, Decimal(v).scaleb(-3)) for g, values in groups.items() for v in values]
     df = spark.createDataFrame(rows, "g int, v decimal(20,3)").repartition(3)
-    got = {row.g: row["median"] for row in
-           grouped_median(df, ["g"], "v", Decimal("0.01")).collect()}
-    assert got == {g: Decimal(median(values)) / 1000 for g, values in groups.items()}
+    rows = grouped_mean_median(df, ["g"], "v", Decimal("0.01")).collect()
+    assert {row.g: row["median"] for row in rows} == {
+        g: Decimal(median(values)) / 1000 for g, values in groups.items()}
+    for row in rows:
+        values = groups[row.g]
+        assert row["count"] == len(values)
+        assert float(row["mean"]) == pytest.approx(sum(values) / len(values) / 1000)
 
 
 def test_median_skips_nulls_and_keeps_null_groups(spark):
     rows = [(None, Decimal(1)), (None, Decimal(3)), (1, None), (2, None), (2, Decimal(7))]
     df = spark.createDataFrame(rows, "g int, v decimal(20,3)")
-    got = {r.g: r["median"] for r in grouped_median(df, ["g"], "v", Decimal(1)).collect()}
+    got = {r.g: r["median"] for r in grouped_mean_median(df, ["g"], "v", Decimal(1)).collect()}
     assert got == {None: 2, 2: 7}
 
 

@@ -12,7 +12,7 @@ from retention_spark.sources.derived import StarSchema
 from retention_spark.sources.schemas import CLEAN
 from retention_spark.sources.tables import Tables
 from tests.conftest import DATA
-from tests.rows import listen, random_rows, tables
+from tests.rows import listen, random_rows, stored_tables, tables
 
 
 def total(df, column="users"):
@@ -24,9 +24,9 @@ def per(df, key, column="users"):
 
 
 @pytest.fixture(scope="module", params=["random", "sf0.01"])
-def t(request, spark):
+def t(request, spark, tmp_path_factory):
     if request.param == "random":
-        return tables(spark, **random_rows(seed=7))
+        return stored_tables(spark, tmp_path_factory.mktemp("rows"), **random_rows(seed=7))
     folder = DATA / request.param
     if not folder.is_dir():
         pytest.skip("generated tables are not available")
