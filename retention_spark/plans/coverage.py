@@ -18,7 +18,7 @@ from ..operators.blocks import (
     with_rate,
 )
 from ..sources.tables import Tables
-from .prepare import exposed_cohort, latest_payments, user_usage
+from .prepare import exposed_cohort, paying_users, user_usage
 
 
 def _flagged(df: DataFrame, flag: str) -> DataFrame:
@@ -36,7 +36,7 @@ def member_coverage(t: Tables) -> DataFrame:
 def coverage_status(t: Tables, cfg: AnalysisConfig) -> DataFrame:
     """Why a user cannot be analysed: no payment, no member row, or both."""
     joined = (
-        t.train.join(_flagged(latest_payments(t, cfg), "paid"), USER, "left")
+        t.train.join(_flagged(paying_users(t, cfg), "paid"), USER, "left")
         .join(_flagged(t.members, "member"), USER, "left")
     )
     no_payment, no_member = F.col("paid").isNull(), F.col("member").isNull()

@@ -8,9 +8,10 @@ for each of them is the whole cost; `prepare` reads it once and stores the reduc
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..config import AnalysisConfig
-from ..operators.blocks import exposure, latest_as_of, usage_by_user
+from ..operators.blocks import USER, exposure, latest_as_of, usage_by_user
 from ..session import scratch_path
 from ..sources.tables import Tables
 
@@ -50,6 +51,14 @@ def latest_payments(t: Tables, cfg: AnalysisConfig) -> DataFrame:
     return latest_as_of(t.transactions, cfg.cut)
 
 
+def paying_users(t: Tables, cfg: AnalysisConfig) -> DataFrame:
+    """Users with a payment up to the cut; no payment has to be ranked to know them."""
+    if isinstance(t, PreparedTables):
+        return latest_payments(t, cfg).select(USER)
+    return t.transactions.filter(F.col("transaction_date") <= F.lit(cfg.cut)).select(
+        USER).distinct()
+
+
 def user_usage(t: Tables, cfg: AnalysisConfig) -> DataFrame:
     """One row per user with usage in the window."""
     if isinstance(t, PreparedTables):

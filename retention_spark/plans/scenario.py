@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import AnalysisConfig
 from ..functions.buckets import plan_type
+from ..functions.exact import round_ratio
 from ..sources.tables import Tables
 from .renewal import paying_cohort
 
@@ -81,6 +84,30 @@ def with_total(results: DataFrame) -> DataFrame:
     ).select(F.inline(F.concat("lines", F.array("total"))))
 
 
+def observed_rates(t: Tables, cfg: AnalysisConfig) -> AnalysisConfig:
+    """The configuration with both target rates measured instead of given.
+
+    The best case is the churn of monthly plans on auto-renew, the cautious one that of monthly
+    plans renewed by hand, both in hundredths of a percent. A rate without users stays as given.
+    One row of two numbers is fetched.
+    """
+    auto = F.col("is_auto_renew") == 1
+    monthly = paying_cohort(t, cfg).filter(
+        plan_type(F.col("payment_plan_days"), cfg) == "Monthly"
+    )
+
+    def rate(who: Column) -> Column:
+        label = F.when(who, F.col("is_churn"))
+        return round_ratio(F.sum(label), F.count(label), 4)
+
+    found = monthly.agg(rate(auto).alias("best"), rate(~auto).alias("cautious")).first()
+    return replace(
+        cfg,
+        optimistic_rate=cfg.optimistic_rate if found.best is None else found.best,
+        conservative_rate=cfg.conservative_rate if found.cautious is None else found.cautious,
+    )
+
+
 def retention_scenario(t: Tables, cfg: AnalysisConfig) -> DataFrame:
     """Users retained and annual revenue per plan type and in total, rounded at the end."""
     results = with_total(scenario_by_plan(paying_cohort(t, cfg), cfg))

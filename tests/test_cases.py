@@ -181,6 +181,18 @@ def test_scenario_without_longer_plans_has_only_an_empty_total(spark):
     assert [(r.plan_type, r.users) for r in rows] == [("TOTAL", None)]
 
 
+def test_target_rates_can_be_measured(spark):
+    t = tables(spark, train=[(f"u{i}", int(i < 2)) for i in range(9)], transactions=[
+        payment(f"u{i}", plan=30, auto=int(i % 2 == 0)) for i in range(6)] + [
+        payment("u6", plan=90), payment("u7", plan=7, auto=1)])
+    found = scenario.observed_rates(t, CFG)
+    assert (found.optimistic_rate, found.conservative_rate) == (
+        Decimal("0.3333"), Decimal("0.3333"))
+    without_auto = tables(spark, train=[("a", 1)], transactions=[payment("a", plan=30)])
+    found = scenario.observed_rates(without_auto, CFG)
+    assert (found.optimistic_rate, found.conservative_rate) == (CFG.optimistic_rate, 1)
+
+
 def test_revenue_today_counts_those_who_stayed(spark):
     table = features.user_features(scenario_users(spark), CFG)
     rows = {r.plan_type: r for r in kpi.features_revenue(table, CFG).collect()}
