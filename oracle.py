@@ -313,10 +313,10 @@ _SELECTS: dict[str, str] = {
     "p13_category_counts_gender":
         "select gender, count(*) as rows from members_raw group by gender",
     "p14_null_vs_blank": """select count(*) filter (gender is null) as true_null,
-        count(*) filter (gender = '') as empty_text from members_raw""",
+        count(*) filter (gender = '') as empty_string from members_raw""",
     "p15_category_counts_city": "select city, count(*) as rows from members_raw group by city",
     "p16_missingness_by": """select registered_via, count(*) as total_users,
-        count(*) filter (gender is null) as missing from members group by registered_via
+        count(*) filter (gender is null) as missing_gender from members group by registered_via
         order by total_users desc, registered_via""",
     "p17_category_counts_label":
         "select is_churn, count(*) as rows from train group by is_churn",
@@ -351,7 +351,7 @@ _SELECTS: dict[str, str] = {
         "status", "churn_rate_pct"),
     "q3_analysable_status": _segments(
         """(select is_churn, case when possible_exposure_days > 0 then 'kept'
-              when possible_exposure_days <= 0 then 'dropped: expired before window'
+              when possible_exposure_days <= 0 then 'dropped: expired before Oct 1'
               else 'dropped: no txn or no member row' end as status
             from train left join exposed using (msno))""",
         "status", "churn_rate_pct"),

@@ -3,8 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
-from weakref import WeakKeyDictionary
+from functools import lru_cache, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,18 +34,11 @@ def _plain(df: DataFrame) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("double") for c in decimals}) if decimals else df
 
 
-# The tables of a folder are opened once per session; this holds plans and file lists, no rows.
-_OPEN: WeakKeyDictionary[SparkSession, dict[str, tuple[StarSchema, io.Tables]]] = (
-    WeakKeyDictionary()
-)
-
-
+@lru_cache(maxsize=4)
 def _open(spark: SparkSession, folder: str) -> tuple[StarSchema, io.Tables]:
-    folders = _OPEN.setdefault(spark, {})
-    if folder not in folders:
-        star = StarSchema(spark, folder)
-        folders[folder] = star, io.Tables(star.clean)
-    return folders[folder]
+    """The tables of a folder, opened once per session: plans and file lists, no rows."""
+    star = StarSchema(spark, folder)
+    return star, io.Tables(star.clean)
 
 
 def _star(spark: SparkSession, folder: str) -> StarSchema:

@@ -91,7 +91,7 @@ def null_vs_blank(df: DataFrame, column: str) -> DataFrame:
     """NULLs and empty texts apart; meaningful only before `blank_to_null`."""
     return df.agg(
         F.count_if(F.col(column).isNull()).alias("true_null"),
-        F.count_if(F.col(column) == "").alias("empty_text"),
+        F.count_if(F.col(column) == "").alias("empty_string"),
     )
 
 
@@ -100,7 +100,7 @@ def missingness_by(df: DataFrame, by: str, column: str) -> DataFrame:
     return (
         df.groupBy(by)
         .agg(F.count(F.lit(1)).alias("total_users"),
-             F.count_if(F.col(column).isNull()).alias("missing"))
+             F.count_if(F.col(column).isNull()).alias(f"missing_{column}"))
         .orderBy(F.desc("total_users"), by)
     )
 
@@ -142,11 +142,9 @@ def month_gaps(df: DataFrame, column: str) -> DataFrame:
     """Calendar months without any row between the first and the last month."""
     months = _months(df, column)
     calendar = (
-        df.agg(F.min(column).alias("first"), F.max(column).alias("last"))
+        months.agg(F.min("month").alias("first"), F.max("month").alias("last"))
         .filter("first is not null")
-        .select(F.explode(F.sequence(
-            F.trunc("first", "MM"), F.trunc("last", "MM"), F.expr("interval 1 month")
-        )).alias("month"))
+        .select(F.explode(F.sequence("first", "last", F.expr("interval 1 month"))).alias("month"))
     )
     return calendar.join(months, "month", "left_anti")
 

@@ -57,10 +57,11 @@ def analysable_status(t: Tables, cfg: AnalysisConfig) -> DataFrame:
     days = exposed_cohort(t, cfg).select(
         USER, "possible_exposure_days", F.lit(True).alias("exposed")
     )
+    opening = f"{cfg.win_start:%b} {cfg.win_start.day}"
     status = bucket(
         [
             (F.col("exposed").isNull(), "dropped: no txn or no member row"),
-            (F.col("possible_exposure_days") <= 0, "dropped: expired before window"),
+            (F.col("possible_exposure_days") <= 0, f"dropped: expired before {opening}"),
         ],
         "kept",
     )

@@ -15,7 +15,7 @@ DATA = Path("/root/testdata")
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
     session = build_session(
-        "tests", "local[4]", 4, spark__driver__memory="4g",
+        "tests", "local[4]", 2, spark__driver__memory="4g",
         spark__checkpoint__dir=str(tmp_path_factory.mktemp("shared")),
     )
     session.sparkContext.setLogLevel("ERROR")

@@ -38,7 +38,7 @@ def test_populations_agree(t):
     status = per(coverage.coverage_status(t, CFG), "status")
     kept = per(coverage.analysable_status(t, CFG), "status")
     assert sum(status.values()) == cohort and sum(kept.values()) == cohort
-    assert kept["kept"] + kept["dropped: expired before window"] == status["has both"]
+    assert kept["kept"] + kept["dropped: expired before Oct 1"] == status["has both"]
 
     table = features.user_features(t, CFG)
     assert table.count() == kept["kept"]
