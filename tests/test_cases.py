@@ -236,8 +236,9 @@ def test_zero_day_plans_are_kept(spark):
     assert renewal.plan_type_churn(t, CFG).select(F.col("plan_type")).first()[0] == "Trial"
 
 
-def test_prepared_tables_give_the_same_features(spark, table):
-    stored = prepare(spark, table, CFG)
+@pytest.mark.parametrize("buckets", [None, 3])
+def test_prepared_tables_give_the_same_features(spark, table, buckets):
+    stored = prepare(spark, table, CFG, buckets=buckets)
     wanted = sorted(map(str, features.user_features(table, CFG).collect()))
     assert sorted(map(str, features.user_features(stored, CFG).collect())) == wanted
     with pytest.raises(ValueError, match="prepared for"):

@@ -8,6 +8,7 @@ import pytest
 
 import __spark_entry__ as contract
 from retention_spark.catalog import TABLE_QUERIES
+from retention_spark.plans.prepare import prepare
 from retention_spark.sources.derived import CONFIG as CFG
 from tests.rows import random_rows, stored_tables
 
@@ -66,6 +67,16 @@ def test_feature_table_shuffles_each_input_once(stored, large_tables):
     assert "partial_bit_or" in plan
 
 
+def test_joins_of_a_bucketed_report_shuffle_nothing(spark, stored, large_tables):
+    bucketed = prepare(spark, stored, CFG, buckets=4)
+    for name in ("u1_user_features", "b5_rate", "b6_silent", "b4_active_days_clipped"):
+        plan = plan_of(TABLE_QUERIES[name](bucketed))
+        assert "SortMergeJoin" in plan and "Exchange" not in plan
+    # What is left is the exchange of the few finished groups.
+    plan = plan_of(TABLE_QUERIES["a23_listener_renewal_churn"](bucketed))
+    assert re.findall(r"Exchange hashpartitioning\((\w+)#", plan) == ["is_auto_renew"]
+
+
 def test_silent_users_are_found_by_an_anti_join(stored):
     assert "LeftAnti" in plan_of(TABLE_QUERIES["b6_silent"](stored))
     assert "LeftSemi" in plan_of(TABLE_QUERIES["a23_listener_renewal_churn"](stored))
