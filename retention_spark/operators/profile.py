@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exact import label_percent
@@ -140,13 +140,15 @@ def _months(df: DataFrame, column: str) -> DataFrame:
 
 def month_gaps(df: DataFrame, column: str) -> DataFrame:
     """Calendar months without any row between the first and the last month."""
-    months = _months(df, column)
-    calendar = (
-        months.agg(F.min("month").alias("first"), F.max("month").alias("last"))
-        .filter("first is not null")
-        .select(F.explode(F.sequence("first", "last", F.expr("interval 1 month"))).alias("month"))
+    following = F.lead("month").over(Window.orderBy("month"))
+    # Distinct months are as few as the calendar has, so one task may order them.
+    return (
+        _months(df, column).withColumn("next", following)
+        .filter(F.months_between("next", "month") > 1)
+        .select(F.explode(F.sequence(
+            F.add_months("month", 1), F.add_months("next", -1), F.expr("interval 1 month")
+        )).alias("month"))
     )
-    return calendar.join(months, "month", "left_anti")
 
 
 def month_coverage(df: DataFrame, column: str) -> DataFrame:
