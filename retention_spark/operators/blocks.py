@@ -8,6 +8,7 @@ the shuffle as one row per map task. What is joined afterwards is one row per us
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import date
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -38,7 +39,7 @@ def _direction(column: str, order: str) -> Column:
     return F.desc_nulls_last(column) if order == "desc" else F.asc_nulls_last(column)
 
 
-def latest_as_of(transactions: DataFrame, cut: object,
+def latest_as_of(transactions: DataFrame, cut: date,
                  tie_breakers: Sequence[tuple[str, str]] = TIE_BREAKERS) -> DataFrame:
     """Each user's most recent payment up to `cut`, however old it is.
 
@@ -51,7 +52,7 @@ def latest_as_of(transactions: DataFrame, cut: object,
     return ranked.filter("rn = 1").drop("rn")
 
 
-def tie_report(transactions: DataFrame, cut: object,
+def tie_report(transactions: DataFrame, cut: date,
                columns: Sequence[str] = tuple(c for c, _ in TIE_BREAKERS)) -> DataFrame:
     """Users whose payments on their latest day differ, with the number of such payments.
 

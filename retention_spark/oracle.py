@@ -479,7 +479,8 @@ def statements(tables: str = TABLES + ",") -> dict[str, str]:
     )
     result["r9_features_revenue"] = f"""{shared},\n{_scenario('features')}
 select plan_type, users, round(today) as revenue_today_usd,
-       round(kept_best) as users_retained_optimistic, round(gain_best) as revenue_gain_optimistic_usd,
+       round(kept_best) as users_retained_optimistic,
+       round(gain_best) as revenue_gain_optimistic_usd,
        round(today + gain_best) as revenue_optimistic_usd,
        round(kept_safe) as users_retained_conservative,
        round(gain_safe) as revenue_gain_conservative_usd,

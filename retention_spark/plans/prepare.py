@@ -60,7 +60,8 @@ def prepare(spark: SparkSession, t: Tables, cfg: AnalysisConfig,
 
     latest = store("latest", latest_as_of(t.transactions, cfg.cut))
     usage = store("usage", usage_by_user(t.user_logs, cfg))
-    kept = {name: store(name, getattr(t, name)) for name in ("train", "members")} if buckets else {}
+    both = ("train", "members") if buckets else ()
+    kept = {name: store(name, getattr(t, name)) for name in both}
     return PreparedTables(lambda name: kept[name] if name in kept else getattr(t, name), cfg, latest, usage)
 
 
