@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import argparse
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import replace
 from datetime import date
 from functools import reduce
@@ -26,6 +27,8 @@ from retention_spark.session import build_session
 from retention_spark.sources import tables as io
 from retention_spark.sources.schemas import RAW
 
+AT_ONCE = 8
+
 
 def run(spark: SparkSession, raw: str, usage: Sequence[str], out: str, cfg: AnalysisConfig,
         fmt: str = "csv", buckets: int | None = None) -> None:
@@ -50,8 +53,13 @@ def run(spark: SparkSession, raw: str, usage: Sequence[str], out: str, cfg: Anal
         | report.audits(prepared, cfg) | report.analyses(prepared, cfg)
         | report.figures(features, cfg)
     )
-    for name, df in results.items():
-        df.write.parquet(f"{out}/results/{name}")
+    # Each result is a few small stages; side by side they keep the executors busy.
+    with ThreadPoolExecutor(AT_ONCE) as pool:
+        written = [
+            pool.submit(df.write.parquet, f"{out}/results/{name}") for name, df in results.items()
+        ]
+        for job in written:
+            job.result()
 
 
 def main() -> None:
