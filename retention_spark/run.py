@@ -75,7 +75,7 @@ def main() -> None:
     args = parser.parse_args()
     given = {name: getattr(args, name) for name in ("cut", "win_start", "win_end")}
     cfg = replace(AnalysisConfig(tz=args.tz), **{k: v for k, v in given.items() if v})
-    spark = build_session("retention_spark")
+    spark = build_session("retention_spark", spark__sql__warehouse__dir=f"{args.out}/warehouse")
     run(spark, args.raw, args.usage, args.out, cfg, args.format, args.buckets)
     spark.stop()
 

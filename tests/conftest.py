@@ -17,6 +17,7 @@ def spark(tmp_path_factory):
     session = build_session(
         "tests", "local[4]", 2, spark__driver__memory="4g",
         spark__checkpoint__dir=str(tmp_path_factory.mktemp("shared")),
+        spark__sql__warehouse__dir=str(tmp_path_factory.mktemp("warehouse")),
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
