@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, mixing
+from . import exact_dedup, mixing, near_dedup
 from .shared import workers_import_package
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,9 +29,14 @@ def exact_dedup_documents(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.exact_groups(documents(spark, folder))
 
 
+def near_dedup_documents(spark: SparkSession, folder: str) -> DataFrame:
+    return near_dedup.near_groups(documents(spark, folder))
+
+
 QUERIES: dict[str, Query] = {
     "op2_mix_sources": mix_sources,
     "op9_exact_dedup": exact_dedup_documents,
+    "op10_near_dedup": near_dedup_documents,
 }
 
 ORACLE_SQL: dict[str, str] = {
