@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, mixing, near_dedup
+from . import decontaminate, exact_dedup, language_id, mixing, near_dedup
 from .shared import workers_import_package
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,12 +29,22 @@ def exact_dedup_documents(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.exact_groups(documents(spark, folder))
 
 
+def identify_language(spark: SparkSession, folder: str) -> DataFrame:
+    return language_id.held_out_predictions(documents(spark, folder))
+
+
+def find_benchmark_leaks(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.leaks(documents(spark, folder), table(spark, folder, "benchmark"))
+
+
 def near_dedup_documents(spark: SparkSession, folder: str) -> DataFrame:
     return near_dedup.near_groups(documents(spark, folder))
 
 
 QUERIES: dict[str, Query] = {
     "op2_mix_sources": mix_sources,
+    "op5_identify_language": identify_language,
+    "op7_find_benchmark_leaks": find_benchmark_leaks,
     "op9_exact_dedup": exact_dedup_documents,
     "op10_near_dedup": near_dedup_documents,
 }
