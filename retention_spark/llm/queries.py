@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact_dedup, language_id, mixing, near_dedup
+from . import decontaminate, exact_dedup, language_id, mixing, near_dedup, pii
 from .shared import workers_import_package
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,6 +37,10 @@ def find_benchmark_leaks(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.leaks(documents(spark, folder), table(spark, folder, "benchmark"))
 
 
+def find_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.personal_data(documents(spark, folder))
+
+
 def near_dedup_documents(spark: SparkSession, folder: str) -> DataFrame:
     return near_dedup.near_groups(documents(spark, folder))
 
@@ -45,6 +49,7 @@ QUERIES: dict[str, Query] = {
     "op2_mix_sources": mix_sources,
     "op5_identify_language": identify_language,
     "op7_find_benchmark_leaks": find_benchmark_leaks,
+    "op8_find_personal_data": find_personal_data,
     "op9_exact_dedup": exact_dedup_documents,
     "op10_near_dedup": near_dedup_documents,
 }
