@@ -6,7 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact_dedup, language_id, mixing, near_dedup, pii
+from . import (
+    chunking,
+    decontaminate,
+    exact_dedup,
+    language_id,
+    mixing,
+    near_dedup,
+    pii,
+    suffix_dedup,
+)
 from .shared import workers_import_package
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +38,14 @@ def exact_dedup_documents(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.exact_groups(documents(spark, folder))
 
 
+def remove_repeats(spark: SparkSession, folder: str) -> DataFrame:
+    return suffix_dedup.removed_spans(documents(spark, folder))
+
+
+def remove_repeated_chunks(spark: SparkSession, folder: str) -> DataFrame:
+    return chunking.chunk_dedup(documents(spark, folder))
+
+
 def identify_language(spark: SparkSession, folder: str) -> DataFrame:
     return language_id.held_out_predictions(documents(spark, folder))
 
@@ -47,7 +64,9 @@ def near_dedup_documents(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op2_mix_sources": mix_sources,
+    "op4_remove_repeats": remove_repeats,
     "op5_identify_language": identify_language,
+    "op6_remove_repeated_chunks": remove_repeated_chunks,
     "op7_find_benchmark_leaks": find_benchmark_leaks,
     "op8_find_personal_data": find_personal_data,
     "op9_exact_dedup": exact_dedup_documents,

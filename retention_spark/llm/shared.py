@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 #: Ids of at most so many rows (16 bytes each) are sent to every executor; more are joined by shuffle.
 SMALL_ROWS = 1_000_000
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Text that one step of a task holds as arrays.
 SLICE_BYTES = 4 << 20
 
@@ -42,9 +43,15 @@ def shared_folder(spark: SparkSession) -> str:
 def save(df: DataFrame, name: str) -> DataFrame:
     """Write a table below the shared folder and read it back: lineage ends there, and any
     executor can read it after others are lost."""
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark, path = df.sparkSession, f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    # The write's shuffle files have served their purpose when it is done.
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def if_small(ids: DataFrame, rows: int | None = None) -> DataFrame:
