@@ -8,12 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import (
     chunking,
+    class_lm,
     decontaminate,
     exact_dedup,
     language_id,
     mixing,
     near_dedup,
     pii,
+    preference,
     suffix_dedup,
 )
 from .shared import workers_import_package
@@ -30,6 +32,11 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "documents")
 
 
+def format_preferences(spark: SparkSession, folder: str) -> DataFrame:
+    turns = preference.reply_pairs(table(spark, folder, "conversations"))
+    return preference.formatted_pairs(turns)
+
+
 def mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.taken_words(documents(spark, folder))
 
@@ -38,6 +45,10 @@ def exact_dedup_documents(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.exact_groups(documents(spark, folder))
 
 
+def score_by_classes(spark: SparkSession, folder: str) -> DataFrame:
+    return class_lm.held_out_scores(documents(spark, folder))
+
+
 def remove_repeats(spark: SparkSession, folder: str) -> DataFrame:
     return suffix_dedup.removed_spans(documents(spark, folder))
 
@@ -63,7 +74,9 @@ def near_dedup_documents(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_format_preferences": format_preferences,
     "op2_mix_sources": mix_sources,
+    "op3_score_by_classes": score_by_classes,
     "op4_remove_repeats": remove_repeats,
     "op5_identify_language": identify_language,
     "op6_remove_repeated_chunks": remove_repeated_chunks,
@@ -74,6 +87,7 @@ QUERIES: dict[str, Query] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_format_preferences": preference.ORACLE_SQL,
     "op2_mix_sources": mixing.ORACLE_SQL,
     "op9_exact_dedup": exact_dedup.ORACLE_SQL,
 }
