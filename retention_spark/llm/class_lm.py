@@ -113,7 +113,7 @@ def exchange(bigrams: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS)
             table[old] -= right
             table[:, old] -= left
             table[old, old] -= own
-            rows, columns = table.sum(axis=1), table.sum(axis=0)
+            rows, columns = table.sum(axis=1) + left, table.sum(axis=0) + right
             # What joining class k changes: its row, its column, and the cell where both meet.
             gain = (nlogn(table + right) - nlogn(table)).sum(axis=1)
             gain += (nlogn(table + left[:, None]) - nlogn(table)).sum(axis=0)

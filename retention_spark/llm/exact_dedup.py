@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import ascii_lower, if_small, save
+from .shared import ascii_lower, fresh, if_small, save
 
 CAPACITY = 4096
 
@@ -177,11 +177,10 @@ def keep_one(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     groups = exact_groups(docs, capacity)
     stay = groups.filter("kept").select(
         F.col("doc_id").alias("stay_id"), F.col("text_sha256").alias("stay_sha256"))
-    keyed = docs.withColumn("dedup_sha256", F.sha2(ascii_lower(F.col("text")), 256))
-    same = (keyed.doc_id.eqNullSafe(F.col("stay_id"))
-            & (keyed.dedup_sha256 == F.col("stay_sha256")))
-    return keyed.join(stay, same, "left_semi").dropDuplicates(["doc_id", "dedup_sha256"]).select(
-        *[F.col(c) for c in docs.columns])
+    name = fresh(docs, "dedup_sha256")
+    keyed = docs.withColumn(name, F.sha2(ascii_lower(F.col("text")), 256))
+    same = keyed.doc_id.eqNullSafe(stay.stay_id) & (keyed[name] == stay.stay_sha256)
+    return keyed.join(stay, same, "left_semi").dropDuplicates(["doc_id", name]).drop(name)
 
 
 ORACLE_SQL = """

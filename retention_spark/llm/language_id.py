@@ -18,9 +18,10 @@ import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import words
-from .shared import text_slices
+from .shared import fresh, text_slices
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 #: The model is fitted on at most so many documents of each language, of at most so many bytes.
@@ -247,21 +248,22 @@ def predictions(model: Model, texts: pa.Array) -> tuple[list[str], np.ndarray]:
     return names, np.where(known, share, 0.0)
 
 
-def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of `docs` with lang_pred and score (0 to 1) added, which replace columns so
-    named. Only the text is looked at; null text and text without a letter are UNDETERMINED. Ties
-    go to the first language in order. An empty table stays empty."""
-    own = docs.drop("lang_pred", "score")
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema.fields),
-                        "lang_pred string", "score double"])
+def identify(docs: DataFrame, model: Model, names: tuple[str, str] = ("lang_pred", "score")
+             ) -> DataFrame:
+    """The rows of `docs` with language and score (0 to 1) added under `names`; columns so named
+    are replaced. Only the text is looked at; null text and text without a letter are
+    UNDETERMINED. Ties go to the first language in order. An empty table stays empty."""
+    own = docs.drop(*names)
+    schema = T.StructType([*own.schema.fields, T.StructField(names[0], T.StringType()),
+                           T.StructField(names[1], T.DoubleType())])
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in text_slices(batches, "text", SLICE):
-            names, scores = predictions(sent.value, piece.column("text"))
+            found, scores = predictions(sent.value, piece.column("text"))
             yield pa.RecordBatch.from_arrays(
-                [*piece.columns, pa.array(names, pa.string()), pa.array(scores)],
-                [*piece.schema.names, "lang_pred", "score"])
+                [*piece.columns, pa.array(found, pa.string()), pa.array(scores)],
+                [*piece.schema.names, *names])
 
     return own.mapInArrow(predict, schema)
 
@@ -276,6 +278,7 @@ def held_out_predictions(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataF
 def with_language(docs: DataFrame, least_score: float = 0.0,
                   vocabulary: str = VOCABULARY) -> DataFrame:
     """The documents whose language is determined, with all their columns."""
-    kept = identify(docs, fit(docs, vocabulary)).filter(
-        (F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least_score))
-    return kept.select(*docs.columns)
+    names = fresh(docs, "lang_pred"), fresh(docs, "score")
+    found = identify(docs, fit(docs, vocabulary), names)
+    kept = found.filter((found[names[0]] != UNDETERMINED) & (found[names[1]] >= least_score))
+    return kept.drop(*names)

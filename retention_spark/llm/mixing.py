@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import save
+from .shared import fresh, save
 from .words import PATTERN
 
 #: Documents of each source fall into 16 to this power buckets of their shuffle key.
@@ -135,17 +135,18 @@ def mix(docs: DataFrame, seed: str = "0", weights: tuple[int, ...] = WEIGHTS,
     It is cut before the first row that would take the words over those of all documents. Null
     text has no words; a document without words is taken once if it stands before the cut. Null
     sources are one source, sorted last. Equal rows are mixed like different documents. An
-    empty table gives no rows. Columns beyond doc_id, source and text are carried along. What is
-    taken depends on the seed and the rows, never on their order.
+    empty table gives no rows. Columns beyond doc_id, source and text are carried along, but for
+    any that have the added names. What is taken depends on the seed and the rows, never on their order.
     """
     items = cut(queued(docs, seed, weights, repeats), repeats)
     took = items.toDF(*[f"mix_{c}" for c in items.columns])
-    keyed = docs.withColumn("text_key_of_row", F.xxhash64("text"))
-    one = keyed.dropDuplicates(["doc_id", "source", "text_key_of_row"])
+    name = fresh(docs, "mix_row_key")
+    one = docs.withColumn(name, F.xxhash64("text")).dropDuplicates(["doc_id", "source", name])
     same = (one.doc_id.eqNullSafe(took.mix_doc_id) & one.source.eqNullSafe(took.mix_source)
-            & (one.text_key_of_row == took.mix_text_key))
+            & (one[name] == took.mix_text_key))
+    added = ["mix_repeat", "mix_finish", "mix_words_before"]
     return one.join(took, same).select(
-        *[one[c] for c in docs.columns], "mix_repeat", "mix_finish", "mix_words_before")
+        *[one[c] for c in docs.columns if c not in added], *[took[c] for c in added])
 
 
 def taken_words(docs: DataFrame, seed: str = "0", weights: tuple[int, ...] = WEIGHTS,

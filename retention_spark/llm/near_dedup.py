@@ -274,4 +274,4 @@ def keep_one(docs: DataFrame) -> DataFrame:
     smallest doc_id. Rows without a doc_id stay, as nothing could name them."""
     drop = save(near_groups(docs).filter("not kept").select(F.col("doc_id").alias("gone_id"))
                 .distinct(), "near-dropped")
-    return docs.join(if_small(drop), F.col("doc_id") == F.col("gone_id"), "left_anti")
+    return docs.join(if_small(drop), docs.doc_id == drop.gone_id, "left_anti")

@@ -256,9 +256,29 @@ def _rewritten(text: str, span: Span, turn: random.Random) -> tuple[str, Span]:
     return text[:begin] + inner + text[end:], (kind, begin, begin + len(inner))
 
 
+def _near_miss(kind: str, turn: random.Random) -> str:
+    """What looks like an entity of the kind and isn't one."""
+    if kind == "email":
+        return f"{turn.choice('abc')}@{turn.randrange(100)}"
+    if kind == "ip":
+        parts = [turn.randrange(256) for _ in range(4)]
+        parts[turn.randrange(4)] = turn.randint(256, 999)
+        return ".".join(map(str, parts))
+    if kind == "card":
+        digits = "".join(str(turn.randrange(10)) for _ in range(16))
+        return digits if not luhn(digits) else digits[:-1] + str((int(digits[-1]) + 1) % 10)
+    return f"{turn.randint(1900, 2100)}-{turn.randint(10, 12)}-{turn.randint(10, 31)}"
+
+
+def _number(turn: random.Random) -> str:
+    plain = str(turn.randrange(10 ** turn.randint(1, 15)))
+    return turn.choice((plain, f"{plain[:4]}-{plain[4:]}", f"{plain[:2]}.{plain[2:]}",
+                        f"{plain[:3]},{plain[3:6]},{plain[6:9]}", "%040x" % turn.getrandbits(160)))
+
+
 def fit_field(texts: list[str], seed: int = 8) -> Field:
-    """Fit weights on texts whose rule spans are taken as the truth, each once as it is, once rewritten, and
-    once with an ordinary number in its place."""
+    """Fit weights on texts whose rule spans are taken as the truth, each once as it is, once rewritten, once
+    with a near miss and once with an ordinary number in its place."""
     turn = random.Random(seed)
     groups = []
     for text in texts:
@@ -266,15 +286,10 @@ def fit_field(texts: list[str], seed: int = 8) -> Field:
             low = max(0, span[1] - STRETCH)
             near = text[low : span[2] + STRETCH]
             kind, begin, end = span[0], span[1] - low, span[2] - low
-            plain = str(turn.randrange(10 ** turn.randint(1, 12)))
-            plain = turn.choice((plain, plain[:4] + "-" + plain[4:], f"{plain[:2]}.{plain[2:]}",
-                                 f"v{plain[:1]}.{plain[1:2]}.{plain[2:3]}.{plain[3:4]}",
-                                 f"{plain[:4]}-0{plain[:1]}-1{plain[1:2]}",
-                                 f"{plain[:3]}.{plain[:3]}.999.{plain[3:6]}",
-                                 "%040x" % turn.getrandbits(160)))
             for sample, truth in ((near, (kind, begin, end)),
                                   _rewritten(near, (kind, begin, end), turn),
-                                  (near[:begin] + plain + near[end:], None)):
+                                  (near[:begin] + _near_miss(kind, turn) + near[end:], None),
+                                  (near[:begin] + _number(turn) + near[end:], None)):
                 true = {s for s in base_spans(sample) if not truth or s[0] != truth[0]}
                 true |= {truth} if truth else set()
                 for group in _stretches(candidates(sample)):

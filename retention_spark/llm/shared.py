@@ -60,6 +60,14 @@ def if_small(ids: DataFrame, rows: int | None = None) -> DataFrame:
     return F.broadcast(ids) if rows <= SMALL_ROWS else ids
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """`name`, or a longer one that no column of the table has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def ascii_lower(text: Column) -> Column:
     """Null counts as empty; only A-Z change."""
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
