@@ -62,22 +62,25 @@ def _on_raw(name: str, table: str, query: Callable[[DataFrame], DataFrame]) -> N
     _add(name, lambda spark, folder: query(_star(spark, folder).raw(table)))
 
 
+def _on_odd(name: str, table: str, query: Callable[[DataFrame], DataFrame],
+            cleaned: bool = False) -> None:
+    """A query whose finding the plain tables lack."""
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        star = _star(spark, folder)
+        return query(star.odd_clean(table) if cleaned else star.odd(table))
+    _add(name, run)
+
+
 def _on_features(name: str, query: Callable[[DataFrame], DataFrame]) -> None:
     _on_clean(name, lambda t: query(features.user_features(t, CFG)))
 
 
 # Sources and sinks
 
-def _read_back(table: str, fmt: str) -> Query:
-    """Deliver the raw table as a file, then read the file under its declared schema."""
-    def query(spark: SparkSession, folder: str) -> DataFrame:
-        path = scratch_path(spark, f"raw_{table}")
-        writer = _star(spark, folder).raw(table).write.format(fmt)
-        if fmt == "csv":
-            writer = writer.option("header", True)
-        writer.save(path)
-        return io.read_raw(spark, path, table, fmt)
-    return query
+def _delivered(table: str) -> Query:
+    """The raw table as lines of its CSV file, read under its declared schema."""
+    return lambda spark, folder: io.from_lines(
+        io.to_lines(_star(spark, folder).raw(table), table), table)
 
 
 def _stored_usage(spark: SparkSession, folder: str) -> DataFrame:
@@ -113,10 +116,10 @@ def _schema_reports(t: io.Tables) -> DataFrame:
     return reduce(DataFrame.unionByName, reports)
 
 
-_add("s1_read_train", _read_back("train", "csv"))
-_add("s2_read_members", _read_back("members", "csv"))
-_add("s3_read_transactions", _read_back("transactions", "csv"))
-_add("s4_read_user_logs", _read_back("user_logs", "parquet"))
+_add("s1_read_train", _delivered("train"))
+_add("s2_read_members", _delivered("members"))
+_add("s3_read_transactions", _delivered("transactions"))
+_add("s4_read_user_logs", _delivered("user_logs"))
 _add("s4_write_usage_by_month", _stored_usage)
 _add("s5_union_usage", _union_raw)
 _add("s6_reconcile_month", _reconcile)
@@ -130,7 +133,7 @@ _TXN_DATES = DATE_COLUMNS["transactions"]
 _on_raw("c1_int_to_date_transactions", "transactions",
         lambda df: clean.int_to_date(df, _TXN_DATES))
 _on_raw("c1_int_to_date_user_logs", "user_logs", lambda df: clean.int_to_date(df, ["date"]))
-_on_raw("c1_rejected_dates", "transactions", lambda df: clean.rejected_dates(df, _TXN_DATES))
+_on_odd("c1_rejected_dates", "transactions", lambda df: clean.rejected_dates(df, _TXN_DATES))
 _on_raw("c2_epoch_ms_to_date", "members",
         lambda df: clean.epoch_ms_to_date(df, "registration_init_time", CFG.tz))
 _on_raw("c3_null_out_of_range", "members",
@@ -145,12 +148,13 @@ _on_raw("c6_never_convert_birth_years", "members",
             df.withColumn("raw_bd", F.col("bd")), "bd", CFG.age_min, CFG.age_max)
         .filter("raw_bd is not null and (bd is null or bd <> raw_bd)")
         .agg(F.count(F.lit(1)).alias("changed"), F.count("bd").alias("converted")))
+_on_odd("c7_rejected_seconds", "user_logs", clean.rejected_seconds)
 _on_raw("c_clean_members", "members", lambda df: clean.clean_table(df, "members", CFG))
 
 # Profiling
 
-_on_clean("p1_null_audit", lambda t: profile.null_audit(
-    t.transactions, RAW["transactions"].fieldNames()))
+_on_odd("p1_null_audit", "transactions", lambda df: profile.null_audit(
+    df, RAW["transactions"].fieldNames()), cleaned=True)
 _on_clean("p2_range_profile", lambda t: profile.range_profile(t.transactions, [
     "plan_list_price", "actual_amount_paid", "payment_plan_days", "transaction_date",
     "membership_expire_date"]))
@@ -159,8 +163,9 @@ _on_clean("p4_anomaly_split", lambda t: profile.anomaly_split(t.transactions))
 _on_clean("p5_date_range", lambda t: profile.range_profile(t.user_logs, ["date"]))
 _on_clean("p6_row_count", lambda t: profile.row_count(t.user_logs))
 _on_clean("p7_monthly_counts", lambda t: profile.monthly_counts(t.user_logs, "date"))
-_on_clean("p8_month_gaps", lambda t: profile.month_gaps(t.user_logs, "date"))
-_on_clean("p8_month_coverage", lambda t: profile.month_coverage(t.user_logs, "date"))
+_on_odd("p8_month_gaps", "user_logs", lambda df: profile.month_gaps(df, "date"), cleaned=True)
+_on_odd("p8_month_coverage", "user_logs", lambda df: profile.month_coverage(df, "date"),
+        cleaned=True)
 _on_raw("p9_numeric_summary", "members", lambda df: profile.numeric_summary(df, "bd"))
 _on_raw("p10_band_profile", "members",
         lambda df: profile.band_profile(df, "bd", CFG.age_min, CFG.age_max))
@@ -170,15 +175,15 @@ _on_raw("p12_surviving_mean", "members", lambda df: profile.surviving_mean(
     clean.clean_table(df, "members", CFG), "bd"))
 _on_raw("p13_category_counts_gender", "members",
         lambda df: profile.category_counts(df, "gender"))
-_on_raw("p14_null_vs_blank", "members", lambda df: profile.null_vs_blank(df, "gender"))
+_on_odd("p14_null_vs_blank", "members", lambda df: profile.null_vs_blank(df, "gender"))
 _on_raw("p15_category_counts_city", "members", lambda df: profile.category_counts(df, "city"))
 _on_raw("p16_missingness_by", "members", lambda df: profile.missingness_by(
     clean.clean_table(df, "members", CFG), "registered_via", "gender"))
 _on_clean("p17_category_counts_label", lambda t: profile.category_counts(t.train, "is_churn"))
 _on_clean("p18_base_rate", lambda t: profile.base_rate(t.train, "is_churn"))
-_on_clean("p19_key_check", lambda t: reduce(DataFrame.unionByName, [
-    profile.key_check(getattr(t, name), blocks.USER).withColumn("table_name", F.lit(name))
-    for name in CLEAN]))
+_add("p19_key_check", lambda spark, folder: reduce(DataFrame.unionByName, [
+    profile.key_check(_star(spark, folder).odd(name), blocks.USER).withColumn(
+        "table_name", F.lit(name)) for name in CLEAN]))
 _on_clean("p19_duplicate_keys", lambda t: profile.duplicate_keys(t.transactions, blocks.USER))
 
 # Building blocks
@@ -246,6 +251,22 @@ _on_clean("a26_retention_scenario", lambda t: scenario.retention_scenario(t, CFG
 _on_clean("a26t_retention_scenario_total", lambda t: scenario.retention_scenario(t, CFG).filter(
     F.col("plan_type") == scenario.TOTAL))
 
+_on_clean("a26_observed_scenario", lambda t: scenario.retention_scenario(
+    t, scenario.observed_rates(t, CFG)))
+
+
+def _odd_tables(spark: SparkSession, folder: str) -> io.Tables:
+    star = _star(spark, folder)
+    return io.Tables(lambda name: star.odd_clean(name) if name == "transactions"
+                     else star.clean(name))
+
+
+# Longer plans on auto-renew, which the plain tables lack.
+_add("a25c_auto_renew_on_longer_plans", lambda spark, folder: renewal.non_monthly_auto_total(
+    _odd_tables(spark, folder), CFG))
+_add("r11_kpi_adoption_with_renewals", lambda spark, folder: kpi.kpi_adoption(
+    _odd_tables(spark, folder), CFG))
+
 # Figures from the feature table, and indicators
 
 _on_features("r1_features_skip_rate", kpi.features_skip_rate)
@@ -262,8 +283,4 @@ _on_clean("r11_kpi_adoption", lambda t: kpi.kpi_adoption(t, CFG))
 _on_clean("r12_kpi_long_plan_churn", lambda t: kpi.kpi_long_plan_churn(t, CFG))
 _on_clean("r13_kpi_manual_to_auto", lambda t: kpi.kpi_manual_to_auto(t, CFG))
 _on_features("r14_test_vs_control_rate", lambda df: kpi.test_vs_control_rate(
-    # A stable random split of the subscribers on longer plans.
-    df.filter(F.col("payment_plan_days") > CFG.monthly_days).withColumn(
-        "arm", F.when(F.md5(F.col(blocks.USER).cast("binary")) < "8", "test")
-        .otherwise("control")),
-    "arm"))
+    kpi.longer_plan_arms(df, CFG), "arm"))

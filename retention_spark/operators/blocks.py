@@ -119,7 +119,7 @@ def usage_by_user(logs: DataFrame, cfg: AnalysisConfig) -> DataFrame:
     """One row per user with usage in the window: everything the analyses need of it.
 
     An active row has a song played past its half; a row with a NULL counter is not active and
-    adds no songs. `active_ms` sums active rows, not active days. Unused columns are pruned.
+    adds no songs. `active_ns` sums active rows, not active days. Unused columns are pruned.
     """
     past_half = F.col("num_50") + F.col("num_75") + F.col("num_985") + F.col("num_100")
     active = past_half > 0
@@ -130,16 +130,14 @@ def usage_by_user(logs: DataFrame, cfg: AnalysisConfig) -> DataFrame:
         F.count(F.lit(1)).alias("log_rows"),
         F.sum(F.col("num_25") + past_half).alias("total_songs"),
         F.sum("num_25").alias("skipped_songs"),
-        F.sum(listening.whole_seconds(secs)).alias("whole"),
-        F.sum(listening.left_over_ms(secs)).alias("left_over"),
-        F.coalesce(F.sum(listening.whole_seconds(active_secs)), F.lit(0)).alias("active_whole"),
-        F.coalesce(F.sum(listening.left_over_ms(active_secs)), F.lit(0)).alias("active_left_over"),
+        *listening.part_sums(secs, "total"),
+        *listening.part_sums(active_secs, "active"),
         *[word.alias(name) for word, name in zip(words, _words(cfg))],
     )
     return sums.select(
         USER, "log_rows", "total_songs", "skipped_songs",
-        listening.as_ms(F.col("whole"), F.col("left_over")).alias("total_ms"),
-        listening.as_ms(F.col("active_whole"), F.col("active_left_over")).alias("active_ms"),
+        listening.as_ns("total").alias("total_ns"),
+        F.coalesce(listening.as_ns("active"), F.lit(0).cast("decimal(38,0)")).alias("active_ns"),
         day_bits.count_days([F.col(c) for c in _words(cfg)]).alias("active_days"),
         *_words(cfg),
     )

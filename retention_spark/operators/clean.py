@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import AnalysisConfig
+from ..functions.listening import usable
 from ..sources.schemas import CLEAN, DATE_COLUMNS, conform
 
 
@@ -42,6 +43,16 @@ def rejected_dates(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     )
 
 
+def reject_counts(logs: DataFrame) -> list[Column]:
+    """Aggregates over raw usage: rows, days that don't exist, readings that are not numbers."""
+    day = F.col("date")
+    return [
+        F.count(F.lit(1)).alias("total"),
+        F.count_if(day.isNotNull() & yyyymmdd_date(day).isNull()).alias("date_rejected"),
+        F.count_if(~usable(F.col("total_secs"))).alias("total_secs_rejected"),
+    ]
+
+
 def epoch_ms_to_date(df: DataFrame, column: str, tz: str) -> DataFrame:
     """Turn epoch milliseconds into the calendar date of zone `tz`.
 
@@ -63,6 +74,17 @@ def blank_to_null(df: DataFrame, column: str) -> DataFrame:
     return df.withColumn(column, F.nullif(F.col(column), F.lit("")))
 
 
+def null_unusable_seconds(df: DataFrame, column: str = "total_secs") -> DataFrame:
+    """NULL readings that are not numbers (NaN, infinities, 2**63 seconds on); the row stays."""
+    return df.withColumn(column, F.when(usable(F.col(column)), F.col(column)))
+
+
+def rejected_seconds(df: DataFrame, column: str = "total_secs") -> DataFrame:
+    """One row: rows, and how many of them hold a reading that `null_unusable_seconds` drops."""
+    return df.agg(F.count(F.lit(1)).alias("total"),
+                  F.count_if(~usable(F.col(column))).alias(f"{column}_rejected"))
+
+
 def clean_table(df: DataFrame, table: str, cfg: AnalysisConfig) -> DataFrame:
     """The cleaning of one raw table. No row is dropped, so plans of zero days stay."""
     if table == "members":
@@ -71,4 +93,6 @@ def clean_table(df: DataFrame, table: str, cfg: AnalysisConfig) -> DataFrame:
         df = blank_to_null(df, "gender")
     else:
         df = int_to_date(df, DATE_COLUMNS[table])
+    if table == "user_logs":
+        df = null_unusable_seconds(df)
     return conform(df, CLEAN[table])

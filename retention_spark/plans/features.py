@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import AnalysisConfig
 from ..functions.exact import round_ratio
-from ..functions.listening import minutes
+from ..functions.listening import rounded_minutes
 from ..operators.blocks import USER, cohort_usage, with_rate
 from ..sources.tables import Tables
 from .prepare import exposed_cohort, user_usage
@@ -23,16 +23,16 @@ def user_features(t: Tables, cfg: AnalysisConfig) -> DataFrame:
     usage = cohort_usage(t.train, user_usage(t, cfg))
     users = with_rate(usage.join(exposed_cohort(t, cfg), USER))
     active, songs = F.col("active_days"), F.col("total_songs")
-    total_ms = F.col("total_ms")
-    per_day = F.when(active > 0, F.round(minutes(total_ms, active), 2)).otherwise(0)
+    total_ns = F.col("total_ns")
+    per_day = F.when(active > 0, rounded_minutes(total_ns, active)).otherwise(0)
     skips = F.when(
         songs > 0, round_ratio(F.col("skipped_songs") * 100, songs, 2)
     ).otherwise(0)
     return users.select(
         USER, "is_churn", "is_auto_renew", "transaction_date", "payment_plan_days",
         "actual_amount_paid", "possible_exposure_days", "active_days", "active_day_rate",
-        F.round(minutes(total_ms), 2).cast("decimal(24,2)").alias("total_listen_mins"),
-        per_day.cast("decimal(24,2)").alias("mins_per_active_day"),
+        rounded_minutes(total_ns).alias("total_listen_mins"),
+        per_day.cast("decimal(30,2)").alias("mins_per_active_day"),
         "total_songs", "skipped_songs",
         skips.cast("decimal(20,2)").alias("skip_rate"),
     )

@@ -155,6 +155,13 @@ def kpi_manual_to_auto(t: Tables, cfg: AnalysisConfig) -> DataFrame:
     )
 
 
+def longer_plan_arms(features: DataFrame, cfg: AnalysisConfig) -> DataFrame:
+    """Subscribers on longer plans with `arm`: a stable random split into test and control."""
+    test = F.md5(F.col(USER).cast("binary")) < "8"
+    return features.filter(F.col("payment_plan_days") > cfg.monthly_days).withColumn(
+        "arm", F.when(test, "test").otherwise("control"))
+
+
 def test_vs_control_rate(df: DataFrame, group: str, label: str = LABEL) -> DataFrame:
     """Churn of the 'test' and the 'control' group and the gap between them, in points."""
     def rate(name: str) -> Column:

@@ -16,11 +16,9 @@ from . import coverage, kpi, renewal, scenario, usage
 def raw_profiles(raw: Mapping[str, DataFrame], cfg: AnalysisConfig) -> dict[str, DataFrame]:
     """What has to be looked at before cleaning changes it."""
     members = raw["members"]
-    rejects = {
-        f"{table}_rejected_dates": clean.rejected_dates(raw[table], DATE_COLUMNS[table])
-        for table in ("transactions", "user_logs")
-    }
-    return rejects | {
+    return {
+        "transactions_rejected_dates": clean.rejected_dates(
+            raw["transactions"], DATE_COLUMNS["transactions"]),
         "age_summary": profile.numeric_summary(members, "bd"),
         "age_bands": profile.band_profile(members, "bd", cfg.age_min, cfg.age_max),
         "gender_counts": profile.category_counts(members, "gender"),
@@ -39,9 +37,11 @@ def clean_profiles(t: Tables) -> dict[str, DataFrame]:
         "payment_ranges": profile.range_profile(payments, ranges),
         "zero_day_plans": profile.anomaly_rows(payments),
         "zero_day_plans_by_cancel": profile.anomaly_split(payments),
+        "usage_rows": profile.row_count(logs),
         "usage_months": profile.monthly_counts(logs, "date"),
         "usage_month_gaps": profile.month_gaps(logs, "date"),
         "usage_date_range": profile.range_profile(logs, ["date"]),
+        **{f"{name}_schema": profile.schema_report(getattr(t, name), name) for name in RAW},
         "ages_missing": profile.missing_count(members, "bd"),
         "ages_left": profile.surviving_mean(members, "bd"),
         "city_counts": profile.category_counts(members, "city"),
@@ -76,6 +76,12 @@ def analyses(t: Tables, cfg: AnalysisConfig) -> dict[str, DataFrame]:
     }
 
 
+def increments(combined: DataFrame, parts: list[DataFrame]) -> dict[str, DataFrame]:
+    """Rows per month of all usage against those of each later file."""
+    return {f"usage_increment_{i}": profile.reconcile_month(combined, part, "date")
+            for i, part in enumerate(parts, 1)}
+
+
 def figures(features: DataFrame, cfg: AnalysisConfig) -> dict[str, DataFrame]:
     """Results taken from the feature table."""
     return {
@@ -88,4 +94,4 @@ def figures(features: DataFrame, cfg: AnalysisConfig) -> dict[str, DataFrame]:
         query.__name__: query(features, cfg) for query in (
             kpi.features_plan_churn, kpi.features_revenue, kpi.monthly_conversion_gain,
         )
-    }
+    } | {"test_vs_control_rate": kpi.test_vs_control_rate(kpi.longer_plan_arms(features, cfg), "arm")}

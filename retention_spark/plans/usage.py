@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from decimal import Decimal
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import AnalysisConfig
 from ..functions.buckets import engagement_tier
 from ..functions.exact import decimal_ratio, exact_mean
-from ..functions.listening import MS_PER_MINUTE, minutes
+from ..functions.listening import NS_PER_MINUTE, minutes
 from ..operators.blocks import (
     USER,
     active_days,
@@ -24,14 +22,13 @@ from ..sources.tables import Tables
 from .prepare import exposed_cohort, user_usage
 
 LABEL = "is_churn"
-MEDIAN_CELL = Decimal("0.01")  # minutes
 
 
 def listening_time_by_label(t: Tables, cfg: AnalysisConfig) -> DataFrame:
     """Mean minutes per listener; every listener counts once."""
     users = cohort_usage(t.train, user_usage(t, cfg), listeners_only=True)
     return users.groupBy(LABEL).agg(
-        exact_mean(F.col("total_ms"), MS_PER_MINUTE).alias("avg_listen_time_min")
+        exact_mean(F.col("total_ns"), NS_PER_MINUTE).alias("avg_listen_time_min")
     )
 
 
@@ -63,13 +60,13 @@ def engagement_tiers(t: Tables, cfg: AnalysisConfig) -> DataFrame:
 
 def listening_intensity_by_label(t: Tables, cfg: AnalysisConfig) -> DataFrame:
     """Mean and median minutes per active day, over minutes of active rows only."""
-    per_day = minutes(F.col("active_ms"), F.col("active_days"))
+    per_day = minutes(F.col("active_ns"), F.col("active_days"))
     users = (
         cohort_usage(t.train, user_usage(t, cfg), listeners_only=True)
         .filter("active_days > 0")
         .select(LABEL, per_day.alias("per_day"))
     )
-    return grouped_mean_median(users, [LABEL], "per_day", MEDIAN_CELL).select(
+    return grouped_mean_median(users, [LABEL], "per_day").select(
         LABEL,
         F.col("count").alias("users"),
         F.round("mean", 2).alias("avg_mins_per_active_day"),

@@ -16,10 +16,13 @@ from dataclasses import replace
 from datetime import date
 from functools import reduce
 
-from pyspark.sql import SparkSession
+from pyspark.sql import Observation, Row, SparkSession
 
 from retention_spark.config import AnalysisConfig
+from retention_spark.operators import clean
+from retention_spark.operators.blocks import USER
 from retention_spark.operators.clean import clean_table
+from retention_spark.operators.profile import key_check
 from retention_spark.plans import report
 from retention_spark.plans.features import user_features
 from retention_spark.plans.prepare import prepare
@@ -40,16 +43,25 @@ def run(spark: SparkSession, raw: str, usage: Sequence[str], out: str, cfg: Anal
     logs = [io.read_raw(spark, path, "user_logs", fmt) for path in usage]
     delivered["user_logs"] = reduce(io.union_usage, logs)
 
+    # Rejects are counted while the rows pass by; raw usage is read once.
+    counts = Observation("rejects")
     for name, df in delivered.items():
-        io.write_clean(clean_table(df, name, cfg), f"{out}/clean/{name}", name)
+        cleaned = clean_table(df, name, cfg)
+        if name == "user_logs":
+            cleaned = clean_table(df.observe(counts, *clean.reject_counts(df)), name, cfg)
+        io.write_clean(cleaned, f"{out}/clean/{name}", name)
     stored = io.Tables(lambda name: io.read_clean(spark, f"{out}/clean/{name}", name))
+    require_one_row_per_user(stored)
 
     prepared = prepare(spark, stored, cfg, f"{out}/prepared", buckets)
     io.write_features(user_features(prepared, cfg), f"{out}/features")
     features = spark.read.parquet(f"{out}/features")
 
+    rejects = spark.createDataFrame([Row(**counts.get)])
+    later = [clean_table(df, "user_logs", cfg) for df in logs[1:]]
     results = (
-        report.raw_profiles(delivered, cfg) | report.clean_profiles(stored)
+        {"user_logs_rejects": rejects} | report.increments(stored.user_logs, later)
+        | report.raw_profiles(delivered, cfg) | report.clean_profiles(stored)
         | report.audits(prepared, cfg) | report.analyses(prepared, cfg)
         | report.figures(features, cfg)
     )
@@ -62,6 +74,14 @@ def run(spark: SparkSession, raw: str, usage: Sequence[str], out: str, cfg: Anal
             job.result()
 
 
+def require_one_row_per_user(t: io.Tables) -> None:
+    """Every join counts a user listed twice twice, so such tables are refused with the figures."""
+    for name in ("train", "members"):
+        found = key_check(getattr(t, name), USER).first()
+        if found.repeated_keys or found.null_keys:
+            raise ValueError(f"{name} needs one row per user: {found.asDict()}")
+
+
 def main() -> None:
     parser = argparse.ArgumentParser(description=__doc__.splitlines()[0])
     parser.add_argument("--raw", required=True)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -40,11 +41,12 @@ def build_session(app: str, master: str | None = None, shuffle_partitions: int |
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder that `spark.checkpoint.dir` names.
 
-    Executors must all see the folder, so a machine-local one is made only in local mode.
+    Executors must all see the folder; where it is unset, a local session gets one.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-        base = tempfile.mkdtemp(prefix="retention_spark-")
+        base = Path(tempfile.gettempdir(), "checkpoints").as_uri()
+        spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -7,7 +7,7 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DateType, StringType, StructField, StructType
+from pyspark.sql.types import DateType, StructField, StructType
 
 from .schemas import CLEAN, RAW, conform
 
@@ -40,15 +40,33 @@ class Tables:
 def read_raw(spark: SparkSession, path: str, table: str, fmt: str = "csv") -> DataFrame:
     """One raw table under its declared schema; types are never inferred from the data.
 
-    CSV headers are checked against the declared names, so a reordered file fails loudly. CSV
-    cannot tell an empty text from a missing one; such a field is read as the empty text.
+    CSV headers are checked against the declared names, so a reordered file fails loudly.
     """
     reader = spark.read.schema(RAW[table])
     if fmt != "csv":
         return conform(reader.format(fmt).load(path), RAW[table])
     df = reader.csv(path, header=True, enforceSchema=False, mode="FAILFAST")
-    texts = [f.name for f in RAW[table].fields if isinstance(f.dataType, StringType)]
-    return conform(df.fillna("", subset=texts), RAW[table])
+    return _blank_texts(df, table)
+
+
+def to_lines(df: DataFrame, table: str) -> DataFrame:
+    """The raw table as the lines of its CSV file, without a header."""
+    return conform(df, RAW[table]).select(F.to_csv(F.struct("*")).alias("line"))
+
+
+def from_lines(lines: DataFrame, table: str) -> DataFrame:
+    """Lines of a CSV file (text tables, streams of a queue) under the declared schema; a line
+    that doesn't fit fails."""
+    row = F.from_csv("line", RAW[table].simpleString()[len("struct<"):-1].replace(":", " "),
+                     {"mode": "FAILFAST"})
+    return _blank_texts(lines.select(row.alias("row")).select("row.*"), table)
+
+
+def _blank_texts(df: DataFrame, table: str) -> DataFrame:
+    """CSV cannot tell an empty text from a missing one; a missing gender is read as the empty
+    text. A missing user stays NULL, so that it meets no other in a join."""
+    blank = [c for c in ("gender",) if c in df.columns]
+    return conform(df.fillna("", subset=blank) if blank else df, RAW[table])
 
 
 def union_usage(full: DataFrame, increment: DataFrame) -> DataFrame:

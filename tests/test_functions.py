@@ -39,22 +39,34 @@ def test_ratio_without_denominator_is_null(spark):
     assert [tuple(r) for r in rows] == [(None, None)] * 3
 
 
+def total_ns(df):
+    return df.agg(*listening.part_sums(F.col("s"), "t")).select(listening.as_ns("t")).first()[0]
+
+
 def test_seconds_add_up_exactly_in_any_order(spark):
     r = random.Random(3)
-    cents = [r.randint(0, 10**9) for _ in range(5000)]
-    df = spark.createDataFrame([(c / 100,) for c in cents], "s double").repartition(7)
-    total = df.agg(F.sum(listening.whole_seconds(F.col("s"))).alias("w"),
-                   F.sum(listening.left_over_ms(F.col("s"))).alias("m"))
-    assert total.select(listening.as_ms(F.col("w"), F.col("m"))).first()[0] == sum(cents) * 10
+    values = [r.randint(0, 10**9) / 7 for _ in range(5000)] + [0.0004] * 90
+    df = spark.createDataFrame([(v,) for v in values], "s double").repartition(7)
+    whole = [int(v // 1) for v in values]
+    nanos = [round((v - w) * 10**9) for v, w in zip(values, whole, strict=True)]
+    assert total_ns(df) == sum(whole) * 10**9 + sum(nanos)
 
 
 def test_absurd_seconds_do_not_overflow(spark):
-    values = [(-9223372036854774.0,), (9223372036854774.0,), (9223372036854774.0,), (6309.273,)]
-    df = spark.createDataFrame(values, "s double")
-    total = df.agg(F.sum(listening.whole_seconds(F.col("s"))).alias("w"),
-                   F.sum(listening.left_over_ms(F.col("s"))).alias("m"))
-    ms = total.select(listening.as_ms(F.col("w"), F.col("m"))).first()[0]
-    assert ms == 9223372036854774_000 + 6309_273
+    values = [-9223372036854774.0] + [9223372036854774.0] * 3000 + [6309.273, 2.0**62]
+    odd = [float("nan"), float("inf"), float("-inf"), 2.0**63, None]
+    df = spark.createDataFrame([(v,) for v in values + odd], "s double")
+    assert total_ns(df) == (9223372036854774 * 2999 + 2**62) * 10**9 + 6309_273_000_000
+
+
+def test_minutes_are_rounded_once(spark):
+    cases = [(300_000_000, 1), (299_999_999, 1), (-300_000_000, 1), (10**31 + 7, 3), (1, 92), (5, 0)]
+    df = spark.createDataFrame([(Decimal(n), d) for n, d in cases], "ns decimal(38,0), d bigint")
+    got = df.select(listening.rounded_minutes(F.col("ns"), F.col("d")).alias("r"),
+                    listening.minutes(F.col("ns"), F.col("d")).alias("m")).collect()
+    assert [r.r for r in got] == [
+        Decimal(s) for s in ("0.01", "0.00", "-0.01", "55555555555555555555.56", "0.00")] + [None]
+    assert got[0].m == Decimal("0.005") and got[5].m is None
 
 
 @pytest.mark.parametrize("days", [1, 63, 64, 65, 92, 128, 200])
@@ -108,7 +120,7 @@ def test_median(spark, case):
     }[case]
     rows = [(g, Decimal(v).scaleb(-3)) for g, values in groups.items() for v in values]
     df = spark.createDataFrame(rows, "g int, v decimal(20,3)").repartition(3)
-    rows = grouped_mean_median(df, ["g"], "v", Decimal("0.01")).collect()
+    rows = grouped_mean_median(df, ["g"], "v").collect()
     assert {row.g: row["median"] for row in rows} == {
         g: Decimal(median(values)) / 1000 for g, values in groups.items()}
     for row in rows:
@@ -120,7 +132,7 @@ def test_median(spark, case):
 def test_median_skips_nulls_and_keeps_null_groups(spark):
     rows = [(None, Decimal(1)), (None, Decimal(3)), (1, None), (2, None), (2, Decimal(7))]
     df = spark.createDataFrame(rows, "g int, v decimal(20,3)")
-    got = {r.g: r["median"] for r in grouped_mean_median(df, ["g"], "v", Decimal(1)).collect()}
+    got = {r.g: r["median"] for r in grouped_mean_median(df, ["g"], "v").collect()}
     assert got == {None: 2, 2: 7}
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 import csv
 from datetime import date, datetime, timezone
 
+import pytest
+
 from retention_spark.catalog import TABLE_QUERIES
 from retention_spark.run import run
 from retention_spark.sources.derived import CONFIG as CFG
@@ -58,4 +60,17 @@ def test_run(spark, tmp_path):
         as_wanted = stored.select([stored[c].cast(kind).alias(c) for c, kind in wanted.dtypes])
         assert sorted(map(str, as_wanted.collect())) == sorted(map(str, wanted.collect()))
     assert spark.read.parquet(f"{out}/clean/user_logs").count() == len(logs)
-    assert len(list((tmp_path / "out" / "results").iterdir())) == 55
+    results = {p.name for p in (tmp_path / "out" / "results").iterdir()}
+    assert {"user_logs_rejects", "usage_increment_1", "usage_rows", "train_schema",
+            "test_vs_control_rate"} <= results and len(results) == 62
+    assert spark.read.parquet(f"{out}/results/user_logs_rejects").first().total == len(logs)
+
+
+def test_users_listed_twice_are_refused(spark, tmp_path):
+    rows = random_rows(seed=3, users=20)
+    rows["train"].append(rows["train"][0])
+    for name in ("train", "members", "transactions"):
+        write_csv(tmp_path / f"{name}.csv", name, rows[name])
+    usage = write_csv(tmp_path / "usage.csv", "user_logs", rows["user_logs"])
+    with pytest.raises(ValueError, match="train needs one row per user"):
+        run(spark, str(tmp_path), [usage], str(tmp_path / "out"), CFG)

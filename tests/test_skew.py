@@ -79,7 +79,7 @@ def test_tie_report(t):
 def test_median_of_a_value_shared_by_most(spark):
     values = [Decimal(7)] * HOT_ROWS + [Decimal(i) for i in range(OTHERS)]
     df = spark.createDataFrame([(0, v) for v in values], "g int, v decimal(20,3)")
-    result = grouped_mean_median(df.repartition(TASKS), ["g"], "v", Decimal("0.01"))
+    result = grouped_mean_median(df.repartition(TASKS), ["g"], "v")
     assert result.first()["median"] == 7
     # Apart from the repartitioning above, which moves every row.
     assert max(n for n in shuffled_rows(result) if n != len(values)) <= TASKS * (OTHERS + 1)

@@ -148,3 +148,15 @@ def test_counts_on_empty_input(spark):
     assert profile.row_count(df).first()[0] == 0
     assert profile.null_audit(df, df.columns).first()[0] == 0
     assert df.filter(F.lit(True)).isEmpty()
+
+
+def test_a_missing_user_stays_null_and_joins_nothing(spark, tmp_path):
+    path = tmp_path / "logs.csv"
+    path.write_text(",".join(RAW["user_logs"].fieldNames()) + "\n,20170105,0,1,0,0,0,1,60.5\n"
+                    "a,20170105,0,1,0,0,0,1,60.5\n")
+    logs = io.read_raw(spark, str(path), "user_logs")
+    again = io.from_lines(io.to_lines(logs, "user_logs"), "user_logs")
+    for df in (logs, again):
+        assert sorted(map(str, values(df, "msno"))) == ["None", "a"]
+        assert df.join(df.select("msno"), "msno").count() == 1
+    assert profile.key_check(again, "msno").first().null_keys == 1

@@ -14,7 +14,10 @@ train as (
              where cast(o_orderdate as date) > date '2000-12-31'
                and cast(o_orderdate as date) <= date '2001-06-29') then 0 else 1 end
            as integer) as is_churn
-  from customer where c_custkey % 50 <> 49),
+  from customer
+  union all select 'p' || p_partkey, cast(p_size <= 25 as integer) from part
+  union all select 's' || s_suppkey, cast(s_acctbal < 0 as integer) from supplier
+  union all select 'n' || n_nationkey, cast(n_regionkey % 2 as integer) from nation),
 members_raw as (
   select cast(c_custkey as varchar) as msno,
          cast(c_nationkey as integer) as city,
@@ -23,23 +26,34 @@ members_raw as (
               when c_custkey % 2 = 0 then 'male' else 'female' end as gender,
          cast([3, 4, 7, 9, 13][c_nationkey % 5 + 1] as integer) as registered_via,
          date '2000-01-01' + cast(c_custkey * 37 % 400 as integer) as registered
-  from customer where c_custkey % 9 <> 0),
+  from customer
+  union all
+  select 'p' || p_partkey, cast(p_size % 25 as integer),
+         cast(floor(p_retailprice / 20) as integer),
+         case when p_type = 'PROMO' then '' else 'female' end,
+         cast([3, 4, 7, 9, 13][p_size % 5 + 1] as integer),
+         date '2000-01-01' + cast(p_partkey * 37 % 400 as integer)
+  from part),
 members as (
   select msno, city, case when bd >= 13 and bd <= 85 then bd end as bd,
          case when gender <> '' then gender end as gender, registered_via,
          cast(registered as date) as registration_init_time
   from members_raw),
 payments as (
-  select cast(o_custkey as varchar) as msno,
-         cast(o_orderkey % 5 as integer) as payment_method_id,
-         cast([0, 7, 30, 30, 30, 90, 180, 410][o_orderkey % 8 + 1] as integer)
-           as payment_plan_days,
-         cast(floor(o_totalprice / 250) as integer) as plan_list_price,
-         cast(floor(o_totalprice / 250) as integer) as actual_amount_paid,
-         o_orderstatus as status, cast(o_orderdate as date) as transaction_date,
-         case when o_orderkey % 4 = 3 then 60 else 0 end as grace,
-         cast(o_orderpriority = '5-LOW' as integer) as is_cancel
-  from orders where o_custkey % 13 <> 5),
+  select msno, cast(number % 5 as integer) as payment_method_id,
+         cast([0, 7, 30, 30, 30, 90, 180, 410][number % 8 + 1] as integer) as payment_plan_days,
+         price as plan_list_price, price as actual_amount_paid, status, transaction_date,
+         case when number % 4 = 3 then 60 else 0 end as grace, is_cancel
+  from (select cast(o_custkey as varchar) as msno, o_orderkey as number,
+               cast(floor(o_totalprice / 250) as integer) as price, o_orderstatus as status,
+               cast(o_orderdate as date) as transaction_date,
+               cast(o_orderpriority = '5-LOW' as integer) as is_cancel
+        from orders
+        union all
+        select 's' || s_suppkey, s_suppkey, cast(floor(abs(s_acctbal) / 25) as integer), 'F',
+               cast(date '2000-01-01' + cast(s_suppkey * 37 % 400 as integer) as date),
+               cast(s_nationkey % 5 = 0 as integer)
+        from supplier)),
 transactions as (
   select msno, payment_method_id, payment_plan_days, plan_list_price, actual_amount_paid,
          cast(payment_plan_days = 30 and status <> 'P' as integer) as is_auto_renew,
@@ -57,7 +71,7 @@ usage_full as (
          0 as num_985,
          case when l_returnflag = 'N' and l_linestatus = 'O'
               then cast(l_quantity as integer) % 11 else 0 end as num_100,
-         cast(l_linenumber as integer) as num_unq, l_extendedprice as total_secs
+         cast(l_linenumber as integer) as num_unq, l_extendedprice / 7 as total_secs
   from lineitem join orders on l_orderkey = o_orderkey),
 usage_increment as (
   select cast(user_id as varchar) as msno,
@@ -68,10 +82,36 @@ usage_increment as (
          cast(event_type = 'click' as integer) as num_75,
          cast(event_type = 'signup' as integer) as num_985,
          cast(event_type = 'purchase' as integer) as num_100,
-         1 as num_unq, value as total_secs
+         1 as num_unq, value / 7 as total_secs
   from events),
 user_logs as (select * from usage_full union all select * from usage_increment)"""
 
+# The same tables with the faults of real deliveries.
+ODD = """
+odd_train as (
+  select * from train union all select * from train where msno like 'n%'
+  union all select null, is_churn from train where msno like 'n%'),
+odd_members as (
+  select * replace (case when registered_via <> 4 or bd > 0 then msno end as msno)
+  from (select * replace (case when registered_via <> 13 then gender end as gender)
+        from members_raw
+        union all
+        select * from members_raw where registered_via = 3)),
+odd_transactions as (
+  select * replace (
+    case when payment_method_id <> 3 or is_cancel <> 1 then msno end as msno,
+    case when payment_method_id <> 2 or is_cancel <> 1 then membership_expire_date end
+      as membership_expire_date,
+    cast(case when payment_method_id = 1 and payment_plan_days in (90, 180) then 1
+              else is_auto_renew end as integer) as is_auto_renew)
+  from transactions),
+odd_logs as (
+  select * replace (
+    case when num_unq <> 7 or num_25 <> 6 then msno end as msno,
+    case when date >= date '1997-03-01' and date <= date '1997-03-31'
+         then least(cast(date + interval 1 month as date), date '1997-04-30') else date end as date)
+  from user_logs)"""
+
 # Intermediate relations of the checks.
 BLOCKS = """
 latest as (
@@ -90,17 +130,17 @@ exposed as (
   from latest l join members using (msno)),
 logs as (
   select *, num_50 + num_75 + num_985 + num_100 > 0 as active,
-         cast(round(total_secs * 100) as bigint) as cents
+         cast(floor(total_secs) as hugeint) * 1000000000
+           + cast(round_even((total_secs - floor(total_secs)) * 1000000000, 0) as bigint) as ns
   from user_logs where date >= date '2000-10-01' and date <= date '2000-12-31'),
 heard as (
-  select msno, cast(sum(cents) as bigint) as cents,
-         cast(coalesce(sum(cents) filter (active), 0) as bigint) as active_cents,
+  select msno, sum(ns) as ns, coalesce(sum(ns) filter (active), 0) as active_ns,
          cast(sum(num_25 + num_50 + num_75 + num_985 + num_100) as bigint) as total_songs,
          cast(sum(num_25) as bigint) as skipped_songs,
          count(distinct date) filter (active) as active_days
   from logs group by msno),
 usage as (
-  select msno, is_churn, cents, total_songs, skipped_songs,
+  select msno, is_churn, ns, total_songs, skipped_songs,
          coalesce(active_days, 0) as active_days
   from train left join heard using (msno)),
 rated as (
@@ -116,9 +156,9 @@ clipped as (
 features as (
   select msno, is_churn, is_auto_renew, transaction_date, payment_plan_days, actual_amount_paid,
          possible_exposure_days, active_days, rate4 / 10000.0 as active_day_rate,
-         (2 * cents + 60) // 120 as mins2,
-         case when active_days > 0
-              then (2 * cents + 60 * active_days) // (120 * active_days) else 0 end as daily2,
+         (200 * ns + 60000000000) // 120000000000 as mins2,
+         case when active_days > 0 then (200 * ns + 60000000000 * active_days)
+                // (120000000000 * active_days) else 0 end as daily2,
          total_songs, skipped_songs,
          case when total_songs > 0
               then (20000 * skipped_songs + total_songs) // (2 * total_songs) else 0 end as skip2
@@ -161,14 +201,14 @@ _FEATURES = """select msno, is_churn, is_auto_renew, transaction_date, payment_p
   skipped_songs, skip2 / 100.0 as skip_rate from features"""
 
 
-def _scenario(source: str) -> str:
+def _scenario(source: str, best: str = "0.0383::double", safe: str = "0.1195::double") -> str:
     """Unrounded results per plan type of users on plans longer than a month."""
     return f"""scenario as (
   select plan_type, users, revenue, today,
-         churned - users * 0.0383::double as kept_best,
-         (churned - users * 0.0383::double) * revenue as gain_best,
-         churned - users * 0.1195::double as kept_safe,
-         (churned - users * 0.1195::double) * revenue as gain_safe
+         churned - users * {best} as kept_best,
+         (churned - users * {best}) * revenue as gain_best,
+         churned - users * {safe} as kept_safe,
+         (churned - users * {safe}) * revenue as gain_safe
   from (select case when payment_plan_days <= 90 then 'Quarterly' else 'Long-term' end
                  as plan_type,
                count(*) as users, sum(is_churn) as churned,
@@ -183,9 +223,9 @@ scenario_lines as (
 
 
 _SCENARIO_LINES = """select plan_type, users, round(revenue, 2) as annual_revenue_per_user_usd,
-  round(kept_best) as users_retained_optimistic, round(gain_best) as annual_revenue_optimistic_usd,
-  round(kept_safe) as users_retained_conservative,
-  round(gain_safe) as annual_revenue_conservative_usd from scenario_lines"""
+  round(kept_best) + 0.0::double as users_retained_optimistic, round(gain_best) + 0.0::double as annual_revenue_optimistic_usd,
+  round(kept_safe) + 0.0::double as users_retained_conservative,
+  round(gain_safe) + 0.0::double as annual_revenue_conservative_usd from scenario_lines"""
 
 
 def _schema_lines() -> str:
@@ -211,10 +251,11 @@ def _key_lines() -> str:
     return " union all ".join(
         f"select '{table}' as table_name, count(*) as rows,"
         " count(distinct msno) as distinct_keys,"
-        f" (select count(*) from (select msno from {table} where msno is not null"
+        f" (select count(*) from (select msno from {odd} where msno is not null"
         " group by msno having count(*) > 1)) as repeated_keys,"
-        f" count(*) filter (msno is null) as null_keys from {table}"
-        for table in ("train", "members", "transactions", "user_logs")
+        f" count(*) filter (msno is null) as null_keys from {odd}"
+        for table, odd in (("train", "odd_train"), ("members", "odd_members"),
+                           ("transactions", "odd_transactions"), ("user_logs", "odd_logs"))
     )
 
 
@@ -230,9 +271,9 @@ having count(distinct (payment_method_id, payment_plan_days, plan_list_price, ac
 
 _INTENSITY = f"""
 select is_churn, count(*) as users,
-       round(avg(active_cents / (6000.0::double * h.active_days)), 2)
+       round(avg(active_ns / (60000000000.0::double * h.active_days)), 2)
          as avg_mins_per_active_day,
-       round(quantile_cont(active_cents / (6000.0::double * h.active_days), 0.5), 2)
+       round(quantile_cont(active_ns / (60000000000.0::double * h.active_days), 0.5), 2)
          as median_mins_per_active_day
 from train join heard h using (msno) where h.active_days > 0 group by is_churn"""
 
@@ -267,7 +308,9 @@ _SELECTS: dict[str, str] = {
     "c1_rejected_dates": """select count(*) as total,
         count(*) - count(transaction_date) as transaction_date_rejected,
         count(*) - count(membership_expire_date) as membership_expire_date_rejected
-        from transactions""",
+        from odd_transactions""",
+    "c7_rejected_seconds": """select count(*) as total,
+        count(*) filter (num_unq in (5, 6)) as total_secs_rejected from user_logs""",
     "c2_epoch_ms_to_date": """select msno, city, bd, gender, registered_via,
         cast(registered as date) as registration_init_time from members_raw""",
     "c3_null_out_of_range":
@@ -282,7 +325,7 @@ _SELECTS: dict[str, str] = {
     # Profiling
     "p1_null_audit": "select " + ", ".join(
         f"count(*) filter ({c} is null) as {c}_nulls" for c in _TXN_COLUMNS
-    ) + " from transactions",
+    ) + " from odd_transactions",
     "p2_range_profile": "select " + ", ".join(
         f"min({c}) as min_{c}, max({c}) as max_{c}" for c in _RANGES) + " from transactions",
     "p3_anomaly_rows": """select msno, plan_list_price, is_cancel, actual_amount_paid,
@@ -295,13 +338,13 @@ _SELECTS: dict[str, str] = {
         count(*) as rows from user_logs group by 1 order by 1""",
     "p8_month_gaps": """select cast(m as date) as month from (
           select unnest(generate_series(date_trunc('month', min(date)),
-                 date_trunc('month', max(date)), interval 1 month)) as m from user_logs)
+                 date_trunc('month', max(date)), interval 1 month)) as m from odd_logs)
         where cast(m as date) not in (
-          select cast(date_trunc('month', date) as date) from user_logs)""",
+          select cast(date_trunc('month', date) as date) from odd_logs)""",
     "p8_month_coverage": """select min(m) as first_month, max(m) as last_month,
         count(*) as months_present,
         date_diff('month', min(m), max(m)) + 1 - count(*) as months_missing
-        from (select distinct cast(date_trunc('month', date) as date) as m from user_logs)""",
+        from (select distinct cast(date_trunc('month', date) as date) as m from odd_logs)""",
     "p9_numeric_summary": """select min(bd) as smallest, max(bd) as largest, avg(bd) as average
         from members_raw""",
     "p10_band_profile": """select count(*) as total,
@@ -313,7 +356,7 @@ _SELECTS: dict[str, str] = {
     "p13_category_counts_gender":
         "select gender, count(*) as rows from members_raw group by gender",
     "p14_null_vs_blank": """select count(*) filter (gender is null) as true_null,
-        count(*) filter (gender = '') as empty_string from members_raw""",
+        count(*) filter (gender = '') as empty_string from odd_members""",
     "p15_category_counts_city": "select city, count(*) as rows from members_raw group by city",
     "p16_missingness_by": """select registered_via, count(*) as total_users,
         count(*) filter (gender is null) as missing_gender from members group by registered_via
@@ -377,8 +420,8 @@ _SELECTS: dict[str, str] = {
     "u1e_skip_rate": "select msno, skip2 / 100.0 as skip_rate from features",
     # Usage against churn
     "a11_listening_time_by_label": """select is_churn,
-        cast(sum(cents) * 10 as double) / 60000 / count(cents) as avg_listen_time_min
-        from usage where cents is not null group by is_churn""",
+        cast(sum(ns) as double) / 60000000000 / count(ns) as avg_listen_time_min
+        from usage where ns is not null group by is_churn""",
     "a12_skip_rate_by_label": """select is_churn, count(*) as no_users,
         round(avg(skipped_songs / total_songs) * 100, 2) as avg_skip_rate
         from usage where total_songs > 0 group by is_churn""",
@@ -402,7 +445,7 @@ _SELECTS: dict[str, str] = {
     "a24_plan_type_churn": _segments("cohort", "plan_type, is_auto_renew", "churn_rate_pct"),
     "a25_plan_length_adoption": f"""select payment_plan_days, count(*) as users,
         {_pct('sum(is_auto_renew)', 'count(*)')} as pct_auto_renew, {_RATE} as churn_rate_pct
-        from cohort group by payment_plan_days having count(*) > 160""",
+        from cohort group by payment_plan_days having count(*) > 500""",
     "a25b_plan_length_all_txn": """select payment_plan_days, count(*) as txns,
         cast(sum(is_auto_renew) as bigint) as auto_renew_txns, count(distinct msno) as users
         from transactions where payment_plan_days in (30, 90, 100, 180, 195, 360, 410)
@@ -410,6 +453,19 @@ _SELECTS: dict[str, str] = {
     "a25c_non_monthly_auto_total": """select count(*) as txns,
         cast(sum(is_auto_renew) as bigint) as auto_renew_txns
         from transactions where payment_plan_days in (90, 100, 180, 195, 360, 410)""",
+    "a25c_auto_renew_on_longer_plans": """select count(*) as txns,
+        cast(sum(is_auto_renew) as bigint) as auto_renew_txns
+        from odd_transactions where payment_plan_days in (90, 100, 180, 195, 360, 410)""",
+    "r11_kpi_adoption_with_renewals": f"""select count(*) as users,
+        {_pct('sum(is_auto_renew)', 'count(*)')} as pct_auto_renew
+        from (select * from odd_transactions
+              where transaction_date <= date '2000-12-31' and msno is not null
+              qualify row_number() over (
+                partition by msno
+                order by transaction_date desc, membership_expire_date desc nulls last,
+                  payment_plan_days desc, plan_list_price desc, actual_amount_paid desc,
+                  is_auto_renew desc, payment_method_id desc, is_cancel) = 1)
+        join train using (msno) where payment_plan_days > 30""",
     # Figures from the feature table, and indicators
     "r1_features_skip_rate": _feature_mean("skip2", 100, "avg_skip_rate"),
     "r2_features_intensity": _feature_mean("daily2", 100, "avg_mins_per_active_day"),
@@ -471,9 +527,15 @@ def statements(tables: str = TABLES + ",") -> dict[str, str]:
     the connection already has.
     """
     shared = f"with {tables}{BLOCKS}"
-    result = {name: f"{shared}\n{select}" for name, select in _SELECTS.items()}
+    result = {
+        name: (f"with {tables}{ODD}\n{select}" if "odd_" in select else f"{shared}\n{select}")
+        for name, select in _SELECTS.items()
+    }
     result["b1_tie_report"] = f"{shared},{_TIED}"
     result["a26_retention_scenario"] = f"{shared},\n{_scenario('cohort')}\n{_SCENARIO_LINES}"
+    rate = "(select {} / 100.0::double from cohort where plan_type = 'Monthly' and is_auto_renew = {})"
+    best, safe = (rate.format(_RATE, auto) for auto in (1, 0))
+    result["a26_observed_scenario"] = f"{shared},\n{_scenario('cohort', best, safe)}\n{_SCENARIO_LINES}"
     result["a26t_retention_scenario_total"] = (
         result["a26_retention_scenario"] + " where plan_type = 'TOTAL'"
     )
