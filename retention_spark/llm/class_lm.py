@@ -37,7 +37,7 @@ END, OTHER, UNKNOWN = CLASSES, CLASSES + 1, CLASSES + 2
 SWEEPS, ROUNDS = 6, 2
 #: Shares of trigrams, bigrams and single classes; what a known word gives up for unknown ones.
 SHARES, DISCOUNT = (0.5, 0.35, 0.15), 0.5
-SLICE = 12 << 20
+SLICE = 4 << 20
 
 _CONTEXTS = CLASSES + 2
 
@@ -147,9 +147,11 @@ def _contexts(lexicon: pa.Table):
             left[first[:-1]] = END
             real = token < kinds
             wide = 2 * _CONTEXTS
-            pair = np.concatenate((token[real] * wide + left[real],
-                                   token[real] * wide + _CONTEXTS + right[real]))
-            pair, count = np.unique(pair, return_counts=True)
+            token = token[real] * wide
+            pair = np.concatenate((token + left[real], token + _CONTEXTS + right[real]))
+            pair.sort()
+            begin = np.flatnonzero(np.diff(pair, prepend=-1))
+            pair, count = pair[begin], np.diff(np.append(begin, len(pair)))
             bounds = np.searchsorted(pair // wide, np.arange(kinds + 1)) * 4
             packed = np.column_stack((pair % wide, np.minimum(count, 65535))).astype(np.uint16)
             many = np.flatnonzero(count > 65535)  # the rest of a large count gets rows of its own
