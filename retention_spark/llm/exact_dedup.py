@@ -8,17 +8,15 @@ folder in order of their key range; owner tasks read a range each, chain the dif
 a hash and compare them byte by byte.
 
 Equal texts are combined where they are read, so a group of copies reaches its owner as a row
-for each Arrow batch, however many copies there are; only texts whose hash occurs twice are moved at all.
+for each task that read some, however many copies there are; only texts whose hash occurs twice are
+moved at all.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import ascii_lower, fresh, if_small, save
@@ -47,68 +45,28 @@ def _prefix(depth: int | Column) -> Column:
 
 def directory(keys: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """The buckets (bucket, depth) over distinct hashes, split until none holds more than
-    `capacity`; `bucket` is the first `depth` bits, the rest 0. Every split bucket holds more
+    `capacity` or else a single hash; `bucket` is the first `depth` bits, the rest 0. Every split bucket holds more
     than `capacity` keys, so the directory has at most a few rows per `capacity` keys."""
     total = keys.count()
     depth = max(0, (total // capacity).bit_length())
     pending, done = keys.select("hash"), None
     while True:
         counted = save(pending.groupBy(_prefix(depth).alias("bucket")).agg(
-            F.count(F.lit(1)).alias("held")), "exact-directory")
-        fits = counted.filter((F.col("held") <= capacity) | F.lit(depth >= 64)).select(
-            "bucket", F.lit(depth).alias("depth"))
+            F.count(F.lit(1)).alias("held"),
+            (F.min("hash") < F.max("hash")).alias("splits")), "exact-directory")
+        splits = (F.col("held") > capacity) & F.col("splits")
+        fits = counted.filter(~splits).select("bucket", F.lit(depth).alias("depth"))
         done = fits if done is None else done.unionByName(fits)
-        over = counted.filter(F.col("held") > capacity).select("bucket")
-        splits = over.count() if depth < 64 else 0
-        if not splits:
+        over = counted.filter(splits).select("bucket")
+        left = over.count()
+        if not left:
             return save(done, "exact-directory")
         # Only keys of overfull buckets are looked at again, a bit deeper.
-        pending = pending.join(if_small(over, splits), _prefix(depth) == F.col("bucket"),
+        pending = pending.join(if_small(over, left), _prefix(depth) == F.col("bucket"),
                                "left_semi")
         depth += 1
 
 
-def _combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row for the equal texts of a batch: their number and largest doc_id."""
-    for batch in batches:
-        table = pa.Table.from_batches([batch]).group_by(["hash", "text"]).aggregate(
-            [("doc_id", "max"), ("hash", "count")])
-        table = table.select(["hash", "text", "doc_id_max", "hash_count"])
-        yield from table.rename_columns(["hash", "text", "top", "size"]).to_batches()
-
-
-def _chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows in order of hash: the different texts of each hash, compared byte by byte."""
-    names, schema = ["bucket", "hash", "chain", "text", "top", "size"], None
-    current, chain = None, []
-
-    def closed() -> dict[str, list]:
-        rows = [(bucket, current, k, *row) for k, (bucket, *row) in enumerate(chain)]
-        return {n: [r[i] for r in rows] for i, n in enumerate(names)}
-
-    for batch in batches:
-        schema = schema or pa.schema([
-            ("bucket", pa.int64()), ("hash", pa.int64()), ("chain", pa.int64()),
-            ("text", batch.schema.field("text").type), ("top", pa.int64()), ("size", pa.int64())])
-        ready = {n: [] for n in names}
-        for bucket, key, text, top, size in zip(*(batch.column(n).to_pylist() for n in (
-                "bucket", "hash", "text", "top", "size")), strict=True):
-            if key != current:
-                for n, values in closed().items():
-                    ready[n] += values
-                current, chain = key, []
-            for link in chain:
-                if link[1] == text:
-                    link[2] = max((x for x in (link[2], top) if x is not None), default=None)
-                    link[3] += size
-                    break
-            else:
-                chain.append([bucket, text, top, size])
-        yield pa.RecordBatch.from_pydict(ready, schema)
-    if chain:
-        yield pa.RecordBatch.from_pydict(closed(), schema)
-
-
 def hashed(docs: DataFrame, hash_bits: int = 64) -> DataFrame:
     """doc_id, the normalised text, its hash (the first `hash_bits` of it) and its length."""
     text = ascii_lower(F.col("text"))
@@ -129,14 +87,14 @@ def build_index(docs: DataFrame, records: DataFrame, capacity: int = CAPACITY,
     buckets = directory(keys, capacity)
     shared = save(keys.filter("records > 1").select("hash"), "exact-shared")
     texts = hashed(docs, hash_bits).join(if_small(shared), "hash", "left_semi")
-    combined = texts.select("hash", "text", "doc_id").mapInArrow(
-        _combine, "hash bigint, text string, top bigint, size bigint")
+    # The group's key is the text: its bytes are compared, first where rows are read.
+    combined = texts.groupBy("hash", "text").agg(
+        F.max("doc_id").alias("top"), F.count(F.lit(1)).alias("size"))
     # Range partitioning gives each owner whole hashes, in order of the buckets' key ranges.
-    owned = combined.repartitionByRange("hash").sortWithinPartitions("hash")
     deepest = buckets.agg(F.coalesce(F.max("depth"), F.lit(0))).first()[0]
-    placed = owned.withColumn("bucket", _prefix(deepest))
-    chains = placed.mapInArrow(
-        _chain, "bucket bigint, hash bigint, chain bigint, text string, top bigint, size bigint")
+    owned = combined.withColumn("bucket", _prefix(deepest)).repartitionByRange("bucket", "hash")
+    link = F.row_number().over(Window.partitionBy("bucket", "hash").orderBy("text")) - 1
+    chains = owned.select("bucket", "hash", link.alias("chain"), "text", "top", "size")
     return Index(buckets, keys, save(chains, "exact-chains"))
 
 
