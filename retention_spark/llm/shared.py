@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 import numpy as np
@@ -30,28 +31,47 @@ def workers_import_package(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in `spark.checkpoint.dir`; where it is unset, one is set for a local session."""
+    """The folder in `spark.checkpoint.dir`; where it is unset, a local session gets one."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         if not spark.sparkContext.master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder that every executor reaches")
         folder = Path(tempfile.gettempdir(), "checkpoints").as_uri()
-        spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
 
 def save(df: DataFrame, name: str) -> DataFrame:
     """Write a table below the shared folder and read it back: lineage ends there, and any
     executor can read it after others are lost."""
-    spark, path = df.sparkSession, f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    # The write's shuffle files have served their purpose when it is done.
+    spark, path = df.sparkSession, _fresh_path(df.sparkSession, name)
+    with _shuffles_deleted(spark):
+        df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def save_by_key(df: DataFrame, key: str, buckets: int, name: str) -> DataFrame:
+    """Like `save`, in buckets of the key: joins and groups by it shuffle the other side only."""
+    spark, path = df.sparkSession, _fresh_path(df.sparkSession, name)
+    table = path.rpartition("/")[2].replace("-", "_")
+    with _shuffles_deleted(spark):
+        (df.repartition(buckets, key).write.bucketBy(buckets, key).option("path", path)
+         .format("parquet").saveAsTable(table))
+    return spark.table(table)
+
+
+def _fresh_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def _shuffles_deleted(spark: SparkSession) -> Iterator[None]:
+    """A write's shuffle files have served their purpose when it is done."""
     before = spark.conf.get(_CLEANUP, "false")
     spark.conf.set(_CLEANUP, "true")
     try:
-        df.write.parquet(path)
+        yield
     finally:
         spark.conf.set(_CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
 
 
 def if_small(ids: DataFrame, rows: int | None = None) -> DataFrame:
