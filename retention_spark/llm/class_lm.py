@@ -7,9 +7,11 @@ class that raises the likelihood of the class bigrams most.
 1. Words are counted over all training text (combined by piece of the table before the shuffle).
 2. Exchange proper runs over the CORE most frequent words, whose bigrams fill a table of fixed size;
    all other words are one fixed class there.
-3. An exchange step then takes every word to its best class, by the classes to its left and right over
-   all training text. First only the core's classes are known there, then those of the LEXICON most
-   frequent words; this bounded lexicon is what tasks are sent.
+3. A step then takes every word to its best class at once, by the classes to its left and right over
+   all training text. Only the core has classes at first; from the first step on every neighbour counts
+   with its own, those of the LEXICON most frequent words, a bounded table that tasks are sent, and those
+   of all others, which are joined. Steps go on until the likelihood of the class bigrams stops
+   rising; a step that doesn't raise it is taken back.
 4. Texts become sequences of classes. Words beyond the lexicon are looked up by a join.
 5. Class trigrams are counted over all training sequences, a table of fixed size, and texts are scored.
 
@@ -28,18 +30,20 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import words
-from .shared import save, text_slices
+from .shared import discard, save, text_slices
 
 CLASSES, CORE, LEXICON = 64, 1000, 200_000
-#: The class of the end of a text, the context of a word whose class isn't known, and the class of
+#: The class of the end of a text, that of all words but the core before the first step, and that of
 #: words that training text lacks.
 END, OTHER, UNKNOWN = CLASSES, CLASSES + 1, CLASSES + 2
-SWEEPS, ROUNDS = 6, 2
+SWEEPS = 6
 #: Shares of trigrams, bigrams and single classes; what a known word gives up for unknown ones.
 SHARES, DISCOUNT = (0.5, 0.35, 0.15), 0.5
 SLICE = 4 << 20
 
 _CONTEXTS = CLASSES + 2
+_CELL = np.dtype([("context", "<u2"), ("n", "<i8")])
+_GATHERED = "word binary, n bigint, class int, packed binary, context int"
 
 
 def held_out(doc_id: Column) -> Column:
@@ -133,9 +137,10 @@ def exchange(bigrams: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS)
     return of
 
 
-def _contexts(lexicon: pa.Table):
+def _contexts(lexicon: pa.Table, others: bool):
     """For each word of a piece, the contexts it stands in: class to the left, or
-    _CONTEXTS + class to the right, and how often."""
+    _CONTEXTS + class to the right, and how often. With `others`, words beyond the lexicon count as the
+    class OTHER; without, contexts of such words are left out."""
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = np.append(lexicon.column("class").to_numpy(), OTHER)
         for piece in text_slices(batches, "text", SLICE):
@@ -145,10 +150,10 @@ def _contexts(lexicon: pa.Table):
             token, _ = _with_ends(found, np.arange(kinds), kinds)
             left, right = np.roll(classes, 1), np.roll(classes, -1)
             left[first[:-1]] = END
-            real = token < kinds
             wide = 2 * _CONTEXTS
-            token = token[real] * wide
-            pair = np.concatenate((token + left[real], token + _CONTEXTS + right[real]))
+            pair = np.concatenate([token[real] * wide + side + context[real]
+                                   for side, context in ((0, left), (_CONTEXTS, right))
+                                   for real in [(token < kinds) & (others | (context != OTHER))]])
             pair.sort()
             begin = np.flatnonzero(np.diff(pair, prepend=-1))
             pair, count = pair[begin], np.diff(np.append(begin, len(pair)))
@@ -169,51 +174,112 @@ def _contexts(lexicon: pa.Table):
     return gather
 
 
+def _far_neighbours(lexicon: pa.Table):
+    """Rows (word, side, other, n): the neighbours of a piece's words that the lexicon lacks; `side` is 0
+    to the left and _CONTEXTS to the right."""
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in text_slices(batches, "text", SLICE):
+            found = words.split(piece.column("text"))
+            kinds = len(found.distinct)
+            far = np.append(_lookup(found.distinct, lexicon) < 0, False)
+            token, first = _with_ends(found, np.arange(kinds), kinds)
+            before, after = np.roll(token, 1), np.roll(token, -1)
+            before[first[:-1]] = kinds
+            for side, other in ((0, before), (_CONTEXTS, after)):
+                here = (token < kinds) & far[other]
+                pair, count = np.unique(token[here].astype(np.int64) * (kinds + 1) + other[here],
+                                        return_counts=True)
+                yield pa.RecordBatch.from_arrays(
+                    [found.distinct.take(pa.array(pair // (kinds + 1))).cast(pa.binary()),
+                     pa.array(np.full(len(pair), side, np.int32)),
+                     found.distinct.take(pa.array(pair % (kinds + 1))).cast(pa.binary()),
+                     pa.array(count.astype(np.int64))], ["word", "side", "other", "n"])
+    return gather
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (word, context, n) in the form of `_contexts`."""
+    for batch in batches:
+        counts = batch.column("n").to_numpy()
+        parts = -(-counts // 65535)
+        of = np.repeat(np.arange(len(counts)), parts)
+        part = np.arange(len(of)) - np.repeat(np.cumsum(parts) - parts, parts)
+        cells = np.column_stack((batch.column("context").to_numpy()[of],
+                                 np.minimum(counts[of] - part * 65535, 65535))).astype(np.uint16)
+        bounds = np.arange(len(of) + 1, dtype=np.int32) * 4
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("word").take(pa.array(of)), pa.Array.from_buffers(
+                pa.binary(), len(of), [None, pa.py_buffer(bounds), pa.py_buffer(cells.tobytes())])],
+            ["word", "packed"])
+
+
+def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (word, n, class, packed) in order of word, of which one per word has n and class: one row per word
+    with all its contexts, and at the end the class bigrams that the task's words make."""
+    wide = 2 * _CONTEXTS
+    made = np.zeros((_CONTEXTS, wide), np.int64)
+    schema = pa.schema([("word", pa.binary()), ("n", pa.int64()), ("class", pa.int32()),
+                        ("packed", pa.binary()), ("context", pa.int32())])
+
+    def close(names: list[bytes], counts: np.ndarray, own: np.ndarray) -> pa.RecordBatch:
+        np.add.at(made, own[:, 1], counts)
+        word, context = np.nonzero(counts)
+        cells = np.empty(len(word), _CELL)
+        cells["context"], cells["n"] = context, counts[word, context]
+        bounds = np.searchsorted(word, np.arange(len(names) + 1)) * _CELL.itemsize
+        return pa.RecordBatch.from_arrays(
+            [pa.array(names, pa.binary()), pa.array(own[:, 0]), pa.array(own[:, 1].astype(np.int32)),
+             pa.Array.from_buffers(pa.binary(), len(names), [
+                 None, pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(cells.tobytes())]),
+             pa.nulls(len(names)).cast(pa.int32())], schema=schema)
+
+    last, held = None, None
+    for batch in batches:
+        names = batch.column("word").to_pylist()
+        new = np.array([i == 0 or names[i] != names[i - 1] for i in range(len(names))])
+        group = np.cumsum(new) - 1
+        sizes = pc.fill_null(pc.binary_length(batch.column("packed")), 0).to_numpy() // 4
+        cells = np.frombuffer(b"".join(filter(None, batch.column("packed").to_pylist())), np.uint16)
+        cells = cells.reshape(-1, 2).astype(np.int64)
+        counts = np.bincount(np.repeat(group, sizes) * wide + cells[:, 0],
+                             weights=cells[:, 1], minlength=(group[-1] + 1) * wide)
+        counts = counts.astype(np.int64).reshape(-1, wide)
+        own = np.column_stack([np.bincount(
+            group, weights=pc.fill_null(batch.column(name), 0).to_numpy()).astype(np.int64)
+            for name in ("n", "class")])
+        ready = [names[i] for i in np.flatnonzero(new)]
+        if last == ready[0]:
+            counts[0] += held[0]
+            own[0] += held[1]
+        elif last is not None:
+            yield close([last], held[0][None], held[1][None])
+        last, held = ready[-1], (counts[-1], own[-1])
+        if len(ready) > 1:
+            yield close(ready[:-1], counts[:-1], own[:-1])
+    if last is not None:
+        yield close([last], held[0][None], held[1][None])
+    full = np.argwhere(made)
+    none = pa.nulls(len(full)).cast(pa.binary())
+    yield pa.RecordBatch.from_arrays(
+        [none, pa.array(made[tuple(full.T)]), pa.array(full[:, 0].astype(np.int32)), none,
+         pa.array(full[:, 1].astype(np.int32))], schema=schema)
+
+
 def _choose(table: np.ndarray):
-    """Rows (word, packed) in order of word: each word's best class under a table of class
-    bigrams, and at the end the class bigrams that the task's words then make."""
+    """Each word's best class by its contexts under a table of class bigrams."""
     log = np.log(table + 0.5)
     gain = np.concatenate((log[:, :CLASSES] - np.log(table.sum(axis=0) + 1)[:CLASSES],
                            log[:CLASSES].T - np.log(table.sum(axis=1) + 1)[:CLASSES]))
-    schema = pa.schema([("word", pa.binary()), ("class", pa.int32()), ("context", pa.int32()),
-                        ("n", pa.int64())])
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made = np.zeros((CLASSES, 2 * _CONTEXTS), np.int64)
-        last, held = None, np.zeros(2 * _CONTEXTS, np.int64)
-
-        def close(names: list[bytes], counts: np.ndarray) -> pa.RecordBatch:
-            best = (counts @ gain).argmax(axis=1).astype(np.int32)
-            np.add.at(made, best, counts)
-            none = pa.nulls(len(names))
-            return pa.RecordBatch.from_arrays(
-                [pa.array(names, pa.binary()), pa.array(best), none.cast(pa.int32()),
-                 pa.array(counts.sum(axis=1))], schema=schema)
-
         for batch in batches:
-            names = batch.column("word").to_pylist()
-            new = np.array([i == 0 or names[i] != names[i - 1] for i in range(len(names))])
-            group = np.cumsum(new) - 1
-            sizes = pc.binary_length(batch.column("packed")).to_numpy() // 4
-            cells = np.frombuffer(b"".join(batch.column("packed").to_pylist()), np.uint16)
-            cells = cells.reshape(-1, 2).astype(np.int64)
-            counts = np.bincount(np.repeat(group, sizes) * 2 * _CONTEXTS + cells[:, 0],
-                                 weights=cells[:, 1], minlength=(group[-1] + 1) * 2 * _CONTEXTS)
-            counts = counts.astype(np.int64).reshape(-1, 2 * _CONTEXTS)
-            ready = [names[i] for i in np.flatnonzero(new)]
-            if last == ready[0]:
-                counts[0] += held
-            elif last is not None:
-                yield close([last], held[None])
-            last, held = ready[-1], counts[-1]
-            if len(ready) > 1:
-                yield close(ready[:-1], counts[:-1])
-        if last is not None:
-            yield close([last], held[None])
-        full = np.argwhere(made)
-        yield pa.RecordBatch.from_arrays(
-            [pa.nulls(len(full)).cast(pa.binary()), pa.array(full[:, 0].astype(np.int32)),
-             pa.array(full[:, 1].astype(np.int32)), pa.array(made[tuple(full.T)])], schema=schema)
+            sizes = pc.binary_length(batch.column("packed")).to_numpy() // _CELL.itemsize
+            cells = np.frombuffer(b"".join(batch.column("packed").to_pylist()), _CELL)
+            counts = np.zeros((batch.num_rows, 2 * _CONTEXTS))
+            counts[np.repeat(np.arange(batch.num_rows), sizes), cells["context"]] = cells["n"]
+            best = (counts @ gain).argmax(axis=1).astype(np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("word"), batch.column("n"), pa.array(best)], ["word", "n", "class"])
 
     return pick
 
@@ -224,21 +290,29 @@ def _bigram_table(made: DataFrame) -> np.ndarray:
     for row in made.groupBy("class", "context").agg(F.sum("n").alias("n")).collect():
         if row.context < _CONTEXTS:
             table[row.context, row["class"]] += row.n
-        elif row.context - _CONTEXTS >= CLASSES:  # words to the right are counted as words
-            table[row["class"], row.context - _CONTEXTS] += row.n
+        elif row.context - _CONTEXTS == END:  # words to the right are counted as words
+            table[row["class"], END] += row.n
     return table
 
 
+def likelihood(table: np.ndarray) -> float:
+    """Log likelihood of class bigrams, but for what no change of classes alters."""
+    return float(sum(sign * (x[x > 0] * np.log(x[x > 0])).sum() for sign, x in (
+        (1, table), (-1, table.sum(axis=0)), (-1, table.sum(axis=1)))))
+
+
 @dataclass
 class Model:
     """`vocabulary` (word, n, class) of all training words; `lexicon`, its most frequent words, as a table;
-    N tokens and V different ones in training text, ends included; training texts."""
+    N tokens and V different ones in training text, ends included; training texts; and the likelihood
+    after each step, the last of which was taken back."""
 
     vocabulary: DataFrame
     lexicon: pa.Table
     tokens: int
     kinds: int
     texts: int
+    likelihoods: list[float]
 
 
 def _top(vocabulary: DataFrame, rows: int) -> pa.Table:
@@ -264,18 +338,55 @@ def fit(docs: DataFrame) -> Model:
     table = np.zeros((_CONTEXTS, _CONTEXTS))
     np.add.at(table, (of[:, None], of[None, :]), bigrams)
     lexicon = pa.table({"word": core.column("word"), "class": of[: core.num_rows]})
-    for _ in range(ROUNDS):
-        spark = docs.sparkSession
-        sent = spark.sparkContext.broadcast(lexicon)
-        found = texts.mapInArrow(lambda b, s=sent: _contexts(s.value)(b),
+
+    def gathered(vocabulary: DataFrame, lexicon: pa.Table, far: DataFrame | None,
+                 others: bool = False) -> DataFrame:
+        sent = docs.sparkSession.sparkContext.broadcast(lexicon)
+        found = texts.mapInArrow(lambda b: _contexts(sent.value, others)(b),
                                  "word binary, packed binary")
-        chosen = save(found.repartition("word").sortWithinPartitions("word").mapInArrow(
-            _choose(table), "word binary, class int, context int, n bigint"), "lm-classes")
-        classed = chosen.filter("context is null").select("word", "class")
-        vocabulary = save(counted.join(classed, "word"), "lm-vocabulary")
-        table = _bigram_table(chosen.filter("context is not null"))
-        lexicon = _top(vocabulary, LEXICON)
-    return Model(vocabulary, lexicon, int(total[0]) + size, int(total[1]) + bool(size), size)
+        if far:
+            classed = vocabulary.select(F.col("word").alias("other"), "class")
+            context = (F.col("side") + F.col("class")).alias("context")
+            found = found.unionByName(far.join(classed, "other").groupBy("word", context).agg(
+                F.sum("n").alias("n")).mapInArrow(_packed, "word binary, packed binary"))
+        rows = found.unionByName(vocabulary, allowMissingColumns=True).select(
+            "word", "n", "class", "packed")
+        out = save(rows.repartition("word").sortWithinPartitions("word").mapInArrow(
+            _merge, _GATHERED), "lm-contexts")
+        sent.unpersist()
+        return out
+
+    def step(contexts: DataFrame, table: np.ndarray) -> DataFrame:
+        return save(contexts.filter("context is null").mapInArrow(
+            _choose(table), "word binary, n bigint, class int"), "lm-vocabulary")
+
+    unclassed = counted.withColumn("class", F.lit(OTHER))
+    contexts = gathered(unclassed, lexicon, None, others=True)
+    proposed, vocabulary, far = step(contexts, table), None, None
+    discard(contexts)
+    if total[1] > LEXICON:
+        sent = docs.sparkSession.sparkContext.broadcast(_top(counted, LEXICON))
+        far = save(texts.mapInArrow(
+            lambda b: _far_neighbours(sent.value)(b),
+            "word binary, side int, other binary, n bigint").groupBy("word", "side", "other").agg(
+            F.sum("n").alias("n")), "lm-far")
+    likelihoods: list[float] = []
+    while True:
+        lexicon_now = _top(proposed, LEXICON)
+        contexts = gathered(proposed, lexicon_now, far)
+        table = _bigram_table(contexts.filter("context is not null"))
+        likelihoods.append(likelihood(table))
+        if len(likelihoods) > 1 and likelihoods[-1] <= likelihoods[-2]:
+            break
+        if vocabulary:
+            discard(vocabulary)
+        vocabulary, lexicon = proposed, lexicon_now
+        proposed = step(contexts, table)
+        discard(contexts)
+    for left in filter(None, (contexts, proposed, far)):
+        discard(left)
+    return Model(vocabulary, lexicon, int(total[0]) + size, int(total[1]) + bool(size), size,
+                 likelihoods)
 
 
 def _encoded(lexicon: pa.Table, texts: int):

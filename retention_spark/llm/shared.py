@@ -59,6 +59,14 @@ def save_by_key(df: DataFrame, key: str, buckets: int, name: str) -> DataFrame:
     return spark.table(table)
 
 
+def discard(saved: DataFrame) -> None:
+    """Delete a table of `save` that nothing will read again."""
+    spark = saved.sparkSession
+    for folder in {file.rpartition("/")[0] for file in saved.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
 def _fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 

@@ -99,3 +99,32 @@ def test_nothing_to_learn_from(docs_of):
     assert (row.n_tokens, row.n_known, row.train_tokens) == (3, 0, 0)
     assert row.base_score == 0 and row.score <= 0
     assert class_lm.held_out_scores(docs_of([])).collect() == []
+
+
+def _value(rows, of):
+    """Log likelihood of the class bigrams of whole texts, but for a constant."""
+    pairs = Counter()
+    for _, text in rows:
+        classes = [class_lm.END if w is None else of[w.encode()] for w in [None, *_tokens(text)]]
+        pairs.update(p for p in zip(classes, classes[1:], strict=False) if len(classes) > 2)
+    left, right = Counter(), Counter()
+    for (a, b), n in pairs.items():
+        left[a] += n
+        right[b] += n
+    return sum(sign * n * math.log(n) for sign, c in ((1, pairs), (-1, left), (-1, right))
+               for n in c.values())
+
+
+def test_clustering_knows_every_neighbour_and_goes_on_while_the_likelihood_rises(
+        docs_of, monkeypatch):
+    monkeypatch.setattr(class_lm, "CORE", 10)
+    rows, found = _corpus(), []
+    for lexicon in (200_000, 7):  # a small one leaves most neighbours to the join
+        monkeypatch.setattr(class_lm, "LEXICON", lexicon)
+        model = class_lm.fit(docs_of(rows))
+        found.append({bytes(r.word): r["class"] for r in model.vocabulary.collect()})
+        values = model.likelihoods
+        assert all(a < b for a, b in zip(values[:-1], values[1:-1], strict=False))
+        assert len(values) >= 2 and values[-1] <= values[-2]
+        assert math.isclose(_value(rows, found[-1]), values[-2], rel_tol=1e-9)
+    assert found[0] == found[1]
