@@ -22,7 +22,7 @@ from .shared import flat_bytes, if_small, save, text_slices
 #: A chunk ends with probability 2 to the power of -MASK_BITS a byte, not before LEAST bytes,
 #: and at MOST at the latest.
 MASK_BITS, LEAST, MOST = 4, 12, 128
-#: Shorter runs of removable chunks stay: a few words meet by chance.
+#: Shorter runs of removable chunks inside a text stay: a few words meet by chance.
 SHORTEST_RUN = 48
 #: Bytes that the rolling hash looks back on.
 REACH = 32
@@ -110,11 +110,11 @@ def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def runs(begins: np.ndarray, ends: np.ndarray, gone: np.ndarray) -> list[tuple[int, int]]:
-    """Maximal runs of neighbouring chunks that go, of at least SHORTEST_RUN bytes."""
+    """Maximal runs of neighbouring chunks that go, of at least SHORTEST_RUN bytes or the whole text."""
     edge = np.diff(gone.astype(np.int8), prepend=0, append=0)
     pairs = zip(begins[np.flatnonzero(edge == 1)].tolist(),
                 ends[np.flatnonzero(edge == -1) - 1].tolist(), strict=True)
-    return [(a, b) for a, b in pairs if b - a >= SHORTEST_RUN]
+    return [(a, b) for a, b in pairs if b - a >= SHORTEST_RUN or gone.all()]
 
 
 def remaining(text: bytes, spans: list[tuple[int, int]]) -> bytes:

@@ -70,5 +70,14 @@ def test_dedup_equals_brute_force(docs_of):
     assert all(by[i].n_removed > len(passage) / 2 for i in range(4, 12))
 
 
+def test_short_copies_go_whole(docs_of):
+    """Inside a text runs as short stay."""
+    rows = [(1, "a short line of 28 bytes, é."), (2, "a short line of 28 bytes, é."), (3, "b"), (4, "b"),
+            (5, "a short line of 28 bytes, é. " + _words(5, 40))]
+    by = {r.doc_id: r for r in c.chunk_dedup(docs_of(rows)).collect()}
+    assert [by[i].n_removed for i in (1, 2, 3, 4, 5)] == [0, 29, 0, 1, 0]
+    assert by[2].spans == "0:29" and by[4].kept_sha256 == hashlib.sha256(b"").hexdigest()
+
+
 def test_empty_table(docs_of):
     assert c.chunk_dedup(docs_of([])).collect() == []
