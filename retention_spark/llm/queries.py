@@ -7,15 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import (
+    centroids,
     chunking,
     class_lm,
     decontaminate,
     exact_dedup,
     language_id,
+    merkle,
     mixing,
     near_dedup,
     pii,
     preference,
+    quality,
     suffix_dedup,
 )
 from .shared import workers_import_package
@@ -73,6 +76,18 @@ def near_dedup_documents(spark: SparkSession, folder: str) -> DataFrame:
     return near_dedup.near_groups(documents(spark, folder))
 
 
+def merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    return merkle.verified_documents(documents(spark, folder))
+
+
+def centroid_clusters(spark: SparkSession, folder: str) -> DataFrame:
+    return centroids.clusters(table(spark, folder, "embeddings"))
+
+
+def quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.quality(documents(spark, folder))
+
+
 QUERIES: dict[str, Query] = {
     "op1_format_preferences": format_preferences,
     "op2_mix_sources": mix_sources,
@@ -84,10 +99,16 @@ QUERIES: dict[str, Query] = {
     "op8_find_personal_data": find_personal_data,
     "op9_exact_dedup": exact_dedup_documents,
     "op10_near_dedup": near_dedup_documents,
+    "op11_merkle_manifest": merkle_manifest,
+    "op12_centroid_clusters": centroid_clusters,
+    "op13_quality_rules": quality_rules,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_format_preferences": preference.ORACLE_SQL,
     "op2_mix_sources": mixing.ORACLE_SQL,
     "op9_exact_dedup": exact_dedup.ORACLE_SQL,
+    "op11_merkle_manifest": merkle.ORACLE_SQL,
+    "op12_centroid_clusters": centroids.ORACLE_SQL,
+    "op13_quality_rules": quality.ORACLE_SQL,
 }
