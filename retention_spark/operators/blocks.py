@@ -52,6 +52,37 @@ def latest_as_of(transactions: DataFrame, cut: date,
     return ranked.filter("rn = 1").drop("rn")
 
 
+def latest_at_each(transactions: DataFrame, cuts: Sequence[date],
+                   tie_breakers: Sequence[tuple[str, str]] = TIE_BREAKERS) -> DataFrame:
+    """`latest_as_of` at many cut dates at once, with the date in `cut`: an as-of join of users and
+    cuts in one pass and one shuffle.
+
+    A payment belongs to the first cut on or after it. Each user keeps the latest payment of
+    every such span, which combines before the shuffle, and a cut without one takes that of the cut
+    before. Payments after the last cut aren't read.
+    """
+    cuts = sorted(set(cuts))
+    if not cuts:
+        raise ValueError("no cut date")
+    # The greatest struct is the first row of the order: NULL is the least value, so it comes last.
+    keys = [F.col(c) if order == "desc" else -F.col(c) for c, order in tie_breakers]
+    whole = F.struct(*[F.col(c) for c in transactions.columns if c != USER])
+    ranked = F.struct("transaction_date", *[k.alias(f"k{i}") for i, k in enumerate(keys)], whole.alias("row"))
+    bounds = [None, *cuts]
+    spans = [
+        F.max(F.when((F.col("transaction_date") <= F.lit(high)) &
+                     (F.lit(True) if low is None else F.col("transaction_date") > F.lit(low)), ranked))
+        .alias(f"span{i}") for i, (low, high) in enumerate(zip(bounds, cuts))
+    ]
+    best = transactions.filter(F.col("transaction_date") <= F.lit(cuts[-1])).groupBy(USER).agg(*spans)
+    at = [F.struct(F.lit(cut).alias("cut"),
+                   F.coalesce(*[F.col(f"span{j}.row") for j in range(i, -1, -1)]).alias("row"))
+          for i, cut in enumerate(cuts)]
+    held = best.select(USER, F.inline(F.array(*at))).filter("row is not null")
+    columns = [F.col(USER) if c == USER else F.col(f"row.{c}") for c in transactions.columns]
+    return held.select("cut", *columns)
+
+
 def tie_report(transactions: DataFrame, cut: date,
                columns: Sequence[str] = tuple(c for c, _ in TIE_BREAKERS)) -> DataFrame:
     """Users whose payments on their latest day differ, with the number of such payments.
@@ -115,24 +146,32 @@ def _words(cfg: AnalysisConfig) -> list[str]:
     return [f"active_bits_{i}" for i in range(day_bits.word_count(cfg.win_days))]
 
 
+def past_half() -> Column:
+    """Songs of a usage row played past their half; a row with any is active."""
+    return F.col("num_50") + F.col("num_75") + F.col("num_985") + F.col("num_100")
+
+
+def row_sums() -> list[Column]:
+    """Aggregates over usage rows, all of whole numbers: rows, songs, and parts of the seconds."""
+    secs = F.col("total_secs")
+    return [
+        F.count(F.lit(1)).alias("log_rows"),
+        F.sum(F.col("num_25") + past_half()).alias("total_songs"),
+        F.sum("num_25").alias("skipped_songs"),
+        *listening.part_sums(secs, "total"),
+        *listening.part_sums(F.when(past_half() > 0, secs), "active"),
+    ]
+
+
 def usage_by_user(logs: DataFrame, cfg: AnalysisConfig) -> DataFrame:
     """One row per user with usage in the window: everything the analyses need of it.
 
     An active row has a song played past its half; a row with a NULL counter is not active and
     adds no songs. `active_ns` sums active rows, not active days. Unused columns are pruned.
     """
-    past_half = F.col("num_50") + F.col("num_75") + F.col("num_985") + F.col("num_100")
-    active = past_half > 0
-    secs = F.col("total_secs")
-    active_secs = F.when(active, secs)
-    words = day_bits.collect_days(F.col("date"), active, cfg.win_start, cfg.win_days)
+    words = day_bits.collect_days(F.col("date"), past_half() > 0, cfg.win_start, cfg.win_days)
     sums = in_window(logs, cfg).groupBy(USER).agg(
-        F.count(F.lit(1)).alias("log_rows"),
-        F.sum(F.col("num_25") + past_half).alias("total_songs"),
-        F.sum("num_25").alias("skipped_songs"),
-        *listening.part_sums(secs, "total"),
-        *listening.part_sums(active_secs, "active"),
-        *[word.alias(name) for word, name in zip(words, _words(cfg))],
+        *row_sums(), *[word.alias(name) for word, name in zip(words, _words(cfg))]
     )
     return sums.select(
         USER, "log_rows", "total_songs", "skipped_songs",

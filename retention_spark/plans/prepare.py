@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..config import AnalysisConfig
 from ..operators.blocks import USER, exposure, latest_as_of, usage_by_user
+from ..operators.monthly import usage_in_window
 from ..session import scratch_path
 from ..sources.tables import Tables
 
@@ -33,6 +34,15 @@ class PreparedTables(Tables):
             raise ValueError(f"prepared for {mine}, asked for {other}")
 
 
+class MonthlyTables(Tables):
+    """Cleaned tables together with usage per user and month: any window is merged from its months,
+    and no usage row is read."""
+
+    def __init__(self, load: Callable[[str], DataFrame], months: DataFrame):
+        super().__init__(load)
+        self.months = months
+
+
 def prepare(spark: SparkSession, t: Tables, cfg: AnalysisConfig,
             path: str | None = None, buckets: int | None = None) -> PreparedTables:
     """Store both reductions as Parquet and return tables that read them.
@@ -59,7 +69,7 @@ def prepare(spark: SparkSession, t: Tables, cfg: AnalysisConfig,
         return spark.table(table)
 
     latest = store("latest", latest_as_of(t.transactions, cfg.cut))
-    usage = store("usage", usage_by_user(t.user_logs, cfg))
+    usage = store("usage", user_usage(t, cfg))
     both = ("train", "members") if buckets else ()
     kept = {name: store(name, getattr(t, name)) for name in both}
     return PreparedTables(lambda name: kept[name] if name in kept else getattr(t, name), cfg, latest, usage)
@@ -86,6 +96,8 @@ def user_usage(t: Tables, cfg: AnalysisConfig) -> DataFrame:
     if isinstance(t, PreparedTables):
         t.check(cfg)
         return t.usage
+    if isinstance(t, MonthlyTables):
+        return usage_in_window(t.months, cfg)
     return usage_by_user(t.user_logs, cfg)
 
 

@@ -8,46 +8,65 @@ from pyspark.sql import DataFrame
 
 from ..config import AnalysisConfig
 from ..operators import blocks, clean, profile
+from ..operators.single_pass import Profile, profiled
 from ..sources.schemas import DATE_COLUMNS, RAW
 from ..sources.tables import Tables
 from . import coverage, kpi, renewal, scenario, usage
 
+# What is looked at in each cleaned table.
+CLEAN_PROFILES: dict[str, Profile] = {
+    "train": Profile(categories=("is_churn",), label="is_churn"),
+    "members": Profile(categories=("city", "registered_via"), averages=("bd",)),
+    "transactions": Profile(
+        categories=("is_cancel",),
+        bounds=("plan_list_price", "actual_amount_paid", "payment_plan_days", "transaction_date",
+                "membership_expire_date"),
+        flags=(("zero_days", "payment_plan_days = 0"),)),
+    "user_logs": Profile(bounds=("date",), month_of="date"),
+}
+
 
 def raw_profiles(raw: Mapping[str, DataFrame], cfg: AnalysisConfig) -> dict[str, DataFrame]:
     """What has to be looked at before cleaning changes it."""
-    members = raw["members"]
+    members = profiled(raw["members"], Profile(
+        categories=("gender",), averages=("bd",), flags=(
+            ("plausible", f"bd between {cfg.age_min} and {cfg.age_max}"), ("zeros", "bd = 0"),
+            ("negative", "bd < 0"), ("too_high", f"bd > {cfg.age_max}"),
+            ("true_null", "gender is null"), ("empty_string", "gender = ''"))))
     return {
         "transactions_rejected_dates": clean.rejected_dates(
             raw["transactions"], DATE_COLUMNS["transactions"]),
-        "age_summary": profile.numeric_summary(members, "bd"),
-        "age_bands": profile.band_profile(members, "bd", cfg.age_min, cfg.age_max),
-        "gender_counts": profile.category_counts(members, "gender"),
-        "gender_null_vs_blank": profile.null_vs_blank(members, "gender"),
+        "user_logs_rejects": raw["user_logs"].agg(*clean.reject_counts(raw["user_logs"])),
+        "age_summary": members.numeric_summary("bd"),
+        "age_bands": members.flag_counts(["total", "plausible", "zeros", "negative", "too_high"]),
+        "gender_counts": members.category_counts("gender"),
+        "gender_null_vs_blank": members.flag_counts(["true_null", "empty_string"]),
     }
 
 
 def clean_profiles(t: Tables) -> dict[str, DataFrame]:
-    payments, members, logs = t.transactions, t.members, t.user_logs
-    ranges = ["plan_list_price", "actual_amount_paid", "payment_plan_days", "transaction_date",
-              "membership_expire_date"]
+    """The profiles of the cleaned tables: each table is read once for all of its figures, and once
+    more for what isn't a figure (its keys, and single rows)."""
     keys = {f"{name}_keys": profile.key_check(df, blocks.USER)
-            for name, df in (("train", t.train), ("members", members))}
+            for name, df in (("train", t.train), ("members", t.members))}
+    seen = {name: profiled(getattr(t, name), spec) for name, spec in CLEAN_PROFILES.items()}
+    payments, members, logs = seen["transactions"], seen["members"], seen["user_logs"]
     return keys | {
-        "payment_nulls": profile.null_audit(payments, RAW["transactions"].fieldNames()),
-        "payment_ranges": profile.range_profile(payments, ranges),
-        "zero_day_plans": profile.anomaly_rows(payments),
-        "zero_day_plans_by_cancel": profile.anomaly_split(payments),
-        "usage_rows": profile.row_count(logs),
-        "usage_months": profile.monthly_counts(logs, "date"),
-        "usage_month_gaps": profile.month_gaps(logs, "date"),
-        "usage_date_range": profile.range_profile(logs, ["date"]),
-        **{f"{name}_schema": profile.schema_report(getattr(t, name), name) for name in RAW},
-        "ages_missing": profile.missing_count(members, "bd"),
-        "ages_left": profile.surviving_mean(members, "bd"),
-        "city_counts": profile.category_counts(members, "city"),
-        "gender_missing_by_method": profile.missingness_by(members, "registered_via", "gender"),
-        "label_counts": profile.category_counts(t.train, "is_churn"),
-        "base_rate": profile.base_rate(t.train, "is_churn"),
+        "payment_nulls": payments.null_audit(RAW["transactions"].fieldNames()),
+        "payment_ranges": payments.range_profile(),
+        "zero_day_plans": profile.anomaly_rows(t.transactions),
+        "zero_day_plans_by_cancel": payments.flag_by("is_cancel", "zero_days"),
+        "usage_rows": logs.row_count(),
+        "usage_months": logs.monthly_counts(),
+        "usage_month_gaps": profile.month_gaps(logs.monthly_counts(), "month"),
+        "usage_date_range": logs.range_profile(),
+        **{f"{name}_schema": seen[name].schema_report(name) for name in RAW},
+        "ages_missing": members.missing_count("bd"),
+        "ages_left": members.surviving_mean("bd"),
+        "city_counts": members.category_counts("city"),
+        "gender_missing_by_method": members.missingness_by("registered_via", "gender"),
+        "label_counts": seen["train"].category_counts("is_churn"),
+        "base_rate": seen["train"].base_rate(),
     }
 
 

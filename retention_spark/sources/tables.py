@@ -46,7 +46,7 @@ def read_raw(spark: SparkSession, path: str, table: str, fmt: str = "csv") -> Da
     if fmt != "csv":
         return conform(reader.format(fmt).load(path), RAW[table])
     df = reader.csv(path, header=True, enforceSchema=False, mode="FAILFAST")
-    return _blank_texts(df, table)
+    return conform(blank_texts(df), RAW[table])
 
 
 def to_lines(df: DataFrame, table: str) -> DataFrame:
@@ -59,14 +59,14 @@ def from_lines(lines: DataFrame, table: str) -> DataFrame:
     that doesn't fit fails."""
     row = F.from_csv("line", RAW[table].simpleString()[len("struct<"):-1].replace(":", " "),
                      {"mode": "FAILFAST"})
-    return _blank_texts(lines.select(row.alias("row")).select("row.*"), table)
+    return conform(blank_texts(lines.select(row.alias("row")).select("row.*")), RAW[table])
 
 
-def _blank_texts(df: DataFrame, table: str) -> DataFrame:
+def blank_texts(df: DataFrame) -> DataFrame:
     """CSV cannot tell an empty text from a missing one; a missing gender is read as the empty
     text. A missing user stays NULL, so that it meets no other in a join."""
     blank = [c for c in ("gender",) if c in df.columns]
-    return conform(df.fillna("", subset=blank) if blank else df, RAW[table])
+    return df.fillna("", subset=blank) if blank else df
 
 
 def union_usage(full: DataFrame, increment: DataFrame) -> DataFrame:
