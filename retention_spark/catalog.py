@@ -3,21 +3,29 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
+from datetime import date, timedelta
 from functools import lru_cache, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DecimalType
 
+from .config import AnalysisConfig
 from .functions.buckets import plan_type
 from .operators import blocks, clean, profile
-from .plans import coverage, features, kpi, renewal, scenario, usage
-from .plans.prepare import exposed_cohort, latest_payments, prepare, user_usage
+from .operators.fingerprint import compared, fingerprint
+from .operators.single_pass import Profile, profiled
+from .plans import coverage, features, kpi, renewal, report, scenario, usage
+from .plans.population import population_checks
+from .plans.prepare import MonthlyTables, exposed_cohort, latest_payments, prepare, user_usage
 from .session import scratch_path
+from .sources import landing
 from .sources import tables as io
 from .sources.derived import CONFIG as CFG
 from .sources.derived import StarSchema
 from .sources.schemas import CLEAN, DATE_COLUMNS, RAW
+from .sources.usage_store import UsageStore
 
 Query = Callable[[SparkSession, str], DataFrame]
 TableQuery = Callable[[io.Tables], DataFrame]
@@ -83,6 +91,103 @@ def _delivered(table: str) -> Query:
         io.to_lines(_star(spark, folder).raw(table), table), table)
 
 
+def _landed(table: str) -> Query:
+    """The raw table delivered as CSV files, with faults, and landed: rows and rejects together."""
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        path = scratch_path(spark, f"delivery-{table}")
+        _star(spark, folder).deliver(table, f"{path}/files")
+        plain = [f"{path}/files/{part}" for part in ("plain", "reordered", "damaged", "headless")]
+        delivery = landing.read_delivery(spark, plain, table).unionByName(
+            landing.read_delivery(spark, f"{path}/files/quoted", table, line_breaks=True))
+        found = landing.land(delivery, f"{path}/landed", table)
+        file = F.regexp_extract(landing.FILE, "/([^/]+)/[^/]+$", 1)
+        # A headless file's header is a rejected line too; how many files there are depends on the cluster.
+        lines = found.rejects.filter(F.col(landing.TEXT) != ",".join(RAW[table].fieldNames()[:-1]))
+        return found.rows.withColumns({c: F.lit(None).cast("string") for c in (
+            landing.FILE, landing.TEXT, landing.REASON)}).unionByName(
+            lines.withColumn(landing.FILE, file), allowMissingColumns=True)
+    return run
+
+
+def _loaded(spark: SparkSession, folder: str) -> UsageStore:
+    """A usage store with the history and the increment, the increment loaded twice."""
+    star = _star(spark, folder)
+    store = UsageStore(spark, scratch_path(spark, "usage-store"))
+    for name in ("full", "increment", "increment"):
+        store.load(name, star.clean(f"usage_{name}"))
+    return store
+
+
+def _manifest(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows per load and month by the manifest, which entry holds them, and the rows stored."""
+    store = _loaded(spark, folder)
+    stored = store.usage().groupBy(io.MONTH).agg(F.count(F.lit(1)).alias("stored_rows"))
+    entry = store.last_entry()
+    now = store.manifest().filter(F.col("entry") == entry)
+    return now.join(stored, io.MONTH).select("load", io.MONTH, "held", "rows", "stored_rows", "entry")
+
+
+def _fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    """The stored usage against what was delivered, after one row of each month was replaced by another: rows
+    are as many, but not the same."""
+    star = _star(spark, folder)
+    delivered = star.clean("user_logs").withColumn(io.MONTH, F.trunc("date", "MM"))
+    # In the first days of a month, one song more.
+    changed = delivered.withColumn("num_100", F.col("num_100") + (F.day("date") <= 2).cast("int"))
+    return compared(fingerprint(changed, [io.MONTH]), fingerprint(delivered, [io.MONTH]), io.MONTH)
+
+
+#: Windows that begin and end within months, lie in one month, or cover whole ones.
+WINDOWS = {
+    "quarter": (date(2000, 10, 1), date(2000, 12, 31)),
+    "within": (date(2000, 10, 5), date(2000, 12, 20)),
+    "year": (date(2000, 1, 15), date(2000, 12, 31)),
+}
+
+
+def _monthly(spark: SparkSession, folder: str) -> tuple[io.Tables, list[tuple[str, AnalysisConfig]]]:
+    star, store = _star(spark, folder), _loaded(spark, folder)
+    t = MonthlyTables(star.clean, store.months())
+    return t, [(name, replace(CFG, win_start=a, win_end=b)) for name, (a, b) in WINDOWS.items()]
+
+
+def _in_windows(query: Callable[[io.Tables, AnalysisConfig], DataFrame]) -> Query:
+    """A query over three windows, all merged from the stored months."""
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        t, windows = _monthly(spark, folder)
+        found = [query(t, cfg).withColumn("window", F.lit(name)) for name, cfg in windows]
+        return reduce(DataFrame.unionByName, found)
+    return run
+
+
+def _single_pass(spark: SparkSession, folder: str) -> DataFrame:
+    """Every figure of the members' profiles, from one scan, as rows."""
+    seen = profiled(_star(spark, folder).raw("members"), Profile(
+        categories=("gender", "city", "registered_via"), averages=("bd",), flags=(
+            ("zeros", "bd = 0"), ("blank", "gender = ''"))))
+
+    def rows(name: str, df: DataFrame, key: str | None, value: str) -> DataFrame:
+        return df.select(F.lit(name).alias("figure"),
+                         (F.col(key).cast("string") if key else F.lit(None).cast("string")).alias("of"),
+                         F.col(value).cast("bigint").alias("value"))
+
+    nulls = seen.null_audit()
+    found = [rows("rows", seen.row_count(), None, "rows"),
+             rows("smallest age", seen.numeric_summary("bd"), None, "smallest"),
+             rows("largest age", seen.numeric_summary("bd"), None, "largest"),
+             rows("zero ages", seen.flag_counts(["zeros"]), None, "zeros"),
+             *[rows(f"no {c}", nulls, None, f"{c}_nulls") for c in RAW["members"].fieldNames()],
+             *[rows(c, seen.category_counts(c), c, "rows") for c in ("gender", "city", "registered_via")],
+             rows("blank by method", seen.flag_by("registered_via", "blank"), "registered_via", "rows")]
+    return reduce(DataFrame.unionByName, found)
+
+
+def _population(spark: SparkSession, folder: str) -> DataFrame:
+    t = prepare(spark, _tables(spark, folder), CFG)
+    results = report.audits(t, CFG) | report.analyses(t, CFG)
+    return population_checks(results, features.user_features(t, CFG))
+
+
 def _stored_usage(spark: SparkSession, folder: str) -> DataFrame:
     path = scratch_path(spark, "user_logs")
     io.write_clean(_tables(spark, folder).user_logs, path, "user_logs")
@@ -120,9 +225,17 @@ _add("s1_read_train", _delivered("train"))
 _add("s2_read_members", _delivered("members"))
 _add("s3_read_transactions", _delivered("transactions"))
 _add("s4_read_user_logs", _delivered("user_logs"))
+_add("s1_land_train", _landed("train"))
+_add("s2_land_members", _landed("members"))
+_add("s3_land_transactions", _landed("transactions"))
+_add("s4_land_user_logs", _landed("user_logs"))
 _add("s4_write_usage_by_month", _stored_usage)
 _add("s5_union_usage", _union_raw)
+_add("s5_load_increment_twice", lambda spark, folder: _loaded(spark, folder).usage())
+_add("s5_load_manifest", _manifest)
 _add("s6_reconcile_month", _reconcile)
+_add("s6_reconcile_fingerprints", _fingerprints)
+_add("s6_reconcile_store", lambda spark, folder: _loaded(spark, folder).reconcile())
 _add("s7_write_features", _stored_features)
 _on_clean("s8_schema_report", _schema_reports)
 
@@ -181,6 +294,7 @@ _on_raw("p16_missingness_by", "members", lambda df: profile.missingness_by(
     clean.clean_table(df, "members", CFG), "registered_via", "gender"))
 _on_clean("p17_category_counts_label", lambda t: profile.category_counts(t.train, "is_churn"))
 _on_clean("p18_base_rate", lambda t: profile.base_rate(t.train, "is_churn"))
+_add("p_members_in_one_pass", _single_pass)
 _add("p19_key_check", lambda spark, folder: reduce(DataFrame.unionByName, [
     profile.key_check(_star(spark, folder).odd(name), blocks.USER).withColumn(
         "table_name", F.lit(name)) for name in CLEAN]))
@@ -189,6 +303,17 @@ _on_clean("p19_duplicate_keys", lambda t: profile.duplicate_keys(t.transactions,
 # Building blocks
 
 _on_clean("b1_latest_as_of", lambda t: latest_payments(t, CFG))
+#: The first of 24 months, at whose ends snapshots are taken.
+SNAPSHOTS_FROM = (1999, 1)
+
+
+def _month_ends(first: tuple[int, int], months: int) -> list[date]:
+    at = [first[0] * 12 + first[1] - 1 + i for i in range(1, months + 1)]
+    return [date(m // 12, m % 12 + 1, 1) - timedelta(days=1) for m in at]
+
+
+_on_clean("b1_latest_at_month_ends", lambda t: blocks.latest_at_each(
+    t.transactions, _month_ends(SNAPSHOTS_FROM, 24)))
 _on_clean("b1_tie_report", lambda t: blocks.tie_report(t.transactions, CFG.cut))
 _on_clean("b2_exposure", lambda t: exposed_cohort(t, CFG).select(
     blocks.USER, "start_date", "end_date", "possible_exposure_days"))
@@ -216,12 +341,17 @@ _on_clean("q4_usage_coverage", lambda t: coverage.usage_coverage(t, CFG))
 _on_clean("q5_silent_rate", lambda t: coverage.silent_rate(t, CFG))
 _on_clean("q6_rate_sanity", lambda t: coverage.rate_sanity(t, CFG))
 _on_clean("q7_rate_sanity_diagnosis", lambda t: coverage.rate_sanity_diagnosis(t, CFG))
+_add("q_population_checks", _population)
 
 # Feature table
 
 _on_features("u1_user_features", lambda df: df)
 _add("u1_user_features_prepared", lambda spark, folder: features.user_features(
     prepare(spark, _tables(spark, folder), CFG), CFG))
+_add("u1_user_features_by_months", _in_windows(features.user_features))
+_add("b4_active_days_by_months", _in_windows(lambda t, cfg: blocks.active_days_clipped(
+    t.train, exposed_cohort(t, cfg), user_usage(t, cfg), cfg)))
+_add("a13b_engagement_tiers_by_months", _in_windows(usage.engagement_tiers))
 _on_features("u1a_total_listen_mins", lambda df: df.select(blocks.USER, "total_listen_mins"))
 _on_features("u1b_total_songs", lambda df: df.select(blocks.USER, "total_songs"))
 _on_features("u1c_skipped_songs", lambda df: df.select(blocks.USER, "skipped_songs"))

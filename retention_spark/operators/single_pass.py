@@ -104,17 +104,14 @@ class ProfiledTable:
         return (F.col(f"sum_{column}").cast("double") / F.col(f"filled_{column}")).alias("average")
 
 
-def figures(df: DataFrame, profile: Profile) -> DataFrame:
-    """One row for the whole table and one for each category, all from one scan.
-
-    A row enters the aggregate once for the table and once for each categorical column, and combines
-    where it is read: what is shuffled has a row for each category and task.
-    """
+def _keys(profile: Profile) -> dict[str, Column]:
     by = {f"by_{c}": F.col(c) for c in profile.categories}
-    if profile.month_of:
-        by["by_month"] = F.trunc(profile.month_of, "MM")
+    return by | ({"by_month": F.trunc(profile.month_of, "MM")} if profile.month_of else {})
+
+
+def _measures(df: DataFrame, profile: Profile) -> list[Column]:
     sums = dict.fromkeys([*profile.averages, *([profile.label] if profile.label else [])])
-    measures = [
+    return [
         F.count(F.lit(1)).alias("rows"),
         *[F.count(c).alias(f"filled_{c}") for c in df.columns],
         *[end(c).alias(f"{name}_{c}") for c in dict.fromkeys([*profile.bounds, *profile.averages])
@@ -122,6 +119,15 @@ def figures(df: DataFrame, profile: Profile) -> DataFrame:
         *[F.sum(c).alias(f"sum_{c}") for c in sums],
         *[F.count_if(F.expr(flag)).alias(f"flag_{name}") for name, flag in profile.flags],
     ]
+
+
+def figures(df: DataFrame, profile: Profile) -> DataFrame:
+    """One row for the whole table and one for each category, all from one scan.
+
+    A row enters the aggregate once for the table and once for each categorical column, and combines
+    where it is read: what is shuffled has a row for each category and task.
+    """
+    by, measures = _keys(profile), _measures(df, profile)
     keys = [F.col(k) for k in by]
     sets = [[], *[[k] for k in keys]]
     # In a set's row its own column counts as kept, so its bit in the grouping id is 0.
@@ -143,4 +149,8 @@ def profiled(df: DataFrame, profile: Profile) -> ProfiledTable:
     found = figures(df, profile)
     found.coalesce(1).write.parquet(path)
     stored = df.sparkSession.read.schema(found.schema).parquet(path)
+    if stored.isEmpty():
+        # Grouping sets of no rows are no groups; the whole table has its figures all the same.
+        stored = found.limit(0).unionByName(
+            df.agg(*_measures(df, profile)).withColumn(_SET, F.lit(0)), allowMissingColumns=True)
     return ProfiledTable(stored, profile, df.columns)

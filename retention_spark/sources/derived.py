@@ -177,6 +177,40 @@ class StarSchema:
         return conform(df, CLEAN[name])
 
 
+    def deliver(self, table: str, path: str) -> None:
+        """Write the raw table as CSV files below `path`, every row once, as deliveries come: plain;
+        with columns in another order and one nobody declared; with quotes and line breaks in texts; with
+        lines that don't fit; and without the last column. The last character of the user decides."""
+        df = self.raw(table)
+        names = df.columns
+        kind = F.ascii(F.substring("msno", -1, 1)) % 5
+        text = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False,
+                "ignoreTrailingWhiteSpace": False}
+
+        def part(number: int) -> DataFrame:
+            return df.filter(kind == number)
+
+        def lines(columns: list[str]) -> Column:
+            """Plain text, seconds as whole numbers: engines write fractions differently."""
+            whole = {c: F.floor(c) if c == "total_secs" else F.col(c) for c in columns}
+            return F.concat_ws(",", *[F.coalesce(whole[c].cast("string"), F.lit("")) for c in columns])
+
+        def write_lines(line: DataFrame, header: list[str], folder: str) -> None:
+            # Named as the header, and with a separator that no line has, lines are written as they are.
+            line.toDF(",".join(header)).write.csv(f"{path}/{folder}", header=True, sep="\x01")
+
+        part(0).write.options(**text).csv(f"{path}/plain")
+        part(1).select(F.lit('n, "q"').alias("note"), *reversed(names)).write.options(**text).csv(
+            f"{path}/reordered")
+        part(2).withColumn("msno", F.concat(F.lit('"'), "msno", F.lit('",\nx'))).write.options(
+            **text).csv(f"{path}/quoted")
+        spoilt = part(3)
+        mistyped = F.concat_ws(",", "msno", F.lit("n/a"), *([lines(names[2:])] if names[2:] else []))
+        too_long = F.concat(lines(names), F.lit(",extra"))
+        write_lines(part(3).select(
+            F.when(F.col("msno").endswith("0"), mistyped).otherwise(too_long)), names, "damaged")
+        write_lines(part(4).select(lines(names[:-1])), names[:-1], "headless")
+
     def odd(self, table: str) -> DataFrame:
         """The raw table with what real deliveries have: some users missing or listed twice, days
         that don't exist, genders missing, a month without usage, readings that are not numbers,

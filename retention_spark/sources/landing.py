@@ -9,10 +9,11 @@ from __future__ import annotations
 
 import csv
 from collections import defaultdict
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import reduce
+from typing import NamedTuple
 from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
@@ -36,14 +37,17 @@ def read_delivery(spark: SparkSession, paths: str | Sequence[str], table: str,
     are null for a row that fits; for one that doesn't, all else is null.
 
     Quotes inside a quoted text are doubled. `line_breaks` lets quoted texts hold line breaks;
-    files can't be split between tasks then. Without it such a record is rejected, as two
-    lines. A line with too few or too many fields, or a field of another type, is rejected. A file whose header
-    lacks a declared column, or names one twice, is rejected line by line, its header too. Blank lines
-    are no rows, and neither are files without a line.
+    files can't be split between tasks then. Without it the first and last line of such a record are rejected, as
+    their quotes don't pair up. A line with too few or too many fields, or a field of another type, is rejected. A
+    file whose header lacks a declared column, or names one twice, is rejected line by line, its header too.
+    Blank lines are no rows, nor is a header that comes again, nor files without a line.
+
+    This is for `land`; the rejects alone can't be selected from files with line breaks.
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
+    read = _read_records if line_breaks else _read_lines
     parts = [
-        _read_fitting(spark, files, header, table, line_breaks) if _fits(header, table)
+        read(spark, files, header, table) if _fits(header.names, table)
         else _refused(spark, files, table)
         for header, files in _by_header(spark, paths)
     ]
@@ -51,44 +55,70 @@ def read_delivery(spark: SparkSession, paths: str | Sequence[str], table: str,
     return reduce(DataFrame.unionByName, parts) if parts else empty
 
 
-def _by_header(spark: SparkSession, paths: list[str]) -> Iterator[tuple[tuple[str, ...], list[str]]]:
+class Header(NamedTuple):
+    names: tuple[str, ...]
+    line: str
+
+
+def _by_header(spark: SparkSession, paths: list[str]) -> list[tuple[Header, list[str]]]:
     """The files by their header. Only the first line of each is read, by a task that stops there."""
     files = [unquote(file) for file in spark.read.text(paths).inputFiles()]
 
-    def header(file: str) -> tuple[str, ...] | None:
+    def header(file: str) -> Header | None:
         line = spark.read.text(file).first()
-        return line and tuple(name.strip() for name in next(csv.reader([line[0].lstrip("﻿")]), []))
+        return line and Header(tuple(
+            name.strip() for name in next(csv.reader([line[0].lstrip("\ufeff")]), [])), line[0])
 
     with ThreadPoolExecutor(_AT_ONCE) as pool:
         found = defaultdict(list)
         for file, names in zip(files, pool.map(header, files)):
             if names is not None:
                 found[names].append(file)
-    yield from sorted(found.items())
+    return sorted(found.items())
 
 
-def _fits(header: tuple[str, ...], table: str) -> bool:
-    return len(set(header)) == len(header) and set(RAW[table].fieldNames()) <= set(header)
+def _fits(names: tuple[str, ...], table: str) -> bool:
+    return len(set(names)) == len(names) and set(RAW[table].fieldNames()) <= set(names)
 
 
-def _read_fitting(spark: SparkSession, files: list[str], header: tuple[str, ...], table: str,
-                  line_breaks: bool) -> DataFrame:
+def _schema(header: Header, table: str) -> StructType:
     declared = {field.name: field for field in RAW[table].fields}
     # Columns nobody declared are parsed as texts, so that their content can't reject a line.
-    schema = StructType([declared.get(name, StructField(name, StringType())) for name in header]
-                        + [StructField(TEXT, StringType())])
-    df = spark.read.schema(schema).csv(
-        files, header=True, mode="PERMISSIVE", columnNameOfCorruptRecord=TEXT,
-        multiLine=line_breaks, quote='"', escape='"')
-    fits = F.col(TEXT).isNull()
-    rows = df.withColumns({
-        FILE: F.when(~fits, F.col("_metadata.file_path")),
-        REASON: F.when(~fits, F.lit(BAD_LINE)),
-    })
-    rows = blank_texts(rows)
-    # What could be parsed of a rejected line is in its text.
-    kept = [F.when(fits, F.col(name)).alias(name) for name in declared]
-    return rows.select(*kept, FILE, TEXT, REASON)
+    return StructType([declared.get(name, StructField(name, StringType())) for name in header.names]
+                      + [StructField(TEXT, StringType())])
+
+
+_PARSING = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": TEXT, "quote": '"', "escape": '"'}
+
+
+def _read_lines(spark: SparkSession, files: list[str], header: Header, table: str) -> DataFrame:
+    schema = _schema(header, table)
+    names = RAW[table].fieldNames()
+    lines = spark.read.text(files).filter((F.col("value") != header.line) & (F.trim("value") != ""))
+    row = F.from_csv("value", ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema), _PARSING)
+    paired = F.char_length(F.regexp_replace("value", '[^"]', "")) % 2 == 0
+    parsed = lines.select(row.alias("row"), "value", paired.alias("paired"),
+                          F.col("_metadata.file_path").alias(FILE))
+    fits = F.col("paired") & F.col(f"row.{TEXT}").isNull()
+    return _told_apart(blank_texts(parsed.select(
+        *[F.col(f"row.{name}").alias(name) for name in names], FILE, F.col("value").alias(TEXT),
+        fits.alias("fits"))), names)
+
+
+def _read_records(spark: SparkSession, files: list[str], header: Header, table: str) -> DataFrame:
+    df = spark.read.schema(_schema(header, table)).csv(files, header=True, multiLine=True, **_PARSING)
+    names = RAW[table].fieldNames()
+    return _told_apart(blank_texts(df.select(
+        *names, F.col("_metadata.file_path").alias(FILE), TEXT, F.col(TEXT).isNull().alias("fits"))), names)
+
+
+def _told_apart(rows: DataFrame, names: list[str]) -> DataFrame:
+    """What could be parsed of a rejected line is dropped: it is in its text."""
+    fits = F.col("fits")
+    return rows.select(
+        *[F.when(fits, F.col(name)).alias(name) for name in names],
+        *[F.when(~fits, F.col(name)).alias(name) for name in (FILE, TEXT)],
+        F.when(~fits, F.lit(BAD_LINE)).alias(REASON))
 
 
 def _refused(spark: SparkSession, files: list[str], table: str) -> DataFrame:

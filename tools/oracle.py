@@ -520,6 +520,103 @@ _SELECTS: dict[str, str] = {
 }
 
 
+def _landed(table: str) -> str:
+    """Rows and rejects of a delivery with faults; the user's last character says which."""
+    raw = _SELECTS[{"train": "s1_read_train", "members": "s2_read_members",
+                    "transactions": "s3_read_transactions", "user_logs": "s4_read_user_logs"}[table]]
+    names = {"train": ("msno", "is_churn"),
+             "members": ("msno", "city", "bd", "gender", "registered_via", "registration_init_time"),
+             "transactions": _TXN_COLUMNS,
+             "user_logs": ("msno", "date", "num_25", "num_50", "num_75", "num_985", "num_100", "num_unq",
+                           "total_secs")}[table]
+    texts = [f"coalesce({'cast(floor(total_secs) as bigint)' if c == 'total_secs' else c}::varchar, '')"
+             for c in names]
+    line = " || ',' || ".join
+    kept = ", ".join(f"case when kind < 3 then {c} end as {c}" for c in names[1:])
+    return f"""
+select case when kind = 2 then '"' || msno || '",' || chr(10) || 'x' when kind < 2 then msno end as msno,
+  {kept},
+  case when kind = 3 then 'damaged' when kind = 4 then 'headless' end as reject_file,
+  case when kind = 3 and msno like '%0' then {line([texts[0], "'n/a'", *texts[2:]])}
+       when kind = 3 then {line(texts)} || ',extra'
+       when kind = 4 then {line(texts[:-1])} end as reject_text,
+  case when kind = 3 then 'line' when kind = 4 then 'header' end as reject_reason
+from (select *, ascii(right(msno, 1)) % 5 as kind from ({raw}))"""
+
+
+#: The windows of the monthly queries.
+WINDOWS = {"quarter": ("2000-10-01", "2000-12-31"), "within": ("2000-10-05", "2000-12-20"),
+           "year": ("2000-01-15", "2000-12-31")}
+
+
+def _in_windows(select: str, tables: str) -> str:
+    """A statement for each window; the cut date of payments, which ends the test window, stays."""
+    def blocks(first: str, last: str) -> str:
+        moved = BLOCKS.replace("date '2000-10-01'", f"date '{first}'").replace(
+            "date '2000-12-31'", f"date '{last}'")
+        return moved.replace(f"transaction_date <= date '{last}'", "transaction_date <= date '2000-12-31'")
+
+    found = [f"(select *, '{name}' as window from (with {tables}{blocks(*ends)}\n{select}))"
+             for name, ends in WINDOWS.items()]
+    return " union all ".join(found)
+
+
+def _population() -> str:
+    def users(query: str, column: str = "users", where: str = "true") -> str:
+        return f"(select coalesce(sum({column}), 0) from ({_SELECTS[query]}) where {where})"
+
+    status, analysable = "q2_coverage_status", "q3_analysable_status"
+    cohort = "(select count(*) from train)"
+    kept = users(analysable, where="status = 'kept'")
+    paying = users(status, where="status in ('has both', 'missing member row')")
+    rules = [
+        ("coverage statuses make up the cohort", users(status), "=", cohort),
+        ("analysable statuses make up the cohort", users(analysable), "=", cohort),
+        ("kept and expired users have both rows", users(analysable, where="status not like 'dropped: no%'"),
+         "=", users(status, where="status = 'has both'")),
+        ("kept users are in the feature table", "(select count(*) from features)", "=", kept),
+        ("kept users have a rate", users("q6_rate_sanity", "total"), "=", kept),
+        ("kept users are in the rates by label", users("a13_active_rate_by_label"), "=", kept),
+        ("kept users are in a tier", users("a13b_engagement_tiers"), "=", kept),
+        ("paying users are in the renewal rates", users("a21_renewal_churn"), "=", paying),
+        ("paying users have a plan type", users("a24_plan_type_churn"), "=", paying),
+        ("paying users are silent or listen", users("a22_silent_renewal_churn") + " + "
+         + users("a23_listener_renewal_churn"), "=", paying),
+        ("other plans are in the total of other plans",
+         users("a25b_plan_length_all_txn", "txns", "payment_plan_days <> 30"), "=",
+         users("a25c_non_monthly_auto_total", "txns")),
+        ("dormant users include the inactive ones", users("a13b_engagement_tiers", where="bucket = 'Dormant'"),
+         ">=", "(select count(*) from features where active_days = 0)"),
+    ]
+    lines = " union all ".join(
+        f"select '{rule}' as rule, '{relation}' as relation, cast({left} as bigint) as left_users,"
+        f" cast({right} as bigint) as right_users, {left} {relation} {right} as holds"
+        for rule, left, relation, right in rules)
+    return lines
+
+
+_ONE_PASS = " union all ".join([
+    "select 'rows' as figure, null::varchar as of, count(*)::bigint as value from members_raw",
+    "select 'smallest age', null, min(bd)::bigint from members_raw",
+    "select 'largest age', null, max(bd)::bigint from members_raw",
+    "select 'zero ages', null, count(*) filter (bd = 0) from members_raw",
+    *[f"select 'no {c}', null, count(*) filter ({d} is null) from members_raw"
+      for c, d in (("msno", "msno"), ("city", "city"), ("bd", "bd"), ("gender", "gender"),
+                   ("registered_via", "registered_via"), ("registration_init_time", "registered"))],
+    *[f"select '{c}', {c}::varchar, count(*) from members_raw group by {c}"
+      for c in ("gender", "city", "registered_via")],
+    "select 'blank by method', registered_via::varchar, count(*) from members_raw where gender = ''"
+    " group by registered_via",
+])
+
+_LOADS = """loads as (
+  select 'full' as load, cast(date_trunc('month', date) as date) as month, 1::integer as held,
+    count(*) as rows from usage_full group by all
+  union all
+  select 'increment', cast(date_trunc('month', date) as date), 2::integer, count(*) from usage_increment
+  group by all)"""
+
+
 def statements(tables: str = TABLES + ",") -> dict[str, str]:
     """Query name to a complete statement.
 
@@ -532,6 +629,34 @@ def statements(tables: str = TABLES + ",") -> dict[str, str]:
         for name, select in _SELECTS.items()
     }
     result["b1_tie_report"] = f"{shared},{_TIED}"
+    for number, table in enumerate(("train", "members", "transactions", "user_logs"), 1):
+        result[f"s{number}_land_{table}"] = f"{shared}{_landed(table)}"
+    result["s5_load_increment_twice"] = (
+        f"{shared} select *, cast(date_trunc('month', date) as date) as month from user_logs")
+    result["s5_load_manifest"] = f"""{shared}, {_LOADS}
+select load, month, held, rows, cast(sum(rows) over (partition by month) as bigint) as stored_rows,
+  2::integer as entry from loads"""
+    result["s6_reconcile_store"] = f"""{shared}, {_LOADS}
+select month, cast(sum(rows) as bigint) as found_rows, cast(sum(rows) as bigint) as wanted_rows, true as same
+from loads group by month"""
+    result["s6_reconcile_fingerprints"] = f"""{shared}
+select cast(date_trunc('month', date) as date) as month, count(*) as found_rows, count(*) as wanted_rows,
+  not bool_or(day(date) <= 2) as same from user_logs group by 1"""
+    result["b1_latest_at_month_ends"] = f"""{shared}
+select cut, t.* from (select cast(unnest(generate_series(date '1999-02-01', date '2001-01-01',
+                                           interval 1 month)) - interval 1 day as date) as cut) c
+join transactions t on t.transaction_date <= c.cut
+qualify row_number() over (
+  partition by cut, msno
+  order by transaction_date desc, membership_expire_date desc, payment_plan_days desc,
+           plan_list_price desc, actual_amount_paid desc, is_auto_renew desc,
+           payment_method_id desc, is_cancel) = 1"""
+    result["p_members_in_one_pass"] = f"{shared} {_ONE_PASS}"
+    result["q_population_checks"] = f"{shared} {_population()}"
+    for name, query in (("u1_user_features_by_months", "u1_user_features"),
+                        ("b4_active_days_by_months", "b4_active_days_clipped"),
+                        ("a13b_engagement_tiers_by_months", "a13b_engagement_tiers")):
+        result[name] = _in_windows(_SELECTS[query], tables)
     result["a26_retention_scenario"] = f"{shared},\n{_scenario('cohort')}\n{_SCENARIO_LINES}"
     rate = "(select {} / 100.0::double from cohort where plan_type = 'Monthly' and is_auto_renew = {})"
     best, safe = (rate.format(_RATE, auto) for auto in (1, 0))
