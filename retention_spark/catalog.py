@@ -13,8 +13,10 @@ from pyspark.sql.types import DecimalType
 
 from .config import AnalysisConfig
 from .functions.buckets import plan_type
+from .functions.exact import percent
 from .operators import blocks, clean, profile
 from .operators.fingerprint import compared, fingerprint
+from .operators.iceberg import frequent_groups
 from .operators.single_pass import Profile, profiled
 from .plans import coverage, features, kpi, renewal, report, scenario, usage
 from .plans.population import population_checks
@@ -25,6 +27,7 @@ from .sources import tables as io
 from .sources.derived import CONFIG as CFG
 from .sources.derived import StarSchema
 from .sources.schemas import CLEAN, DATE_COLUMNS, RAW
+from .sources.publish import PublishedTable
 from .sources.usage_store import UsageStore
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -182,6 +185,29 @@ def _single_pass(spark: SparkSession, folder: str) -> DataFrame:
     return reduce(DataFrame.unionByName, found)
 
 
+def _published(spark: SparkSession, folder: str) -> DataFrame:
+    """Two versions of the published feature table, of two windows, the older one still readable."""
+    t, windows = _tables(spark, folder), WINDOWS
+    table = PublishedTable(spark, scratch_path(spark, "published"))
+    for first, last in (windows["quarter"], windows["within"]):
+        table.publish(features.user_features(t, replace(CFG, win_start=first, win_end=last)))
+    found = [table.open(version).withColumn("window", F.lit(name))
+             for version, name in ((1, "quarter"), (None, "within"))]
+    return found[0].unionByName(found[1])
+
+
+def _split_values(table: str) -> Query:
+    """Cleaned rows and rejected raw rows of the odd table together; raw days are kept for the latter."""
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        path = scratch_path(spark, f"odd-{table}")
+        _star(spark, folder).odd(table).write.parquet(path)
+        cleaned, rejects = clean.split_by_values(io.read_raw(spark, path, table, "parquet"), table, CFG)
+        dates = DATE_COLUMNS[table]
+        raw = rejects.withColumnsRenamed({c: f"raw_{c}" for c in dates})
+        return cleaned.unionByName(raw, allowMissingColumns=True)
+    return run
+
+
 def _population(spark: SparkSession, folder: str) -> DataFrame:
     t = prepare(spark, _tables(spark, folder), CFG)
     results = report.audits(t, CFG) | report.analyses(t, CFG)
@@ -237,6 +263,7 @@ _add("s6_reconcile_month", _reconcile)
 _add("s6_reconcile_fingerprints", _fingerprints)
 _add("s6_reconcile_store", lambda spark, folder: _loaded(spark, folder).reconcile())
 _add("s7_write_features", _stored_features)
+_add("s7_publish_features", _published)
 _on_clean("s8_schema_report", _schema_reports)
 
 # Cleaning
@@ -264,6 +291,9 @@ _on_raw("c6_never_convert_birth_years", "members",
 _on_odd("c7_rejected_seconds", "user_logs", clean.rejected_seconds)
 _on_raw("c_clean_members", "members", lambda df: clean.clean_table(df, "members", CFG))
 
+_add("c1_split_transactions", _split_values("transactions"))
+_add("c7_split_user_logs", lambda spark, folder: _split_values("user_logs")(spark, folder).drop("total_secs"))
+
 # Profiling
 
 _on_odd("p1_null_audit", "transactions", lambda df: profile.null_audit(
@@ -375,6 +405,9 @@ _on_clean("a22_silent_renewal_churn", lambda t: renewal.silent_renewal_churn(t,
 _on_clean("a23_listener_renewal_churn", lambda t: renewal.listener_renewal_churn(t, CFG))
 _on_clean("a24_plan_type_churn", lambda t: renewal.plan_type_churn(t, CFG))
 _on_clean("a25_plan_length_adoption", lambda t: renewal.plan_length_adoption(t, CFG))
+_on_clean("a25_repeated_plans", lambda t: frequent_groups(
+    t.transactions, [blocks.USER, "payment_plan_days"], 2,
+    [percent(F.sum("is_auto_renew"), F.count("is_auto_renew")).alias("pct_auto_renew")], "payments"))
 _on_clean("a25b_plan_length_all_txn", lambda t: renewal.plan_length_all_txn(t, CFG))
 _on_clean("a25c_non_monthly_auto_total", lambda t: renewal.non_monthly_auto_total(t, CFG))
 _on_clean("a26_retention_scenario", lambda t: scenario.retention_scenario(t, CFG))
@@ -414,3 +447,5 @@ _on_clean("r12_kpi_long_plan_churn", lambda t: kpi.kpi_long_plan_churn(t, CFG))
 _on_clean("r13_kpi_manual_to_auto", lambda t: kpi.kpi_manual_to_auto(t, CFG))
 _on_features("r14_test_vs_control_rate", lambda df: kpi.test_vs_control_rate(
     kpi.longer_plan_arms(df, CFG), "arm"))
+_on_features("r14_test_vs_control_interval", lambda df: kpi.test_vs_control_interval(
+    kpi.longer_plan_arms(df, CFG), "arm"))

@@ -53,13 +53,18 @@ def reject_counts(logs: DataFrame) -> list[Column]:
     ]
 
 
+#: Epoch milliseconds from the year 1 up to, and without, the year 9999, so that no zone leaves the calendar.
+EPOCH_MS = (-62_135_510_400_000, 253_370_764_799_999)
+
+
 def epoch_ms_to_date(df: DataFrame, column: str, tz: str) -> DataFrame:
-    """Turn epoch milliseconds into the calendar date of zone `tz`.
+    """Turn epoch milliseconds into the calendar date of zone `tz`; NULL outside the years 1 to 9998.
 
     Whole seconds are counted from a zone-less epoch and then moved to `tz`, so the session time
     zone has no say in the result.
     """
-    seconds = F.call_function("div", F.col(column), F.lit(1000))
+    within = F.when(F.col(column).between(*EPOCH_MS), F.col(column))
+    seconds = F.call_function("div", within, F.lit(1000))
     utc = F.timestamp_add("SECOND", seconds, F.lit("1970-01-01").cast("timestamp_ntz"))
     return df.withColumn(column, F.convert_timezone(F.lit("UTC"), F.lit(tz), utc).cast("date"))
 
@@ -85,6 +90,26 @@ def rejected_seconds(df: DataFrame, column: str = "total_secs") -> DataFrame:
                   F.count_if(~usable(F.col(column))).alias(f"{column}_rejected"))
 
 
+def value_reasons(table: str) -> Column:
+    """The columns of a raw row, comma-separated, that hold a value which cleaning can't keep: days that
+    don't exist, moments outside the calendar, readings that are not numbers. Empty when none does."""
+    bad = {
+        c: ~F.col(c).between(*EPOCH_MS) if table == "members" else yyyymmdd_date(F.col(c)).isNull()
+        for c in DATE_COLUMNS[table]
+    }
+    if table == "user_logs":
+        bad["total_secs"] = ~usable(F.col("total_secs"))
+    return F.concat_ws(",", *[F.when(F.col(c).isNotNull() & test, F.lit(c)) for c, test in bad.items()])
+
+
+def split_by_values(df: DataFrame, table: str, cfg: AnalysisConfig) -> tuple[DataFrame, DataFrame]:
+    """The cleaned rows of a raw table, and beside them the raw rows with a value that cleaning can't
+    keep, with `reasons`. Each row is in one of the two."""
+    marked = df.withColumn("reasons", value_reasons(table))
+    fine = marked.filter(F.col("reasons") == "").drop("reasons")
+    return clean_table(fine, table, cfg), marked.filter(F.col("reasons") != "")
+
+
 def clean_table(df: DataFrame, table: str, cfg: AnalysisConfig) -> DataFrame:
     """The cleaning of one raw table. No row is dropped, so plans of zero days stay."""
     if table == "members":

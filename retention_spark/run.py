@@ -30,7 +30,16 @@ from retention_spark.plans.population import population_checks, require_populati
 from retention_spark.plans.prepare import MonthlyTables, prepare
 from retention_spark.session import build_session
 from retention_spark.sources import tables as io
-from retention_spark.sources.landing import FILE, REASON, TEXT, Landed, land, read_delivery
+from retention_spark.sources.landing import (
+    FILE,
+    REASON,
+    TEXT,
+    Landed,
+    land,
+    read_delivery,
+    reject_values,
+)
+from retention_spark.sources.publish import PublishedTable
 from retention_spark.sources.schemas import RAW
 from retention_spark.sources.usage_store import UsageStore
 
@@ -40,14 +49,18 @@ MOST_REJECTED = 0.01
 
 def run(spark: SparkSession, raw: str, usage: Sequence[str], out: str, cfg: AnalysisConfig,
         fmt: str = "csv", buckets: int | None = None, store: str | None = None,
-        most_rejected: float = MOST_REJECTED, line_breaks: bool = False) -> None:
-    """`most_rejected` is the share of a table's lines that may be unreadable; `line_breaks` is
-    for files whose quoted texts hold line breaks."""
+        most_rejected: float = MOST_REJECTED, line_breaks: bool = False,
+        strict_values: bool = False, publish: str | None = None) -> None:
+    """`most_rejected` is the share of a table's lines that may be rejected; `line_breaks` is
+    for files whose quoted texts hold line breaks; with `strict_values`, rows with a day that doesn't exist or a
+    reading that is no number are rejected, otherwise they lose the value and are counted. The feature table becomes
+    the next version of the table at `publish`, once all checks have passed."""
     suffix = ".csv" if fmt == "csv" else ""
 
     def landed(path: str, name: str, table: str) -> Landed:
         df = (read_delivery(spark, path, table, line_breaks) if fmt == "csv"
               else _without_rejects(io.read_raw(spark, path, table, fmt)))
+        df = reject_values(df, table) if strict_values else df
         found = land(df, f"{out}/landed/{name}", table)
         found.require_few_rejects(most_rejected)
         return found
@@ -91,6 +104,8 @@ def run(spark: SparkSession, raw: str, usage: Sequence[str], out: str, cfg: Anal
                for name, df in results.items()}
     _write_all({"population_checks": population_checks(written, features)}, out)
     require_populations(spark.read.parquet(f"{out}/results/population_checks"))
+    if publish:
+        PublishedTable(spark, publish).publish(features)
 
 
 def load_names(usage: Sequence[str]) -> dict[str, str]:
@@ -134,6 +149,8 @@ def main() -> None:
     parser.add_argument("--store")
     parser.add_argument("--most-rejected", type=float, default=MOST_REJECTED)
     parser.add_argument("--line-breaks", action="store_true")
+    parser.add_argument("--strict-values", action="store_true")
+    parser.add_argument("--publish")
     for name in ("cut", "win-start", "win-end"):
         parser.add_argument(f"--{name}", type=date.fromisoformat)
     args = parser.parse_args()
@@ -141,7 +158,7 @@ def main() -> None:
     cfg = replace(AnalysisConfig(tz=args.tz), **{k: v for k, v in given.items() if v})
     spark = build_session("retention_spark", spark__sql__warehouse__dir=f"{args.out}/warehouse")
     run(spark, args.raw, args.usage, args.out, cfg, args.format, args.buckets, args.store,
-        args.most_rejected, args.line_breaks)
+        args.most_rejected, args.line_breaks, args.strict_values, args.publish)
     spark.stop()
 
 

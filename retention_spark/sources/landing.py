@@ -20,13 +20,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StringType, StructField, StructType
 
+from ..operators.clean import value_reasons
 from .schemas import RAW
 from .tables import blank_texts
 
 FILE, TEXT, REASON = "reject_file", "reject_text", "reject_reason"
 REJECTED = "rejected"
-#: Reasons: a line that doesn't parse under the declared types, or a file that lacks a column.
-BAD_LINE, BAD_HEADER = "line", "header"
+#: Reasons: a line that doesn't parse under the declared types, a file that lacks a column, and, followed
+#: by columns, values that cleaning can't keep.
+BAD_LINE, BAD_HEADER, BAD_VALUE = "line", "header", "value"
 _REJECT = [StructField(name, StringType()) for name in (FILE, TEXT, REASON)]
 _AT_ONCE = 16
 
@@ -128,6 +130,19 @@ def _refused(spark: SparkSession, files: list[str], table: str) -> DataFrame:
                         F.col("value").alias(TEXT), F.lit(BAD_HEADER).alias(REASON))
 
 
+def reject_values(delivery: DataFrame, table: str) -> DataFrame:
+    """A delivery in which rows with a value that cleaning can't keep are rejected too, with the
+    columns as reason and the row as text, instead of losing the value."""
+    names = RAW[table].fieldNames()
+    reasons = F.when(F.col(REASON).isNull(), value_reasons(table)).otherwise("")
+    marked = delivery.withColumn("reasons", reasons)
+    bad = F.col("reasons") != ""
+    return marked.select(
+        *[F.when(~bad, F.col(c)).alias(c) for c in names], FILE,
+        F.when(bad, F.to_csv(F.struct(*names), {"escape": '"'})).otherwise(F.col(TEXT)).alias(TEXT),
+        F.when(bad, F.concat(F.lit(f"{BAD_VALUE}:"), "reasons")).otherwise(F.col(REASON)).alias(REASON))
+
+
 @dataclass
 class Landed:
     """`rows` of the declared schema, and `rejects`: file, text, reason."""

@@ -25,6 +25,7 @@ from pyspark.sql.types import DateType, IntegerType, StringType, StructField, St
 
 from ..operators import monthly
 from ..operators.fingerprint import PARTS, added, compared, fingerprint
+from ..session import path_exists
 from .schemas import CLEAN, conform
 from .tables import MONTH
 
@@ -70,7 +71,7 @@ class UsageStore:
 
     def manifest(self) -> DataFrame:
         """Every entry: the parts that count from it on, until the next."""
-        if not _exists(self.spark, f"{self.path}/manifest"):
+        if not path_exists(self.spark, f"{self.path}/manifest"):
             return self.spark.createDataFrame([], f"{_STATE}, {ENTRY} int")
         return self.spark.read.schema(f"{_STATE}, {ENTRY} int").parquet(f"{self.path}/manifest")
 
@@ -196,8 +197,3 @@ def _versions(parts: list[Part]) -> dict[date | None, int]:
 
 def _order(month: date | None) -> tuple[bool, date]:
     return month is not None, month or date.min
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(folder)

@@ -651,6 +651,50 @@ qualify row_number() over (
   order by transaction_date desc, membership_expire_date desc, payment_plan_days desc,
            plan_list_price desc, actual_amount_paid desc, is_auto_renew desc,
            payment_method_id desc, is_cancel) = 1"""
+    moved = """cast(strftime(transaction_date, '%Y%m%d') as integer) as raw_transaction_date,
+    cast(strftime(membership_expire_date, '%Y%m%d') as integer) + 1300 as raw_membership_expire_date"""
+    result["c1_split_transactions"] = f"""with {tables}{ODD},
+spoilt as (
+  select o.*, t.raw_transaction_date, t.raw_membership_expire_date,
+         o.payment_method_id is not distinct from 2 and o.is_cancel = 1 as bad
+  from (select *, row_number() over () as n from odd_transactions) o
+  positional join (select {moved} from transactions) t)
+select msno, payment_method_id, payment_plan_days, plan_list_price, actual_amount_paid, is_auto_renew,
+  case when not bad then transaction_date end as transaction_date,
+  case when not bad then membership_expire_date end as membership_expire_date, is_cancel,
+  case when bad then 'membership_expire_date' end as reasons,
+  case when bad then raw_transaction_date end as raw_transaction_date,
+  case when bad then raw_membership_expire_date end as raw_membership_expire_date
+from spoilt"""
+    result["c7_split_user_logs"] = f"""with {tables}{ODD}
+select msno, case when num_unq not in (5, 6) then date end as date, num_25, num_50, num_75, num_985, num_100,
+  num_unq, case when num_unq in (5, 6) then 'total_secs' end as reasons,
+  case when num_unq in (5, 6) then cast(strftime(date, '%Y%m%d') as integer) end as raw_date
+from odd_logs"""
+    result["a25_repeated_plans"] = f"""{shared}
+select msno, payment_plan_days, count(*) as payments,
+  {_pct('sum(is_auto_renew)', 'count(*)')} as pct_auto_renew
+from transactions group by msno, payment_plan_days having count(*) > 2"""
+    result["s7_publish_features"] = " union all ".join(
+        f"select * from ({_in_windows(_FEATURES, tables)}) where \"window\" = '{name}'"
+        for name in ("quarter", "within"))
+    result["r14_test_vs_control_interval"] = f"""{shared},
+arms as (
+  select count(*) filter (test) as n1, coalesce(sum(is_churn) filter (test), 0) as x1,
+         count(*) filter (not test) as n2, coalesce(sum(is_churn) filter (not test), 0) as x2,
+         1.959963984540054::double as z
+  from (select is_churn, md5(msno) < '8' as test from features where payment_plan_days > 30)),
+ends as (
+  select *, x1 / n1 as p1, x2 / n2 as p2,
+    (2 * x1 + z * z - z * sqrt(z * z + 4 * x1 * (1 - x1 / n1))) / (2 * (n1 + z * z)) as low1,
+    (2 * x1 + z * z + z * sqrt(z * z + 4 * x1 * (1 - x1 / n1))) / (2 * (n1 + z * z)) as high1,
+    (2 * x2 + z * z - z * sqrt(z * z + 4 * x2 * (1 - x2 / n2))) / (2 * (n2 + z * z)) as low2,
+    (2 * x2 + z * z + z * sqrt(z * z + 4 * x2 * (1 - x2 / n2))) / (2 * (n2 + z * z)) as high2
+  from (select n1::double as n1, x1::double as x1, n2::double as n2, x2::double as x2, z from arms))
+select n1::bigint as test_users, n2::bigint as control_users, round(100 * (p2 - p1), 4) as gap,
+  round(100 * (p2 - p1 - sqrt(pow(p2 - low2, 2) + pow(high1 - p1, 2))), 4) as gap_low,
+  round(100 * (p2 - p1 + sqrt(pow(high2 - p2, 2) + pow(p1 - low1, 2))), 4) as gap_high
+from ends"""
     result["p_members_in_one_pass"] = f"{shared} {_ONE_PASS}"
     result["q_population_checks"] = f"{shared} {_population()}"
     for name, query in (("u1_user_features_by_months", "u1_user_features"),
