@@ -1,15 +1,11 @@
-"""Exact deduplication with an extendible-hash index on shared files.
-
-The index has a directory, two to the power of its depth entries by the first bits of a text's
-hash, and buckets of records, each with a depth of its own. A bucket over capacity is split by
-its next bit, and the directory doubles when a bucket gets deeper than it. A key that alone
-overfills a bucket can't be split; its records stay in one chain. Buckets are written as Parquet in the shared
-folder in order of their key range; owner tasks read a range each, chain the different texts of
-a hash and compare them byte by byte.
-
-Equal texts are combined where they are read, so a group of copies reaches its owner as a row
-for each task that read some, however many copies there are; only texts whose hash occurs twice are
-moved at all.
+"""Exact deduplication by hash and text, beside an extendible-hash directory over the hashes.
+
+Equal texts are combined where they are read, so a group of copies reaches its group as a row for each
+task that read some, however many copies there are; only texts whose hash occurs twice are moved at all. Texts of
+one hash are compared as a whole, by a grouping on the text itself, and chained in order. The directory, two to
+the power of its depth entries by the first bits of a text's hash, is built round by round: a bucket over capacity
+is split by its next bit. Of it only the greatest depth is used, to deal out chains by key range; no key is looked
+up through it.
 """
 
 from __future__ import annotations

@@ -69,7 +69,15 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS,
         "source", "source_size", "weight", "budget", "target", "end")
 
 
-IDENTITY = ("doc_id", "source", "size", "text_key")
+IDENTITY = ("doc_id", "source", "size", "row_key")
+
+
+def row_key(docs: DataFrame) -> Column:
+    """A hash of a row's text and of all its other columns but maps, and of which are null: rows that
+    differ anywhere are told apart, and equal ones stand for each other."""
+    others = [c for c, kind in docs.dtypes if c != "text" and "map<" not in kind]
+    nulls = F.concat(*[F.when(F.col(f"`{c}`").isNull(), "1").otherwise("0") for c in ["text", *others]])
+    return F.xxhash64("text", nulls, *[F.col(f"`{c}`") for c in others])
 
 
 def queued(docs: DataFrame, seed: str = "0", weights: tuple[int, ...] = WEIGHTS,
@@ -77,7 +85,7 @@ def queued(docs: DataFrame, seed: str = "0", weights: tuple[int, ...] = WEIGHTS,
     """One row per document: its identity, its source's figures, and `passed`, the words of its
     source up to and with it in shuffled order. `part` numbers rows that are equal."""
     sized = docs.select("doc_id", "source", size_in_words(F.col("text")).alias("size"),
-                        F.xxhash64("text").alias("text_key"))
+                        row_key(docs).alias("row_key"))
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     part = F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies")))
     rows = save(sized.groupBy(*IDENTITY).agg(F.count(F.lit(1)).alias("copies"))
@@ -92,7 +100,7 @@ def queued(docs: DataFrame, seed: str = "0", weights: tuple[int, ...] = WEIGHTS,
         (F.sum("words").over(Window.partitionBy("source").orderBy("bucket"))
          - F.col("words")).alias("skipped"))
     placed = starts.join(targets, F.col("of").eqNullSafe(F.col("source"))).drop("source")
-    within = Window.partitionBy("source", "bucket").orderBy("key", "doc_id", "text_key", "part")
+    within = Window.partitionBy("source", "bucket").orderBy("key", "doc_id", "row_key", "part")
     running = rows.withColumn("bucket", bucket).withColumn("inside", F.sum("size").over(within))
     return save(running.join(
         placed, F.col("source").eqNullSafe(F.col("of")) & (F.col("bucket") == F.col("at"))
@@ -115,7 +123,7 @@ def cut(queue: DataFrame, repeats: int = MOST_REPEATS) -> DataFrame:
         F.col("slot").alias("at"),
         (F.sum("words").over(Window.orderBy("slot")) - F.col("words")).alias("skipped"))
     order = Window.partitionBy("slot").orderBy(
-        "finish", "key", F.col("source").asc_nulls_last(), "doc_id", "text_key", "part", "repeat")
+        "finish", "key", F.col("source").asc_nulls_last(), "doc_id", "row_key", "part", "repeat")
     upto = F.col("skipped") + F.sum("size").over(order)
     # At most TIME_BUCKETS + 1 rows are broadcast.
     return (
@@ -134,16 +142,16 @@ def mix(docs: DataFrame, seed: str = "0", weights: tuple[int, ...] = WEIGHTS,
 
     It is cut before the first row that would take the words over those of all documents. Null
     text has no words; a document without words is taken once if it stands before the cut. Null
-    sources are one source, sorted last. Equal rows are mixed like different documents. An
-    empty table gives no rows. Columns beyond doc_id, source and text are carried along, but for
+    sources are one source, sorted last. Equal rows are mixed like different documents, and so are rows
+    that share doc_id, source and text but differ elsewhere. An empty table gives no rows. Columns beyond doc_id, source and text are carried along, but for
     any that have the added names. What is taken depends on the seed and the rows, never on their order.
     """
     items = cut(queued(docs, seed, weights, repeats), repeats)
     took = items.toDF(*[f"mix_{c}" for c in items.columns])
     name = fresh(docs, "mix_row_key")
-    one = docs.withColumn(name, F.xxhash64("text")).dropDuplicates(["doc_id", "source", name])
+    one = docs.withColumn(name, row_key(docs)).dropDuplicates(["doc_id", "source", name])
     same = (one.doc_id.eqNullSafe(took.mix_doc_id) & one.source.eqNullSafe(took.mix_source)
-            & (one[name] == took.mix_text_key))
+            & (one[name] == took.mix_row_key))
     added = ["mix_repeat", "mix_finish", "mix_words_before"]
     return one.join(took, same).select(
         *[one[c] for c in docs.columns if c not in added], *[took[c] for c in added])

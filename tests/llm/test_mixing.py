@@ -70,3 +70,11 @@ def test_mixed_documents_keep_columns_and_order(spark, docs_of):
 @pytest.mark.parametrize("run", [mixing.mix, mixing.taken_words])
 def test_empty_table(docs_of, run):
     assert run(docs_of([])).collect() == []
+
+
+def test_rows_that_differ_in_another_column_are_all_mixed(docs_of):
+    """None of two rows with equal doc_id, source and text takes the other's place."""
+    rows = [(1, "a b c", "s", "en"), (1, "a b c", "s", "de"), (1, "a b c", "s", None), (2, "d e", "s", "en"),
+            (2, "d e", "s", "en")]
+    got = mixing.mix(docs_of(rows), weights=(1,), repeats=1).collect()
+    assert sorted(map(str, ((r.doc_id, r.lang) for r in got))) == sorted(map(str, ((r[0], r[3]) for r in rows)))
