@@ -63,13 +63,27 @@ class Header(NamedTuple):
 
 
 def _by_header(spark: SparkSession, paths: list[str]) -> list[tuple[Header, list[str]]]:
-    """The files by their header. Only the first line of each is read, by a task that stops there."""
+    """The files by their header. Of each only the first line is read, without a job: the files of a
+    delivery can be many thousands."""
     files = [unquote(file) for file in spark.read.text(paths).inputFiles()]
+    hadoop = spark._jsparkSession.sessionState().newHadoopConf()
+    jvm = spark._jvm
+    codecs = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(hadoop)
 
     def header(file: str) -> Header | None:
-        line = spark.read.text(file).first()
-        return line and Header(tuple(
-            name.strip() for name in next(csv.reader([line[0].lstrip("\ufeff")]), [])), line[0])
+        path = jvm.org.apache.hadoop.fs.Path(file)
+        stream = path.getFileSystem(hadoop).open(path)
+        codec = codecs.getCodec(path)
+        stream = stream if codec is None else codec.createInputStream(stream)
+        reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream, "UTF-8"))
+        try:
+            line = reader.readLine()
+        finally:
+            reader.close()
+        if line is None:
+            return None
+        line = line.removeprefix("\ufeff")  # Spark's readers leave a byte order mark out as well
+        return Header(tuple(name.strip() for name in next(csv.reader([line]), [])), line)
 
     with ThreadPoolExecutor(_AT_ONCE) as pool:
         found = defaultdict(list)

@@ -67,6 +67,27 @@ def test_names_with_blanks(spark, tmp_path):
     assert rows == [("a", 1)] and len(rejects) == 1
 
 
+def test_compressed_files(spark, tmp_path):
+    import gzip
+    with gzip.open(tmp_path / "a.csv.gz", "wt") as file:
+        file.write("is_churn,msno\n1,a\n0,b\nx,c\n")
+    rows, rejects = split(read_delivery(spark, str(tmp_path / "a.csv.gz"), "train"))
+    assert rows == [("a", 1), ("b", 0)] and [r[1] for r in rejects] == ["x,c"]
+
+
+def test_many_files_need_no_job_each(spark, tmp_path):
+    for i in range(300):
+        write(tmp_path, **{f"f{i}": f"msno,is_churn\nu{i},{i % 2}\n"})
+    jobs = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("headers", "headers of many files")
+    try:
+        delivery = read_delivery(spark, str(tmp_path), "train")
+        assert len(jobs.getJobIdsForGroup("headers")) < 5
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert delivery.count() == 300
+
+
 def test_landing_splits_and_counts(spark, tmp_path):
     write(tmp_path, a="msno,is_churn\n" + "".join(f"u{i},{i % 2}\n" for i in range(98)) + "x\ny,z\n")
     found = land(read_delivery(spark, str(tmp_path / "a.csv"), "train"), str(tmp_path / "out"), "train")
