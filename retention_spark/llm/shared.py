@@ -14,8 +14,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Ids of at most so many rows (16 bytes each) are sent to every executor; more are joined by shuffle.
-SMALL_ROWS = 1_000_000
+#: Id tables of at most so many bytes are sent to every executor; larger ones are joined by shuffle.
+SMALL_BYTES = 16_000_000
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Text that one step of a task holds as arrays.
 SLICE_BYTES = 4 << 20
@@ -82,10 +82,11 @@ def _shuffles_deleted(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(_CLEANUP, before)
 
 
-def if_small(ids: DataFrame, rows: int | None = None) -> DataFrame:
-    """Mark a narrow, saved table for broadcast if its counted rows are few; else leave it."""
+def if_small(ids: DataFrame, rows: int | None = None, width: int = 16) -> DataFrame:
+    """Mark a narrow, saved table for broadcast if its counted rows, of at most `width` bytes each,
+    are few; else leave it."""
     rows = ids.count() if rows is None else rows
-    return F.broadcast(ids) if rows <= SMALL_ROWS else ids
+    return F.broadcast(ids) if rows * width <= SMALL_BYTES else ids
 
 
 def fresh(df: DataFrame, name: str) -> str:
