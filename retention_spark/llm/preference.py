@@ -4,8 +4,10 @@ A pair is two versions of a conversation, one chosen, one rejected. The longest
 both share is rendered once, as the prompt; what follows is rendered as two completions, with
 the characters that a loss should cover: what assistants say, and the mark that ends it.
 
-No conversation is gathered: the first turn at which the versions differ is a minimum, which
-combines before the shuffle, and a pair is written in segments of SEGMENT turns.
+The first turn at which the versions differ is a minimum, which combines before the shuffle. Where a completion's
+turns begin is a running sum over blocks of BLOCK turns, first within each block and then
+over the blocks, so the turns of a long pair are sorted in many tasks. Only the last step, whose
+result is one row a pair, brings a pair's text together.
 """
 
 from __future__ import annotations
@@ -13,7 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SEGMENT = 1024
+#: Turns that one running sum goes over.
+BLOCK = 1024
 ASSISTANT = "assistant"
 END = "<|end|>\n"
 
@@ -28,15 +31,14 @@ def _plain(text: Column) -> Column:
 
 
 def formatted_pairs(turns: DataFrame) -> DataFrame:
-    """`turns` (pair_id, chosen: boolean, turn, role, text) as one row per pair and segment:
-    pair_id, segment, prompt_turns, prompt, chosen, rejected, chosen_loss, rejected_loss; the last
-    two list begin:end of the characters (code points) of the segment's completion to learn from.
-
-    Turns are ordered by number, null last; segment k holds the turns from k * SEGMENT on, and null turns are
-    in a last one, -1. Rows that repeat are one turn; different ones with one number are ordered by role, then text. Null
-    role or text is empty; rows without pair_id or side belong to no conversation. Versions without a
-    difference give two empty completions; a missing version is an empty one. An empty table gives no rows;
-    other columns are not looked at.
+    """`turns` (pair_id, chosen: boolean, turn, role, text) as one row per pair: pair_id,
+    prompt_turns, prompt, chosen, rejected, chosen_loss, rejected_loss; the last two list begin:end
+    of the characters (code points) of the completion to learn from.
+
+    Turns are ordered by number, null last. Rows that repeat are one turn; different ones with one number are
+    ordered by role, then text. Null role or text is empty; rows without pair_id or side belong to
+    no conversation. Versions without a difference give two empty completions; a missing version is an
+    empty one. An empty table gives no rows; other columns are not looked at.
     """
     rows = turns.filter("pair_id is not null and chosen is not null").select(
         "pair_id", "chosen", F.col("turn").cast("bigint").alias("turn"),
@@ -53,13 +55,21 @@ def formatted_pairs(turns: DataFrame) -> DataFrame:
     shared = F.col("parting").isNull() | (F.col("place") < F.col("parting"))
     part = F.when(shared, "prompt").when(F.col("chosen"), "chosen").otherwise("rejected")
     piece = F.concat(_header(F.col("role")), F.col("text"), F.lit(END))
-    segment = F.when(F.col("turn").isNull(), -1).otherwise(F.floor(F.col("turn") / SEGMENT))
+    # Null turns are the last block.
+    block = F.when(F.col("turn").isNull(), F.lit(2**62)).otherwise(F.floor(F.col("turn") / BLOCK))
     pieces = placed.filter(F.col("chosen") | ~shared).select(
-        "pair_id", segment.cast("bigint").alias("segment"), "parting", "place", "role", "text",
+        "pair_id", block.cast("bigint").alias("block"), "parting", "place", "role", "text",
         part.alias("part"), piece.alias("piece"))
-    before = Window.partitionBy("pair_id", "segment", "part").orderBy("place", "role", "text")
-    ends = pieces.withColumn("until", F.sum(F.length("piece")).over(
-        before.rowsBetween(Window.unboundedPreceding, 0)))
+    inside = Window.partitionBy("pair_id", "part", "block").orderBy("place", "role", "text")
+    within = pieces.withColumn("within", F.sum(F.length("piece")).over(
+        inside.rowsBetween(Window.unboundedPreceding, 0)))
+    of_block = pieces.groupBy("pair_id", "part", "block").agg(
+        F.sum(F.length("piece")).alias("size"))
+    earlier = Window.partitionBy("pair_id", "part").orderBy("block")
+    offsets = of_block.select("pair_id", "part", "block", F.coalesce(F.sum("size").over(
+        earlier.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("offset"))
+    ends = within.join(offsets, ["pair_id", "part", "block"]).withColumn(
+        "until", F.col("within") + F.col("offset"))
     begin = F.col("until") - F.length("text") - len(END)
     learned = F.when(F.col("role") == ASSISTANT, F.concat_ws(":", begin, F.col("until")))
     ready = ends.withColumn("learned", learned)
@@ -69,7 +79,7 @@ def formatted_pairs(turns: DataFrame) -> DataFrame:
         return F.array_join(F.transform(F.sort_array(F.collect_list(mine)),
                                         lambda x: x[field]), mark)
 
-    return ready.groupBy("pair_id", "segment").agg(
+    return ready.groupBy("pair_id").agg(
         F.count_if(F.col("part") == "prompt").alias("prompt_turns"),
         of("prompt", "piece", "").alias("prompt"), of("chosen", "piece", "").alias("chosen"),
         of("rejected", "piece", "").alias("rejected"),
@@ -119,16 +129,16 @@ parting as (select p.pair_id, min(u.turn) as parting
             from (select distinct pair_id from rows) p left join unmatched u using (pair_id)
             group by p.pair_id),
 pieces as (
-  select r.pair_id, cast(floor(turn / 1024) as bigint) as segment, turn, role, text,
+  select r.pair_id, turn, role, text,
     case when parting is null or turn < parting then 'prompt'
          when side then 'chosen' else 'rejected' end as part,
     '<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10) as piece
   from rows r join parting using (pair_id) where side or turn >= parting),
-ends as (select *, sum(length(piece)) over (partition by pair_id, segment, part
+ends as (select *, sum(length(piece)) over (partition by pair_id, part
                                             order by turn, role, text) as until from pieces),
 ready as (select *, case when role = 'assistant'
     then (until - length(text) - 8)::bigint || ':' || until::bigint end as learned from ends)
-select pair_id, segment, count(*) filter (part = 'prompt') as prompt_turns,
+select pair_id, count(*) filter (part = 'prompt') as prompt_turns,
   coalesce(string_agg(piece, '' order by turn, role, text) filter (part = 'prompt'), '') as prompt,
   coalesce(string_agg(piece, '' order by turn, role, text) filter (part = 'chosen'), '') as chosen,
   coalesce(string_agg(piece, '' order by turn, role, text) filter (part = 'rejected'), '') as rejected,
@@ -136,4 +146,4 @@ select pair_id, segment, count(*) filter (part = 'prompt') as prompt_turns,
     as chosen_loss,
   coalesce(string_agg(learned, ',' order by turn, role, text) filter (part = 'rejected'), '')
     as rejected_loss
-from ready group by pair_id, segment"""
+from ready group by pair_id"""

@@ -10,7 +10,7 @@ def _rows(spark, rows):
 
 
 def _brute(rows):
-    """{(pair, segment): row} for rows whose turns are numbered without gaps or ties."""
+    """{pair: row} for rows whose turns are numbered without gaps or ties."""
     out = {}
     for pair in {r[0] for r in rows if r[0] is not None}:
         sides = {s: sorted({(t, (r or "").replace("<|", "< |"), (x or "").replace("<|", "< |"))
@@ -60,18 +60,15 @@ def test_pairs(spark):
     assert got == _brute([r for r in rows if r[1] is not None and r[0] != 8])
 
 
-def test_long_conversations_come_in_segments(spark):
+def test_long_conversations_are_one_row(spark):
     rows = [(1, side, t, "assistant" if t % 2 else "user", f"{t}{side if t > 1500 else ''}")
-            for side in (True, False) for t in range(2100)] + [(1, True, None, "user", "late")]
-    got = sorted(preference.formatted_pairs(_rows(spark, rows)).collect(), key=lambda r: r.segment)
-    assert [r.segment for r in got] == [-1, 0, 1, 2]
-    assert sum(r.prompt_turns for r in got) == 1501
-    assert got[0].chosen == "<|user|>\nlate<|end|>\n" and got[1].chosen == ""
-    for r in got[2:]:
-        for text, loss in ((r.chosen, r.chosen_loss), (r.rejected, r.rejected_loss)):
-            for span in loss.split(","):
-                begin, end = map(int, span.split(":"))
-                assert text[:begin].endswith("<|assistant|>\n") and text[begin:end].endswith("<|end|>\n")
+            for side in (True, False) for t in range(5100)]
+    rows += [(2, side, t - 5, "assistant" if t % 3 else "user", f"{t}{side if t > 3 else ''}")
+             for side in (True, False) for t in range(1031)]
+    got = _got(preference.formatted_pairs(_rows(spark, rows)))
+    assert got == _brute(rows) and got[1][0] == 1501
+    late = _got(preference.formatted_pairs(_rows(spark, [*rows, (1, True, None, "user", "late")])))
+    assert late[1][2] == got[1][2] + "<|user|>\nlate<|end|>\n" and late[1][3:] == got[1][3:]
 
 
 def test_only_the_last_reply_is_swapped(spark):
