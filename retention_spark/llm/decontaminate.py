@@ -2,7 +2,9 @@
 
 A test item of m characters may be met with up to k = m * ERROR_PERCENT // 100 edits. Cut into k + 1
 pieces, any such occurrence holds one piece unchanged, so an Aho-Corasick scan for all pieces finds every
-place worth a look; Myers' bit-parallel algorithm then gives the least edit distance there.
+place worth a look; Myers' bit-parallel algorithm then gives the least edit distance there. An item of
+fewer than SHORT characters has no edits to spare (k = 0) and is met where its words stand as
+whole words.
 
 Items and texts are compared lower-cased, with runs of white space and ASCII punctuation as one
 space. Items are sent to all tasks in blocks of bounded size, and the documents are read once a
@@ -21,8 +23,10 @@ from pyspark.sql import functions as F
 from .shared import text_slices
 
 ERROR_PERCENT = 8
-#: A shorter item is met only by a text that equals it whole: inside other texts it means nothing.
-LEAST_CHARS = 40
+#: A shorter item is met without an edit, as whole words.
+SHORT = 40
+#: From here on scripts are written without spaces, or with endings joined to words.
+_UNSPACED = 0x0E00
 #: Text of the items that one block holds.
 BLOCK_BYTES = 1 << 20
 
@@ -81,20 +85,27 @@ def least_distance(pattern: str, text: str, limit: int) -> tuple[int, int] | Non
     return best
 
 
+def _whole_words(text: str, begin: int, end: int) -> bool:
+    """Whether no word goes on across either edge of text[begin:end]."""
+    def joined(at: int) -> bool:
+        return 0 < at < len(text) and all(
+            c.isalnum() and ord(c) < _UNSPACED for c in text[at - 1 : at + 1])
+
+    return not (joined(begin) or joined(end))
+
+
 class Matcher:
     """Finds items in texts. `items`: (item_id, text)."""
 
     def __init__(self, items: list[tuple[int, str]], percent: int = ERROR_PERCENT):
-        self.items, self.whole = [], {}
+        self.items: list[tuple[int, str, int]] = []
         self.scan, self.any = ahocorasick.Automaton(), False
         filed: dict[str, list[tuple[int, int]]] = {}
         for item_id, text in items:
             item = plain(text)
-            if len(item) < LEAST_CHARS:
-                if item:
-                    self.whole.setdefault(item, []).append(item_id)
+            if not item:
                 continue
-            errors = len(item) * percent // 100
+            errors = len(item) * percent // 100 if len(item) >= SHORT else 0
             for offset, piece in pieces(item, errors):
                 filed.setdefault(piece, []).append((len(self.items), offset))
             self.items.append((item_id, item, errors))
@@ -107,25 +118,35 @@ class Matcher:
     def find(self, text: str) -> list[tuple[int, int, int, int]]:
         """(item_id, distance, begin, end) of each item met, at its first best place in the
         plain text."""
-        form = plain(text)
-        found = [(item_id, 0, 0, len(form)) for item_id in self.whole.get(form, ())]
+        form, found = plain(text), []
         if not self.any:
             return found
         regions: dict[int, list[list[int]]] = {}
+        met: set[int] = set()
         for end, (size, uses) in self.scan.iter(form):
             for k, offset in uses:
-                _, item, errors = self.items[k]
+                item_id, item, errors = self.items[k]
                 begin = end + 1 - size - offset
+                if len(item) < SHORT:
+                    if k not in met and _whole_words(form, begin, end + 1):
+                        met.add(k)
+                        found.append((item_id, 0, begin, end + 1))
+                    continue
                 low, high = max(0, begin - errors), begin + len(item) + errors
                 own = regions.setdefault(k, [])
-                if own and low <= own[-1][1]:  # hits come in order of their ends, so nearly so
-                    own[-1] = [min(low, own[-1][0]), max(high, own[-1][1])]
+                if own and own[-1][0] <= low <= own[-1][1]:
+                    own[-1][1] = max(high, own[-1][1])
                 else:
                     own.append([low, high])
         for k, own in regions.items():
             item_id, item, errors = self.items[k]
-            best = None
-            for low, high in own:
+            best, merged = None, []
+            for low, high in sorted(own):  # hits come in order of their ends, not of their regions
+                if merged and low <= merged[-1][1]:
+                    merged[-1][1] = max(high, merged[-1][1])
+                else:
+                    merged.append([low, high])
+            for low, high in merged:
                 got = least_distance(item, form[low:high], errors)
                 if got and (best is None or got[0] < best[0]):
                     back = least_distance(item[::-1], form[low : low + got[1]][::-1], got[0])
@@ -197,7 +218,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that hold no item, with all their columns."""
+    """The documents that hold no item within its error budget, with all their columns.
+
+    Null or empty texts and rows without doc_id are judged by their text alone: they hold nothing or what
+    it holds. Repeated rows stay or go together. Null or empty items are in nothing; without items all
+    documents stay, and an empty table stays empty. Columns named like those of the benchmark are left alone.
+    """
     for items in item_blocks(benchmark):
         per_text = _per_text(docs, items, "text")
 
