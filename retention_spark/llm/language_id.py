@@ -4,7 +4,8 @@ A language is a distribution over the pieces of a fixed public vocabulary. The p
 sum over all ways to cut it into pieces, which a forward pass over the word adds up; a text's
 is the product over its words. Piece probabilities are fitted by expectation maximisation, also
 over all segmentations. Every different word of a piece of the table is scored once, words
-of one length together, as arrays.
+of one length together, as arrays; a word of more than LONG characters by itself, in blocks that
+carry on what reaches each of the last places, so that no segmentation is lost at their edges.
 """
 
 from __future__ import annotations
@@ -24,15 +25,16 @@ from . import words
 from .shared import fresh, text_slices
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
-#: The model is fitted on at most so many documents of each language, of at most so many bytes.
-SAMPLE_DOCUMENTS, SAMPLE_BYTES = 400, 50_000
+#: The model is fitted on at most so many documents of each language, and the first so many
+#: characters of a longer one.
+SAMPLE_DOCUMENTS, SAMPLE_CHARS = 400, 50_000
 ROUNDS = 4
 #: Added to the expected count of every piece.
 PRIOR = 0.01
 #: Probability of a character that no piece covers.
 UNKNOWN = 1e-7
-#: Longer words are scored in parts of so many characters.
-PART = 256
+#: Longer words are scored by themselves, in blocks; fitting takes them in stretches of this length.
+LONG = 256
 SLICE = 12 << 20
 UNDETERMINED = "und"
 
@@ -89,6 +91,20 @@ class Pieces:
                 at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
                 yield begin, end, np.where(self.keys[at] == key, self.numbers[at], -1)
 
+    def ending(self, codes: np.ndarray) -> np.ndarray:
+        """Number of the piece that ends with each character of one text, or -1: a row for each
+        length, the longest first."""
+        out = np.full((self.longest, len(codes)), -1)
+        key, power = np.zeros(len(codes), np.uint64), np.ones(1, np.uint64)
+        for size in range(1, min(self.longest, len(codes)) + 1):
+            key[size - 1 :] += codes[: len(codes) - size + 1] * power
+            sought = key[size - 1 :] + np.uint64(size)
+            at = np.minimum(np.searchsorted(self.keys, sought), len(self.keys) - 1)
+            out[self.longest - size, size - 1 :] = np.where(
+                self.keys[at] == sought, self.numbers[at], -1)
+            power = power * _BASE
+        return out
+
 
 def by_length(texts: list[str]) -> Iterator[tuple[np.ndarray, list[str]]]:
     """Positions and texts in groups of one length."""
@@ -104,6 +120,9 @@ def forward(pieces: Pieces, chances: np.ndarray, texts: list[str]) -> np.ndarray
     last one of zeros, which -1 finds, and a column for each language."""
     out = np.zeros((len(texts), chances.shape[1]))
     for group, same in by_length(texts):
+        if len(same[0]) > LONG:
+            out[group] = [_forward_long(pieces, chances, word) for word in same]
+            continue
         for low in range(0, len(same), 20_000):
             part = same[low : low + 20_000]
             length, scale = len(part[0]), np.zeros((len(part), chances.shape[1]))
@@ -122,6 +141,27 @@ def forward(pieces: Pieces, chances: np.ndarray, texts: list[str]) -> np.ndarray
     return out
 
 
+def _forward_long(pieces: Pieces, chances: np.ndarray, word: str) -> np.ndarray:
+    """`forward` for one word, in blocks of LONG characters."""
+    longest, wide = pieces.longest, chances.shape[1]
+    state, scale = np.zeros((longest, wide)), np.zeros(wide)
+    state[-1] = 1  # what reaches the last `longest` places
+    for low in range(0, len(word), LONG):
+        back = min(low, longest - 1)
+        number = pieces.ending(_codes([word[low - back : low + LONG]])[0])[:, back:]
+        chance = chances[number]
+        chance[-1] = np.where(number[-1][:, None] < 0, UNKNOWN, chance[-1])
+        reach = np.concatenate((state, np.zeros((number.shape[1], wide))))
+        for at in range(number.shape[1]):
+            reach[at + longest] = (reach[at : at + longest] * chance[:, at]).sum(axis=0)
+            if at % 8 == 7:
+                factor = reach[at + longest].copy()
+                reach[at + 1 : at + longest + 1] /= factor
+                scale += np.log(factor)
+        state = reach[-longest:]
+    return np.log(state[-1]) + scale
+
+
 def _settle(reach: np.ndarray, at: int, scale: np.ndarray, longest: int) -> None:
     """Every eighth character, bring what later steps use back near 1."""
     if at % 8 == 0 and at:
@@ -167,16 +207,9 @@ class Model:
     chances: np.ndarray
 
 
-def _parts(distinct: pa.Array) -> tuple[list[str], np.ndarray]:
-    """Words, each with the mark of a word's begin, in parts of at most PART characters; and the
-    word that each part is of."""
-    parts, owners = [], []
-    for i, word in enumerate(distinct.to_pylist()):
-        word = "▁" + word.decode("utf-8", "replace")
-        for low in range(0, len(word), PART):
-            parts.append(word[low : low + PART])
-            owners.append(i)
-    return parts, np.array(owners, np.int64)
+def _marked(distinct: pa.Array) -> list[str]:
+    """Words, each with the mark of a word's begin."""
+    return ["▁" + word.decode("utf-8", "replace") for word in distinct.to_pylist()]
 
 
 def held_out(doc_id: Column, parts: int = 5) -> Column:
@@ -198,16 +231,26 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit(docs: DataFrame, vocabulary: str = VOCABULARY, sample: int = SAMPLE_DOCUMENTS) -> Model:
-    """Fit on at most `sample` documents of each language: of those with text, lang and doc_id
-    that aren't held out and have at most SAMPLE_BYTES bytes, the first by a hash of doc_id."""
-    rows = docs.select("doc_id", "text", "lang").filter(
+    """Fit on at most `sample` documents of each language, and at most SAMPLE_CHARS characters of
+    each: of those with text, lang and doc_id that aren't held out, the first by a hash of doc_id
+    and text. Every language is learned that has such rows with words among the first. Equal rows count as one."""
+    rows = docs.select("text", "lang", F.xxhash64("doc_id", "text").alias("hash")).filter(
         F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull()
-        & ~held_out(F.col("doc_id")) & (F.octet_length("text") <= SAMPLE_BYTES))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = rows.select("doc_id", "lang").withColumn("rank", F.row_number().over(order)).filter(
-        F.col("rank") <= sample).select("doc_id", "lang").distinct()
-    # At most `sample` ids for each language.
-    taken = rows.join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi")
+        & ~held_out(F.col("doc_id")))
+    # A cut that leaves about four times the sample, whatever the table's size, and the first row always.
+    low, width = F.lit(-(2.0**63)), F.lit(2.0**64)
+    share = F.least(F.lit(1.0), F.lit(4.0 * sample) / F.count(F.lit(1)))
+    cuts = rows.groupBy("lang").agg(
+        F.greatest(F.min("hash").cast("double"), low + width * share).alias("cut"))
+    few = rows.select("lang", "hash").join(cuts, "lang").filter(
+        F.col("hash").cast("double") <= F.col("cut")).select("lang", "hash").distinct()
+    order = Window.partitionBy("lang").orderBy("hash")
+    bounds = few.withColumn("rank", F.row_number().over(order)).filter(
+        F.col("rank") <= sample).groupBy("lang").agg(F.max("hash").alias("last"))
+    # A row for each language.
+    taken = rows.join(F.broadcast(bounds), "lang").filter(F.col("hash") <= F.col("last")).select(
+        "lang", F.substring("text", 1, SAMPLE_CHARS).alias("text"), "hash").dropDuplicates(
+        ["lang", "hash"])
     counted = taken.select("text", "lang").mapInArrow(
         _count_words, "lang string, word binary, n bigint").groupBy("lang", "word").agg(
         F.sum("n").alias("n")).toArrow()
@@ -217,19 +260,18 @@ def fit(docs: DataFrame, vocabulary: str = VOCABULARY, sample: int = SAMPLE_DOCU
     chances = np.zeros((len(names) + 1, len(languages)))
     for k, lang in enumerate(languages):
         own = counted.filter(pc.equal(counted.column("lang"), lang)).sort_by("word")
-        parts, owners = _parts(own.column("word").combine_chunks())
-        counts = own.column("n").to_numpy()[owners]
-        chances[:, k] = fit_language(pieces, parts, counts, len(names))
+        marked = _marked(own.column("word").combine_chunks())
+        parts = [(w[i : i + LONG], n) for w, n in zip(marked, own.column("n").to_pylist(), strict=True)
+                 for i in range(0, len(w), LONG)]
+        chances[:, k] = fit_language(pieces, [w for w, _ in parts],
+                                     np.array([n for _, n in parts]), len(names))
     return Model(languages, pieces, chances)
 
 
 def text_scores(model: Model, texts: pa.Array) -> np.ndarray:
     """Log probability of each text under each language."""
     found = words.split(texts)
-    parts, owners = _parts(found.distinct)
-    each = np.zeros((len(found.distinct), len(model.languages)))
-    if parts:
-        np.add.at(each, owners, forward(model.pieces, model.chances, parts))
+    each = forward(model.pieces, model.chances, _marked(found.distinct))
     sums = np.concatenate((np.zeros((1, each.shape[1])), np.cumsum(each[found.ids], axis=0)))
     return sums[found.first[1:]] - sums[found.first[:-1]]
 

@@ -37,6 +37,29 @@ def test_forward_adds_up_all_segmentations():
     assert np.allclose(long, 250 * np.log(chances[5]))
 
 
+def test_no_segmentation_is_lost_in_long_words(monkeypatch):
+    pieces = li.Pieces.of(names := ["a", "b", "ab", "ba", "aba", "abbab"])
+    chances = np.zeros((len(names) + 1, 3))
+    chances[:-1] = np.random.default_rng(1).random((len(names), 3))
+    texts = ["ab" * 300 + "c", "abbab" * 7, "a" * 257, "".join("ab"[i * i % 7 > 3] for i in range(700))]
+    blocks = li.forward(pieces, chances, texts)
+    monkeypatch.setattr(li, "LONG", 10_000)
+    assert np.allclose(blocks, li.forward(pieces, chances, texts))
+    for long in (1, 2, 3, 9):
+        monkeypatch.setattr(li, "LONG", long)
+        assert np.allclose(blocks, li.forward(pieces, chances, texts))
+
+
+def test_languages_of_long_rows_only_are_learned(docs_of):
+    rows = [(i, f"the cat and the dog {i}", "s", "en") for i in range(40)]
+    rows += [(100 + i, f"el perro y la casa {i} " * 4000, "s", "es") for i in range(40)]
+    rows += [(200, "der Hund und die Katze", "s", "de")] * 3
+    model = li.fit(docs_of(rows), sample=10)
+    assert model.languages == ["de", "en", "es"]
+    names, _ = li.predictions(model, pa.array(["la casa y el perro", "the dog and the cat"]))
+    assert names == ["es", "en"]
+
+
 def test_fitting_raises_the_likelihood():
     pieces = li.Pieces.of(names := ["a", "b", "ab", "c"])
     words, counts = ["ab", "abab", "c", "abc"], np.array([5, 3, 2, 1])
