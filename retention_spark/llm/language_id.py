@@ -10,6 +10,7 @@ carry on what reaches each of the last places, so that no segmentation is lost a
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -35,8 +36,13 @@ PRIOR = 0.01
 UNKNOWN = 1e-7
 #: Longer words are scored by themselves, in blocks; fitting takes them in stretches of this length.
 LONG = 256
+#: A text is in no learned language if the mean log probability per character of its spoken words (with
+#: letters, without digits) is so much below the lower quartile of that language's held-out documents
+#: (nats; running text differs by under 1).
+SLACK = 3.0
 SLICE = 12 << 20
 UNDETERMINED = "und"
+_LETTER, _DIGIT = re.compile(r"[^\W\d_]"), re.compile(r"\d")
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -230,13 +236,12 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             "n": count.astype(np.int64)})
 
 
-def fit(docs: DataFrame, vocabulary: str = VOCABULARY, sample: int = SAMPLE_DOCUMENTS) -> Model:
-    """Fit on at most `sample` documents of each language, and at most SAMPLE_CHARS characters of
-    each: of those with text, lang and doc_id that aren't held out, the first by a hash of doc_id
-    and text. Every language is learned that has such rows with words among the first. Equal rows count as one."""
-    rows = docs.select("text", "lang", F.xxhash64("doc_id", "text").alias("hash")).filter(
-        F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull()
-        & ~held_out(F.col("doc_id")))
+def _sampled(docs: DataFrame, mine: Column, sample: int) -> DataFrame:
+    """(lang, text, hash): of the rows with text, lang and doc_id that are `mine`, the first `sample`
+    of each language by a hash of doc_id and text, and SAMPLE_CHARS characters of each."""
+    rows = docs.filter(F.col("text").isNotNull() & F.col("lang").isNotNull()
+                       & F.col("doc_id").isNotNull() & mine).select(
+        "text", "lang", F.xxhash64("doc_id", "text").alias("hash"))
     # A cut that leaves about four times the sample, whatever the table's size, and the first row always.
     low, width = F.lit(-(2.0**63)), F.lit(2.0**64)
     share = F.least(F.lit(1.0), F.lit(4.0 * sample) / F.count(F.lit(1)))
@@ -248,9 +253,16 @@ def fit(docs: DataFrame, vocabulary: str = VOCABULARY, sample: int = SAMPLE_DOCU
     bounds = few.withColumn("rank", F.row_number().over(order)).filter(
         F.col("rank") <= sample).groupBy("lang").agg(F.max("hash").alias("last"))
     # A row for each language.
-    taken = rows.join(F.broadcast(bounds), "lang").filter(F.col("hash") <= F.col("last")).select(
+    return rows.join(F.broadcast(bounds), "lang").filter(F.col("hash") <= F.col("last")).select(
         "lang", F.substring("text", 1, SAMPLE_CHARS).alias("text"), "hash").dropDuplicates(
         ["lang", "hash"])
+
+
+def fit(docs: DataFrame, vocabulary: str = VOCABULARY, sample: int = SAMPLE_DOCUMENTS) -> Model:
+    """Fit on at most `sample` documents of each language, and at most SAMPLE_CHARS characters of
+    each: of those with text, lang and doc_id that aren't held out, the first by a hash of doc_id
+    and text. Every language is learned that has such rows with words among the first. Equal rows count as one."""
+    taken = _sampled(docs, ~held_out(F.col("doc_id")), sample)
     counted = taken.select("text", "lang").mapInArrow(
         _count_words, "lang string, word binary, n bigint").groupBy("lang", "word").agg(
         F.sum("n").alias("n")).toArrow()
@@ -268,33 +280,72 @@ def fit(docs: DataFrame, vocabulary: str = VOCABULARY, sample: int = SAMPLE_DOCU
     return Model(languages, pieces, chances)
 
 
-def text_scores(model: Model, texts: pa.Array) -> np.ndarray:
-    """Log probability of each text under each language."""
+def text_scores(model: Model, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Log probability of each text under each language; and a mean of it per character (a mark for
+    each word among them), over words with letters and without digits, 0 where there are none."""
     found = words.split(texts)
-    each = forward(model.pieces, model.chances, _marked(found.distinct))
-    sums = np.concatenate((np.zeros((1, each.shape[1])), np.cumsum(each[found.ids], axis=0)))
-    return sums[found.first[1:]] - sums[found.first[:-1]]
+    marked = _marked(found.distinct)
+    each = forward(model.pieces, model.chances, marked)
+    spoken = np.array([bool(_LETTER.search(w)) and not _DIGIT.search(w) for w in marked], bool)
+    size = np.array([len(w) for w in marked], np.int64) * spoken
+    low, high = found.first[:-1], found.first[1:]
+
+    def per_text(values: np.ndarray) -> np.ndarray:
+        sums = np.concatenate((np.zeros((1, values.shape[1])), np.cumsum(values[found.ids], axis=0)))
+        return sums[high] - sums[low]
 
+    means = per_text(each * spoken[:, None]) / np.maximum(per_text(size[:, None]), 1)
+    return per_text(each), means
 
-def predictions(model: Model, texts: pa.Array) -> tuple[list[str], np.ndarray]:
+
+def predictions(model: Model, texts: pa.Array, floors: np.ndarray | None = None
+                ) -> tuple[list[str], np.ndarray]:
     """Language and score: its share of the probability of the text, languages equally likely
-    beforehand; UNDETERMINED and 0 for null, for a text without a letter, or a model of nothing."""
+    beforehand; UNDETERMINED and 0 for null, for a text without a letter, or a model of nothing,
+    and where the mean log probability per character of spoken words is below the language's floor."""
     letters = pc.fill_null(pc.match_substring_regex(texts.cast(pa.large_string()), r"\pL"), False)
     known = letters.to_numpy(zero_copy_only=False)
     if not model.languages:
         return [UNDETERMINED] * len(texts), np.zeros(len(texts))
-    logs = text_scores(model, texts)
+    logs, means = text_scores(model, texts)
     best = logs.argmax(axis=1)
+    if floors is not None:  # 0, no spoken words, is above all
+        known = known & (means.max(axis=1) >= floors[means.argmax(axis=1)])
     share = 1 / np.exp(logs - logs.max(axis=1, keepdims=True)).sum(axis=1)
     names = [model.languages[b] if ok else UNDETERMINED for b, ok in zip(best, known, strict=True)]
     return names, np.where(known, share, 0.0)
 
 
-def identify(docs: DataFrame, model: Model, names: tuple[str, str] = ("lang_pred", "score")
-             ) -> DataFrame:
+def floors(docs: DataFrame, model: Model, slack: float = SLACK,
+           sample: int = SAMPLE_DOCUMENTS) -> np.ndarray:
+    """Least mean log probability per character of each language of the model: `slack` below the
+    lower quartile of at most `sample` held-out documents of the language; a language without such a document
+    has a floor that nothing is under."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def means(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in text_slices(batches, "text", SLICE):
+            best = text_scores(sent.value, piece.column("text"))[1].max(axis=1)
+            full = np.flatnonzero(best)
+            yield pa.RecordBatch.from_pydict({
+                "lang": piece.column("lang").take(pa.array(full)), "mean": best[full]})
+
+    found = np.full(len(model.languages), -1e9)
+    if model.languages:
+        rows = _sampled(docs, held_out(F.col("doc_id")), sample).select("lang", "text").mapInArrow(
+            means, "lang string, mean double")
+        for row in rows.groupBy("lang").agg(
+                F.percentile_approx("mean", 0.25).alias("quartile")).collect():
+            if row.lang in model.languages:
+                found[model.languages.index(row.lang)] = row.quartile - slack
+    return found
+
+
+def identify(docs: DataFrame, model: Model, names: tuple[str, str] = ("lang_pred", "score"),
+             least: np.ndarray | None = None) -> DataFrame:
     """The rows of `docs` with language and score (0 to 1) added under `names`; columns so named
     are replaced. Only the text is looked at; null text and text without a letter are
-    UNDETERMINED. Ties go to the first language in order. An empty table stays empty."""
+    UNDETERMINED, and with `least` text below its language's floor too. Ties go to the first language in order. An empty table stays empty."""
     own = docs.drop(*names)
     schema = T.StructType([*own.schema.fields, T.StructField(names[0], T.StringType()),
                            T.StructField(names[1], T.DoubleType())])
@@ -302,7 +353,7 @@ def identify(docs: DataFrame, model: Model, names: tuple[str, str] = ("lang_pred
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in text_slices(batches, "text", SLICE):
-            found, scores = predictions(sent.value, piece.column("text"))
+            found, scores = predictions(sent.value, piece.column("text"), least)
             yield pa.RecordBatch.from_arrays(
                 [*piece.columns, pa.array(found, pa.string()), pa.array(scores)],
                 [*piece.schema.names, *names])
@@ -317,10 +368,15 @@ def held_out_predictions(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataF
     return identify(rows, model).select("doc_id", "held_out", "lang_pred", "score")
 
 
-def with_language(docs: DataFrame, least_score: float = 0.0,
-                  vocabulary: str = VOCABULARY) -> DataFrame:
-    """The documents whose language is determined, with all their columns."""
+def with_language(docs: DataFrame, slack: float = SLACK, vocabulary: str = VOCABULARY) -> DataFrame:
+    """The documents in one of the languages of the table, with all their columns.
+
+    Null text, text without a letter and text that is improbable under every language (see `floors`)
+    go; with a table that teaches no language, all go. Rows are judged by their text alone, so repeated ones stay or go
+    together, and a null lang or doc_id only keeps a row from teaching. Other columns are left alone,
+    whatever their names. An empty table stays empty.
+    """
     names = fresh(docs, "lang_pred"), fresh(docs, "score")
-    found = identify(docs, fit(docs, vocabulary), names)
-    kept = found.filter((found[names[0]] != UNDETERMINED) & (found[names[1]] >= least_score))
-    return kept.drop(*names)
+    model = fit(docs, vocabulary)
+    found = identify(docs, model, names, floors(docs, model, slack))
+    return found.filter(found[names[0]] != UNDETERMINED).drop(*names)

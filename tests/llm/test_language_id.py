@@ -92,7 +92,9 @@ def test_odd_rows(docs_of):
     assert named[23][0] == "en" and named[None][0] == "de"
     assert sorted(r.lang_pred for r in got if r.doc_id == 26) == ["de", "en"]
     kept = li.with_language(docs)
-    assert kept.columns == docs.columns and kept.count() == len(rows) - 3
+    gone = {r[0] for r in rows} - {r.doc_id for r in kept.collect()}
+    assert kept.columns == docs.columns and gone == {20, 21, 22, 25}  # 25: pieces of no language here
+    assert kept.count() == len(rows) - 4
     assert kept.filter("score <> 'q'").count() == 0  # a column of the same name is left alone
 
 
@@ -106,3 +108,23 @@ def test_model_of_nothing():
     names, scores = li.predictions(li.Model([], li.Pieces.of(["a"]), np.zeros((2, 0))),
                                    pa.array(["a", None]))
     assert names == ["und", "und"] and scores.tolist() == [0, 0]
+
+
+def test_foreign_and_garbled_texts_go(spark, small, docs_of):
+    docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text", "source", "lang")
+    odd = [(900_001, "Съешь ещё этих мягких французских булок да выпей чаю"),
+           (900_002, "zxqj kkvq wrtp lmnb qqzx vvkp"), (900_003, "これは日本語の文章です。今日は天気がいい"),
+           (900_004, "Bu bir Türkçe cümledir ve başka bir dilde yazılmıştır")]
+    both = docs.unionByName(docs_of(odd).select(docs.columns))
+    kept = {r.doc_id for r in li.with_language(both).select("doc_id").collect()}
+    assert kept == {r.doc_id for r in docs.collect()}
+
+
+def test_floors_lie_below_held_out_documents(docs_of):
+    rows = [(i, f"the cat and the dog {i}", "s", "en") for i in range(60)]
+    model = li.fit(docs_of([*rows, *[(i, "der Hund", "s", "de") for i in (61, 62)]]))
+    low = dict(zip(model.languages, li.floors(docs_of(rows), model), strict=True))
+    out = pa.array([t for i, t, *_ in rows if zlib.crc32(str(i).encode()) % 5 == 0])
+    means = sorted(li.text_scores(model, out)[1].max(axis=1))
+    assert means[0] - li.SLACK <= low["en"] <= means[len(means) // 2] - li.SLACK
+    assert low["de"] == -1e9
