@@ -247,7 +247,8 @@ def _sampled(docs: DataFrame, mine: Column, sample: int) -> DataFrame:
     share = F.least(F.lit(1.0), F.lit(4.0 * sample) / F.count(F.lit(1)))
     cuts = rows.groupBy("lang").agg(
         F.greatest(F.min("hash").cast("double"), low + width * share).alias("cut"))
-    few = rows.select("lang", "hash").join(cuts, "lang").filter(
+    # A row for each language; by shuffle, all rows of one would meet in a task.
+    few = rows.select("lang", "hash").join(F.broadcast(cuts), "lang").filter(
         F.col("hash").cast("double") <= F.col("cut")).select("lang", "hash").distinct()
     order = Window.partitionBy("lang").orderBy("hash")
     bounds = few.withColumn("rank", F.row_number().over(order)).filter(
