@@ -1,11 +1,14 @@
-"""Exact deduplication by hash and text, beside an extendible-hash directory over the hashes.
-
-Equal texts are combined where they are read, so a group of copies reaches its group as a row for each
-task that read some, however many copies there are; only texts whose hash occurs twice are moved at all. Texts of
-one hash are compared as a whole, by a grouping on the text itself, and chained in order. The directory, two to
-the power of its depth entries by the first bits of a text's hash, is built round by round: a bucket over capacity
-is split by its next bit. Of it only the greatest depth is used, to deal out chains by key range; no key is looked
-up through it.
+"""Exact deduplication by an extendible-hash index on shared files.
+
+The directory has an entry for each bucket: the first bits that the hashes in it have in common, and how many
+these are, its depth. It is built round by round: a bucket over capacity is split by its next bit, so buckets
+differ in depth. `locate` finds a hash's bucket through the directory, by the bucket's own depth. Every hash
+is filed in its bucket; the files lie in the shared folder, each with the buckets of one owner's key range.
+
+Hashes that several rows have are read from these files, with their buckets, and only texts of such hashes are moved.
+Equal texts are combined where they are read, so a group of copies reaches its owner as a row for each task that read
+some, however many copies there are. The grouping key is the text itself, so bytes are compared, not hashes;
+the owner of a bucket's range then chains the different texts of one hash in order.
 """
 
 from __future__ import annotations
@@ -15,28 +18,28 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import ascii_lower, fresh, if_small, save
+from .shared import ascii_lower, discard, fresh, if_small, save
 
 CAPACITY = 4096
 
 
 @dataclass
 class Index:
-    """`directory` (bucket, depth): the buckets by their first key bits; `keys` (hash, records,
-    top): every hash; `chains` (bucket, hash, chain, text, top, size): each different text of a hash
-    that several rows have."""
+    """`directory` (bucket, depth): the buckets by their first key bits; `keys` (bucket, depth, hash, records,
+    top): every hash in the files of its bucket; `chains` (bucket, hash, chain, text, top, size): each
+    different text of a hash that several rows have."""
 
     directory: DataFrame
     keys: DataFrame
     chains: DataFrame
 
 
-def _prefix(depth: int | Column) -> Column:
+def _prefix(depth: int | Column, of: str = "hash") -> Column:
     depth = F.lit(depth) if isinstance(depth, int) else depth
     # The first `depth` bits of the key, the rest 0.
     mask = F.when(depth == 0, F.lit(0)).otherwise(
         F.call_function("shiftleft", F.lit(-1).cast("bigint"), (F.lit(64) - depth).cast("int")))
-    return F.col("hash").bitwiseAND(mask.cast("bigint"))
+    return F.col(of).bitwiseAND(mask.cast("bigint"))
 
 
 def directory(keys: DataFrame, capacity: int = CAPACITY) -> DataFrame:
@@ -63,6 +66,19 @@ def directory(keys: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         depth += 1
 
 
+def locate(keys: DataFrame, buckets: DataFrame) -> DataFrame:
+    """`keys` (hash, ...) with `bucket` and `depth`, looked up in the directory `buckets`.
+
+    A hash is first taken to the entries that begin with as many bits as the shallowest bucket has, few as
+    each is a bucket or stems from one that was split; among these the one bucket whose own depth's bits are the
+    hash's is found. Every hash has exactly one, as buckets share out all hashes that they were built over; a
+    hash whose bits no bucket has is left out. An empty directory finds nothing."""
+    least, entries = buckets.agg(F.coalesce(F.min("depth"), F.lit(0)), F.count(F.lit(1))).first()
+    entry = buckets.withColumn("_root", _prefix(least, "bucket"))
+    return keys.join(if_small(entry, entries, 24), (_prefix(least) == F.col("_root"))
+                     & (_prefix(F.col("depth")) == F.col("bucket"))).drop("_root")
+
+
 def hashed(docs: DataFrame, hash_bits: int = 64) -> DataFrame:
     """doc_id, the normalised text, its hash (the first `hash_bits` of it) and its length."""
     text = ascii_lower(F.col("text"))
@@ -81,17 +97,19 @@ def build_index(docs: DataFrame, records: DataFrame, capacity: int = CAPACITY,
     keys = save(records.groupBy("hash").agg(
         F.count(F.lit(1)).alias("records"), F.max("doc_id").alias("top")), "exact-keys")
     buckets = directory(keys, capacity)
-    shared = save(keys.filter("records > 1").select("hash"), "exact-shared")
-    texts = hashed(docs, hash_bits).join(if_small(shared), "hash", "left_semi")
+    # Range partitioning gives each owner whole buckets, in order of their key ranges.
+    filed = save(locate(keys, buckets).repartitionByRange("bucket").sortWithinPartitions(
+        "bucket", "hash"), "exact-buckets")
+    discard(keys)
+    shared = save(filed.filter("records > 1").select("hash", "bucket"), "exact-shared")
+    texts = hashed(docs, hash_bits).join(if_small(shared), "hash")
     # The group's key is the text: its bytes are compared, first where rows are read.
-    combined = texts.groupBy("hash", "text").agg(
+    combined = texts.groupBy("bucket", "hash", "text").agg(
         F.max("doc_id").alias("top"), F.count(F.lit(1)).alias("size"))
-    # Range partitioning gives each owner whole hashes, in order of the buckets' key ranges.
-    deepest = buckets.agg(F.coalesce(F.max("depth"), F.lit(0))).first()[0]
-    owned = combined.withColumn("bucket", _prefix(deepest)).repartitionByRange("bucket", "hash")
+    owned = combined.repartitionByRange("bucket", "hash")
     link = F.row_number().over(Window.partitionBy("bucket", "hash").orderBy("text")) - 1
     chains = owned.select("bucket", "hash", link.alias("chain"), "text", "top", "size")
-    return Index(buckets, keys, save(chains, "exact-chains"))
+    return Index(buckets, filed, save(chains, "exact-chains"))
 
 
 def exact_groups(docs: DataFrame, capacity: int = CAPACITY, hash_bits: int = 64) -> DataFrame:

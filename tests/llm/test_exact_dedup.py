@@ -45,6 +45,41 @@ def test_buckets_split_until_they_fit(spark, docs_of):
     assert [r.bucket for r in exact_dedup.directory(crowd, 2).collect()] == [0]
 
 
+def test_every_hash_is_found_through_the_directory(spark):
+    """Whatever the depth of its bucket, which is the only one with the hash's first bits."""
+    keys = spark.range(3000).selectExpr("xxhash64(id) as hash", "id").union(
+        spark.range(40).selectExpr("-2L - shiftleft(id, 48) as hash", "id")).union(  # alike at first
+        spark.range(40).selectExpr("shiftleft(id, 48) as hash", "id"))
+    buckets = exact_dedup.directory(keys, 20)
+    entries = [tuple(r) for r in buckets.collect()]
+    assert max(d for _, d in entries) > min(d for _, d in entries) + 2
+
+    def first(value, depth):
+        return (value & (2**64 - 1)) >> (64 - depth)
+
+    found = exact_dedup.locate(keys, buckets).collect()
+    assert sorted((r.hash, r.id) for r in found) == sorted(map(tuple, keys.collect()))
+    for r in found:
+        assert [(b, d) for b, d in entries if first(b, d) == first(r.hash, d)] == [
+            (r.bucket, r.depth)]
+
+
+def test_hashes_are_filed_by_bucket(spark, docs_of):
+    """Hashes that occur once too, each bucket in one file, and files in ranges of buckets."""
+    docs = docs_of([(i, f"text {i % 300}") for i in range(400)])
+    records = exact_dedup.hashed(docs).selectExpr("doc_id", "hash", "sha2(text, 256) as text_sha256")
+    index = exact_dedup.build_index(docs, records, capacity=8)
+    rows = index.keys.selectExpr("*", "input_file_name() as file").collect()
+    assert len(rows) == 300 and sum(r.records for r in rows) == 400
+    files = {}
+    for r in rows:
+        files.setdefault(r.file, []).append(r.bucket)
+    ranges = sorted((min(b), max(b)) for b in files.values())
+    assert all(a[1] < b[0] for a, b in zip(ranges[:-1], ranges[1:], strict=True))
+    held = {(r.hash, r.bucket) for r in rows if r.records > 1}
+    assert {(r.hash, r.bucket) for r in index.chains.collect()} == held and len(held) == 100
+
+
 def test_kept_documents_keep_columns(docs_of):
     docs = docs_of(ROWS)
     kept = exact_dedup.keep_one(docs)
