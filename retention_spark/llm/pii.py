@@ -16,21 +16,23 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import text_slices
+from .shared import discard, save, text_slices
 
 KINDS = ("email", "ip", "card", "phone")
 #: Rows with rule spans that the weights are fitted on, and characters of a row's stretch.
 SAMPLE_ROWS, STRETCH = 600, 120
 #: Longest candidate entity in characters.
-LONGEST = 64
+LONGEST = 128
 EPOCHS, RATE, DECAY = 30, 0.5, 1e-3
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -89,16 +91,19 @@ def base_spans(text: str) -> list[Span]:
     return found
 
 
-# Candidate spans: anything a little like an entity. `[at]` and `(dot)` stand for masked marks.
-_AT = r"(?:@|\s?[\[({]\s?at\s?[\])}]\s?)"
-_DOT = r"(?:\.|\s?[\[({]\s?dot\s?[\])}]\s?)"
-_CANDIDATES = (
-    ("email", re.compile(rf"(?i:[a-z0-9][a-z0-9._%+-]{{0,31}}{_AT}[a-z0-9-]{{1,20}}(?:{_DOT}[a-z0-9-]{{2,16}}){{1,3}})")),
-    ("ip", re.compile(rf"(?<![0-9.])[0-9]{{1,3}}(?:{_DOT}[0-9]{{1,3}}){{3}}(?![0-9.])")),
-    ("card", re.compile(r"(?<![0-9])[0-9]{3,6}(?:[ ._/-]{0,2}[0-9]{2,7}){2,5}(?![0-9])")),
-    ("card", re.compile(r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3})(?![0-9])")),
-    ("phone", re.compile(r"(?<![0-9])(?:\+|00)?[0-9]{0,3}[ .-]?\(?[0-9]{2,4}\)?(?:[ ./-]{1,2}[0-9]{2,4}){2,3}(?![0-9])")),
-)
+# Candidate spans: `[at]` and `(dot)` stand for masked marks.
+_AT = r"(?:@|\s?[\[({]\s?(?i:at)\s?[\])}]\s?)"
+_DOT = r"\s?[\[({]\s?(?i:dot)\s?[\])}]\s?"
+_AT_MARK = re.compile(_AT)
+# Where an address may reach to both sides, and its parts: words, dots, marks.
+_ADDRESS = re.compile(rf"(?:{_AT}|{_DOT}|[A-Za-z0-9._%+-])++")
+_PART = re.compile(rf"(?P<at>{_AT})|(?P<dot>{_DOT}|\.)|(?P<word>[A-Za-z0-9]+)|[_%+-]")
+# Numbers with what may stand between them, and what may stand before the first.
+_NUMBERS = re.compile(rf"[0-9]++(?:(?:{_DOT}|[ ._/()-]{{1,3}}+)[0-9]++)*+")
+_NUMBER = re.compile(r"[0-9]+")
+_LEAD = re.compile(r"(?:\+|\(|\+\(|\+ )\Z")
+#: Numbers of an entity at most, and of a host's address; digits of a card and of a phone number, at least and at most.
+MOST_NUMBERS, PARTS, CARD_DIGITS, PHONE_DIGITS = 8, 4, (13, 19), (7, 15)
 _TRIGGER = re.compile(r"[0-9@]|[\[({]\s?(?i:at|dot)\s?[\])}]")
 _CUES = {
     "email": ("mail", "contact", "write"), "ip": ("ip", "host", "server", "addr"),
@@ -107,45 +112,103 @@ _CUES = {
 FEATURES = (
     "bias", "digits_10", "digits_11_15", "digits_16_19", "digits_other", "luhn", "parts_255",
     "plus", "brackets", "grouped", "masked", "has_at", "dotted", "cue", "letter_beside",
-    "digit_beside", "known_ending",
+    "digit_beside", "known_ending", "bound_before", "bound_after", "number_before", "number_after",
 )
+_SEPARATED = re.compile(r"[0-9][ ./_-]+[0-9]")
+_MASK = re.compile(r"(?i)[\[({]\s?(at|dot)")
+_ENDING = re.compile(r"(?i)[.\])}\s](com|org|net|de|fr|es|edu|gov|io)$")
+_APART = re.compile(r"[^0-9]+")
+# A word or number that goes on beyond a mark beside the span, or beyond spaces.
+_BOUND_BEFORE = re.compile(rf"[A-Za-z0-9](?:[._%+/@-]|{_AT}|{_DOT})\Z")
+_BOUND_AFTER = re.compile(rf"(?:[._%+/@-]|{_AT}|{_DOT})[A-Za-z0-9]")
+_NUMBER_BEFORE, _NUMBER_AFTER = re.compile(r"[0-9)][ ()]{1,3}\Z"), re.compile(r"[ ()]{1,3}[0-9]")
 
 
 def features(text: str, kind: str, begin: int, end: int) -> np.ndarray:
-    """What a whole span looks like, as numbers in the order of FEATURES."""
-    span = text[begin:end]
+    """What a whole span and what stands beside it look like, as numbers in the order of FEATURES."""
+    return _look(kind, text[max(0, begin - 16) : begin], text[begin:end], text[end : end + 10])
+
+
+@lru_cache(1 << 14)  # long tables of numbers repeat themselves
+def _look(kind: str, before: str, span: str, after: str) -> np.ndarray:
     digits = "".join(_DIGITS.findall(span))
     n = len(digits)
-    numbers = re.split(r"[^0-9]+", span)
-    before = text[max(0, begin - 16) : begin].lower()
+    numbers = _APART.split(span)
+    cues = before.lower()
     return np.array([
         1, n == 10, 11 <= n <= 15, 16 <= n <= 19, not 10 <= n <= 19, 13 <= n <= 19 and luhn(digits),
-        len(numbers) == 4 and all(x and int(x) <= 255 for x in numbers), "+" in span or span.startswith("00"),
-        "(" in span and any(c.isdigit() for c in span), bool(re.search(r"[0-9][ ./_-]+[0-9]", span)),
-        bool(re.search(r"(?i)[\[({]\s?(at|dot)", span)), "@" in span, span.count(".") >= 2,
-        any(cue in before for cue in _CUES[kind]),
-        (begin > 0 and text[begin - 1].isalpha()) or text[end : end + 1].isalpha(),
-        (begin > 0 and text[begin - 1].isdigit()) or text[end : end + 1].isdigit(),
-        bool(re.search(r"(?i)[.\])}\s](com|org|net|de|fr|es|edu|gov|io)$", span)),
+        len(numbers) == 4 and all(x and _byte(x) for x in numbers), "+" in span or span.startswith("00"),
+        "(" in span and any(c.isdigit() for c in span), bool(_SEPARATED.search(span)),
+        bool(_MASK.search(span)), "@" in span, span.count(".") >= 2,
+        any(cue in cues for cue in _CUES[kind]),
+        before[-1:].isalpha() or after[:1].isalpha(),
+        before[-1:].isdigit() or after[:1].isdigit(),
+        bool(_ENDING.search(span)), bool(_BOUND_BEFORE.search(before)),
+        bool(_BOUND_AFTER.match(after)), bool(_NUMBER_BEFORE.search(before)),
+        bool(_NUMBER_AFTER.match(after)),
     ], float)
 
 
-def candidates(text: str) -> list[tuple[int, int, int]]:
-    """(begin, end, kind number) of spans of at most LONGEST characters that may be entities. A
-    span holds a trigger, so only the text around triggers is searched."""
-    found, windows = set(), []
-    for hit in _TRIGGER.finditer(text):
-        low, high = hit.start() - LONGEST, hit.end() + LONGEST
-        if windows and low <= windows[-1][1]:
-            windows[-1][1] = high
+def _windows(pattern: re.Pattern, text: str) -> list[tuple[int, int]]:
+    """The text within LONGEST of the pattern's matches; what overlaps is one."""
+    found: list[list[int]] = []
+    for hit in pattern.finditer(text):
+        low, high = max(0, hit.start() - LONGEST), hit.end() + LONGEST
+        if found and low <= found[-1][1]:
+            found[-1][1] = high
         else:
-            windows.append([max(0, low), high])
-    for low, high in windows:
-        for kind, pattern in _CANDIDATES:
-            for m in pattern.finditer(text, low, high):
-                begin = m.end() - len(m[0].lstrip())
-                if m.end() - begin <= LONGEST:
-                    found.add((begin, m.end(), KINDS.index(kind)))
+            found.append([low, high])
+    return [(low, high) for low, high in found]
+
+
+def _addresses(text: str) -> Iterator[tuple[int, int]]:
+    """Spans from word to word with one at mark inside and a dot after it."""
+    for low, high in _windows(_AT_MARK, text):
+        for run in _ADDRESS.finditer(text, low, high):
+            parts = [(m.lastgroup, *m.span()) for m in _PART.finditer(text, *run.span())]
+            marks = [-1, *(i for i, p in enumerate(parts) if p[0] == "at"), len(parts)]
+            for left, mark, right in zip(marks, marks[1:], marks[2:], strict=False):
+                ends, dotted = [], False
+                for kind, _, end in parts[mark + 1 : right]:
+                    dotted = dotted or kind == "dot"
+                    if dotted and kind == "word":
+                        ends.append(end)
+                if ends:
+                    yield from ((b, e) for kind, b, _ in parts[left + 1 : mark] if kind == "word"
+                                for e in ends if e - b <= LONGEST)
+
+
+def _numbers(text: str) -> Iterator[tuple[int, int, str]]:
+    """Spans from number to number, with each kind that their digits allow."""
+    for run in _NUMBERS.finditer(text):
+        parts = [m.span() for m in _NUMBER.finditer(text, *run.span())]
+        lead = _LEAD.search(text[max(0, run.start() - 2) : run.start()])
+        gaps = [text[a[1] : b[0]] for a, b in zip(parts, parts[1:], strict=False)]
+        for i, (begin, _) in enumerate(parts):
+            digits, dots = 0, 0
+            mark = lead[0] if i == 0 and lead else "(" if i and gaps[i - 1].endswith("(") else ""
+            for j in range(i, min(len(parts), i + MOST_NUMBERS)):
+                digits += parts[j][1] - parts[j][0]
+                end = parts[j][1]
+                if digits > CARD_DIGITS[1] or end - begin + len(mark) > LONGEST:
+                    break
+                dots += j > i and ("." in gaps[j - 1] or "dot" in gaps[j - 1].lower())
+                if j - i == PARTS - 1 == dots:
+                    yield begin, end, "ip"
+                if CARD_DIGITS[0] <= digits <= CARD_DIGITS[1]:
+                    yield begin, end, "card"
+                if PHONE_DIGITS[0] <= digits <= PHONE_DIGITS[1]:
+                    yield begin, end, "phone"
+                    if mark:
+                        yield begin - len(mark), end, "phone"
+
+
+def candidates(text: str) -> list[tuple[int, int, int]]:
+    """(begin, end, kind number) of the spans of at most LONGEST characters, and MOST_NUMBERS numbers, that may be entities: all that begin and end
+    with words or numbers and hold what a kind needs, under each kind that they may have. Spans that
+    overlap or hold one another are all filed; the field decides."""
+    found = {(begin, end, KINDS.index("email")) for begin, end in _addresses(text)}
+    found |= {(begin, end, KINDS.index(kind)) for begin, end, kind in _numbers(text)}
     return sorted(found)
 
 
@@ -191,15 +254,17 @@ def _marginals(spans: list[tuple[int, int, int]], scores: np.ndarray) -> np.ndar
     segmentations."""
     points = sorted({p for b, e, _ in spans for p in (b, e)})
     place = {p: i for i, p in enumerate(points)}
-    ahead, behind = np.zeros((2, len(points)))
-    ahead[0] = behind[-1] = 1
-    weight = np.exp(np.clip(scores, -30, 30))
+    ahead, behind = [1.0] * len(points), [1.0] * len(points)
+    weight = np.exp(np.clip(scores, -30, 30)).tolist()
+    ending: list[list] = [[] for _ in points]
+    starting: list[list] = [[] for _ in points]
+    for (b, e, _), w in zip(spans, weight, strict=True):
+        ending[place[e]].append((place[b], w))
+        starting[place[b]].append((place[e], w))
     for i in range(1, len(points)):
-        ahead[i] = ahead[i - 1] + sum(
-            ahead[place[b]] * w for (b, e, _), w in zip(spans, weight, strict=True) if place[e] == i)
+        ahead[i] = ahead[i - 1] + sum(ahead[b] * w for b, w in ending[i])
     for i in range(len(points) - 2, -1, -1):
-        behind[i] = behind[i + 1] + sum(
-            behind[place[e]] * w for (b, e, _), w in zip(spans, weight, strict=True) if place[b] == i)
+        behind[i] = behind[i + 1] + sum(behind[e] * w for e, w in starting[i])
     return np.array([ahead[place[b]] * w * behind[place[e]]
                      for (b, e, _), w in zip(spans, weight, strict=True)]) / ahead[-1]
 
@@ -226,13 +291,26 @@ class Field:
     def spans(self, text: str) -> tuple[list[Span], list[Span]]:
         """The rule spans, and all spans: those and the entities that overlap none of them."""
         base = base_spans(text)
-        taken = sorted((b, e) for _, b, e in base)
+        taken = _united(base)
         added = [s for s in self.entities(text) if not _overlaps(taken, s[1], s[2])]
         return base, sorted(base + added, key=lambda s: (KINDS.index(s[0]), s[1]))
 
 
+def _united(spans: list[Span]) -> list[tuple[int, int]]:
+    """What the spans cover, as stretches apart from one another, in order."""
+    out: list[tuple[int, int]] = []
+    for begin, end in sorted((b, e) for _, b, e in spans):
+        if out and begin <= out[-1][1]:
+            out[-1] = out[-1][0], max(end, out[-1][1])
+        else:
+            out.append((begin, end))
+    return out
+
+
 def _overlaps(taken: list[tuple[int, int]], begin: int, end: int) -> bool:
-    return any(b < end and begin < e for b, e in taken)
+    """Whether a span meets one of the stretches; the last that begins before its end tells."""
+    at = bisect_left(taken, (end, -1)) - 1
+    return at >= 0 and taken[at][1] > begin
 
 
 def _rewritten(text: str, span: Span, turn: random.Random) -> tuple[str, Span]:
@@ -295,30 +373,40 @@ def fit_field(texts: list[str], seed: int = 8) -> Field:
                 for group in _stretches(candidates(sample)):
                     seen = np.array([features(sample, KINDS[k], b, e) for b, e, k in group])
                     gold = np.array([(KINDS[k], b, e) in true for b, e, k in group], float)
-                    groups.append((group, seen, gold))
+                    groups.append((group, np.array([k for _, _, k in group]), seen, gold))
     weights = np.zeros((len(KINDS), len(FEATURES)))
     weights[:, 0] = -2.0
     for epoch in range(EPOCHS):
         slope = np.zeros_like(weights)
-        for group, seen, gold in groups:
-            scores = np.array([weights[k] @ x for (_, _, k), x in zip(group, seen, strict=True)])
-            gap = gold - _marginals(group, scores)
-            for (_, _, k), x, g in zip(group, seen, gap, strict=True):
-                slope[k] += g * x
+        for group, kinds, seen, gold in groups:
+            gap = gold - _marginals(group, (weights[kinds] * seen).sum(axis=1))
+            np.add.at(slope, kinds, gap[:, None] * seen)
         counts = max(1, len(groups)) / len(KINDS)
         weights += RATE * 8 / (1 + epoch / 10) * (slope / counts - DECAY * weights)
     return Field(weights)
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE_ROWS) -> Field:
-    """Fit on stretches of at most `sample` rows that may hold personal data, the first by a hash
-    of doc_id and text. Only the characters around the first possible span of a row are taken."""
+    """Fit on stretches of at most `sample` different rows that may hold personal data, the first by a hash
+    of doc_id and stretch. Only the characters around the first possible span of a row are taken.
+    The driver gets few more rows than that, however many tasks there are: rows above a bound on the hash, set by their
+    number, are left out first."""
     hint = r"[A-Za-z0-9]@[A-Za-z0-9]|\+[0-9]|[0-9]{13}|[0-9]\.[0-9]+\.[0-9]+\.[0-9]"
     place = F.regexp_instr("text", F.lit(hint))
     rows = docs.filter(F.col("text").isNotNull()).select("doc_id", "text", place.alias("place"))
-    rows = rows.filter("place > 0").select("doc_id", F.substring(
+    rows = save(rows.filter("place > 0").select("doc_id", F.substring(
         "text", F.greatest(F.col("place") - STRETCH, F.lit(1)), F.lit(3 * STRETCH)).alias("near"))
-    chosen = rows.orderBy(F.xxhash64("doc_id", "near"), "doc_id", "near").limit(sample).collect()
+        .withColumn("hash", F.xxhash64("doc_id", "near")), "pii-near")
+    total, share = rows.count(), 4 * sample
+    while True:
+        below = rows
+        if share < total:
+            below = rows.filter(F.col("hash") < F.lit(-(2**63) + 2**64 * share // total))
+        chosen = below.distinct().orderBy("hash", "doc_id", "near").limit(sample).collect()
+        if len(chosen) == sample or share >= total:
+            break
+        share *= 4
+    discard(rows)
     return fit_field([r.near for r in chosen])
 
 

@@ -87,6 +87,13 @@ def field():
     ("tel 555-123-4567 ok", "phone", "555-123-4567"),
     ("card 4111.1111.1111.1111 end", "card", "4111.1111.1111.1111"),
     ("7536784127813050 4845168114407329", "card", "7536784127813050"),
+    ("to john [at] internationalconsulting [dot] com ok", "email",
+     "john [at] internationalconsulting [dot] com"),
+    ("to averyveryverylonglocal.partofanaddress4u [at] mail [dot] example [dot] org ok", "email",
+     "averyveryverylonglocal.partofanaddress4u [at] mail [dot] example [dot] org"),
+    ("see first.last (at) some-host.example.com, too", "email",
+     "first.last (at) some-host.example.com"),
+    ("from 10[dot]2[dot]33[dot]4 it", "ip", "10[dot]2[dot]33[dot]4"),
 ])
 def test_field_adds_what_the_rules_miss(field, text, kind, span):
     base, every = field.spans(text)
@@ -101,6 +108,41 @@ def test_field_leaves_other_numbers_alone(field, text):
     assert field.spans(text) == ([], [])
 
 
+def test_candidates_are_all_spans_between_bounds():
+    """As found by trying every pair of places in short texts."""
+    turn = random.Random(4)
+    parts = ["12", "4", "345 ", "555-", "1.2", ".", "(", ")", " ", "+1", "a", "bc", "@", "x.y", "[at]",
+             " [dot] ", "-", ",", "41111111111111"]
+    mark = r"\s?\[at\]\s?|@"
+    dot = r"\s?\[dot\]\s?|\."
+    word = r"[A-Za-z0-9]++"
+    address = re.compile(rf"{word}(?:{dot}|{word}|[_%+-])*(?:{mark})(?:{word}|[_%+-])*(?:{dot})"
+                         rf"(?:{dot}|{word}|[_%+-])*(?<=[A-Za-z0-9])")
+    number = re.compile(r"[0-9]+(?:(?:\s?\[dot\]\s?|[ ._/()-]{1,3})[0-9]+)*")
+    for _ in range(400):
+        text = "".join(turn.choices(parts, k=turn.randint(0, 9)))
+        want = set()
+        for a, b in itertools.combinations(range(len(text) + 1), 2):
+            alnum = [c.isalnum() for c in (text[a - 1 : a] or " ", text[b : b + 1] or " ")]
+            if address.fullmatch(text, a, b) and not any(alnum):
+                want.add((a, b, 0))
+            inside = number.fullmatch(text, a, b)
+            if inside and not text[a - 1 : a].isdigit() and not text[b : b + 1].isdigit():
+                digits = len(re.sub("[^0-9]", "", inside[0]))
+                gaps = re.findall("[^0-9]+", inside[0])
+                if digits > 19 or len(gaps) >= pii.MOST_NUMBERS:
+                    continue
+                if len(gaps) == 3 and all("." in g or "dot" in g for g in gaps):
+                    want.add((a, b, 1))
+                if digits >= 13:
+                    want.add((a, b, 2))
+                if 7 <= digits <= 15:
+                    want.add((a, b, 3))
+        got = {c for c in pii.candidates(text) if text[c[0]] not in "+("}
+        # A word of an address ends where its mark's own letters begin.
+        assert got == {c for c in want if not text[c[0] : c[1]].startswith(("at]", "dot]"))}, text
+
+
 def test_query_on_odd_rows(docs_of):
     rows = [(1, "é a@b.co 😀 +1 (743) 555-3824"), (2, None), (3, ""), (1, "1.2.3.4"),
             (None, "x@y.zz"), (4, "word " * 60_000 + "4111 1111 1111 1111")]
