@@ -135,13 +135,15 @@ def monthly_counts(df: DataFrame, column: str) -> DataFrame:
 
 
 def _months(df: DataFrame, column: str) -> DataFrame:
-    return df.select(F.trunc(column, "MM").alias("month")).filter("month is not null").distinct()
+    """The calendar months of a column, and NULL if it has any. A filter on NULL here would be pushed to the
+    scan, with whatever the column is computed from written out several times over; the callers do without."""
+    return df.select(F.trunc(column, "MM").alias("month")).distinct()
 
 
 def month_gaps(df: DataFrame, column: str) -> DataFrame:
     """Calendar months without any row between the first and the last month."""
     following = F.lead("month").over(Window.orderBy("month"))
-    # Distinct months are as few as the calendar has, so one task may order them.
+    # Distinct months are as few as the calendar has, so one task may order them. A gap after NULL, the first, is NULL.
     return (
         _months(df, column).withColumn("next", following)
         .filter(F.months_between("next", "month") > 1)

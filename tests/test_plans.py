@@ -98,3 +98,10 @@ def test_no_task_ranks_a_whole_label(stored):
 def test_latest_payment_reads_only_up_to_the_cut(stored):
     plan = plan_of(TABLE_QUERIES["a21_renewal_churn"](stored))
     assert f"LessThanOrEqual(transaction_date,{CFG.cut})" in plan
+
+
+@pytest.mark.parametrize("name", ["p8_month_gaps", "p8_month_coverage"])
+def test_months_are_computed_once_a_row(spark, small, name):
+    """No filter repeats what the day is computed from."""
+    filters = [s for s in plan_of(QUERIES[name](spark, small)).splitlines() if re.search(r"\bFilter ", s)]
+    assert not any("trunc" in s or "make_date" in s for s in filters)

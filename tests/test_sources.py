@@ -160,3 +160,13 @@ def test_a_missing_user_stays_null_and_joins_nothing(spark, tmp_path):
         assert sorted(map(str, values(df, "msno"))) == ["None", "a"]
         assert df.join(df.select("msno"), "msno").count() == 1
     assert profile.key_check(again, "msno").first().null_keys == 1
+
+
+def test_days_missing_are_no_month(spark):
+    days = [date(2000, 3, 5), None, date(2000, 6, 1), date(2000, 3, 9), None]
+    df = spark.createDataFrame([(d,) for d in days], "date date")
+    assert sorted(r.month for r in profile.month_gaps(df, "date").collect()) == [date(2000, 4, 1), date(2000, 5, 1)]
+    assert profile.month_coverage(df, "date").collect() == [(date(2000, 3, 1), date(2000, 6, 1), 2, 2)]
+    none = df.filter("date is null")
+    assert profile.month_gaps(none, "date").collect() == []
+    assert profile.month_coverage(none, "date").collect() == [(None, None, 0, None)]
