@@ -19,7 +19,7 @@ from .operators.fingerprint import compared, fingerprint
 from .operators.iceberg import frequent_groups
 from .operators.single_pass import Profile, profiled
 from .plans import coverage, features, kpi, renewal, report, scenario, usage
-from .plans.population import population_checks
+from .plans.population import COMPARED, population_checks, stored
 from .plans.prepare import MonthlyTables, exposed_cohort, latest_payments, prepare, user_usage
 from .session import scratch_path
 from .sources import landing
@@ -209,9 +209,13 @@ def _split_values(table: str) -> Query:
 
 
 def _population(spark: SparkSession, folder: str) -> DataFrame:
-    t = prepare(spark, _tables(spark, folder), CFG)
+    path, derived = scratch_path(spark, "populations"), _tables(spark, folder)
+    kept = stored({name: getattr(derived, name) for name in ("train", "members")}, path)
+    t = prepare(spark, io.Tables(lambda name: kept[name] if name in kept else getattr(derived, name)), CFG)
     results = report.audits(t, CFG) | report.analyses(t, CFG)
-    return population_checks(results, features.user_features(t, CFG))
+    kept = stored({name: results[name] for name in COMPARED} | {"features": features.user_features(t, CFG)},
+                  f"{path}/results")
+    return population_checks(kept, kept["features"])
 
 
 def _stored_usage(spark: SparkSession, folder: str) -> DataFrame:

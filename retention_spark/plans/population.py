@@ -9,6 +9,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 EQUAL, AT_LEAST = "=", ">="
+#: The results that the rules compare.
+COMPARED = ("member_coverage", "coverage_status", "analysable_status", "rate_sanity", "active_rate_by_label",
+            "engagement_tiers", "renewal_churn", "plan_type_churn", "silent_renewal_churn",
+            "listener_renewal_churn", "plan_length_all_txn", "non_monthly_auto_total")
 
 
 def _total(df: DataFrame, column: str = "users", where: Column | None = None) -> DataFrame:
@@ -20,7 +24,8 @@ def population_checks(results: Mapping[str, DataFrame], features: DataFrame) ->
     """One row per rule: rule, left_users, relation, right_users, holds.
 
     `results` are results of `report.audits` and `report.analyses` by name, each a few rows; `features` is the
-    feature table.
+    feature table. Both are best stored (see `stored`): a result in several rules is computed for each, and all
+    of their broadcasts are held by the driver at once.
     """
     status = results["coverage_status"]
     analysable = results["analysable_status"]
@@ -66,6 +71,13 @@ def population_checks(results: Mapping[str, DataFrame], features: DataFrame) ->
     return sums.withColumn("holds", holds)
 
 
+def stored(results: Mapping[str, DataFrame], path: str) -> dict[str, DataFrame]:
+    """The results written below `path` one after the other, so the driver holds the plan and broadcasts of one."""
+    for name, df in results.items():
+        df.write.mode("errorifexists").parquet(f"{path}/{name}")
+    return {name: df.sparkSession.read.schema(df.schema).parquet(f"{path}/{name}") for name, df in results.items()}
+
+
 def require_populations(checks: DataFrame) -> None:
     """Raises with the figures when a rule doesn't hold."""
     wrong = checks.filter("not holds").orderBy("rule").collect()

@@ -105,3 +105,8 @@ def test_months_are_computed_once_a_row(spark, small, name):
     """No filter repeats what the day is computed from."""
     filters = [s for s in plan_of(QUERIES[name](spark, small)).splitlines() if re.search(r"\bFilter ", s)]
     assert not any("trunc" in s or "make_date" in s for s in filters)
+
+
+def test_population_checks_read_stored_results(spark, small):
+    """What the driver plans at once is sums of stored rows, with no join and so no broadcast of users."""
+    assert "Join" not in plan_of(QUERIES["q_population_checks"](spark, small))
