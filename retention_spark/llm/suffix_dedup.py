@@ -7,12 +7,12 @@ about one for 15 bytes of text. Suffixes never have to be moved one by one:
 
 1. anchors are counted; those in one document only can't be part of a repeat and go no further;
 2. equal stretches of the others are combined, with the smallest doc_id that has them. A stretch
-   whose anchor has no other stretch is settled by that;
+   whose anchor has no other stretch goes on without a shuffle;
 3. the different stretches of an anchor meet in a task. Their suffixes, sorted, with the lengths of
-   common prefixes of neighbours (an enhanced suffix array), are scanned with a stack, which
-   yields the tree of common-prefix intervals. An interval of at least LENGTH bytes is a group of repeats with
-   all its occurrences; it is maximal if the bytes before them differ. The outermost such
-   interval around a suffix holds every place of its first LENGTH bytes, and so the first document;
+   common prefixes of neighbours (an enhanced suffix array), give the tree of common-prefix
+   intervals. An interval of at least LENGTH bytes is a group of repeats with all its occurrences; it is
+   maximal if the bytes before them differ. The least document of a group is brought up the tree to
+   the outermost interval, which holds every place of its first LENGTH bytes, and down to its suffixes;
 4. each document learns which of its stretches have strings that stand in an earlier one.
 
 `maximal_repeats` gives the groups as such: whole maximal repeats of any length, with every document and
@@ -223,6 +223,45 @@ def outermost(common: np.ndarray, least: int = LENGTH) -> np.ndarray:
     return np.column_stack((np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)))
 
 
+def interval_tree(common: np.ndarray, least: int = LENGTH) -> tuple[np.ndarray, ...]:
+    """The tree of all common-prefix intervals of a suffix array: (prefix length, first, last, parent or
+    -1) of each, outer ones first; and the innermost one around each suffix, or -1. It is built level by
+    level, of which stretches have few."""
+    inner, nodes, size = np.full(len(common), -1), [np.zeros((0, 4), np.int64)], 0
+    padded = np.append(common, 0)
+    for depth in np.unique(common[common >= least]).tolist():
+        runs = outermost(common, depth)
+        own = np.minimum.reduceat(padded, (runs + 1).ravel())[::2] == depth  # others lie deeper only
+        low, high = runs[own].T
+        nodes.append(np.column_stack((np.full(len(low), depth), low, high, inner[low])))
+        wide = high - low + 1
+        at = np.arange(wide.sum()) + np.repeat(low - (np.cumsum(wide) - wide), wide)
+        inner[at] = np.repeat(np.arange(size, size + len(low)), wide)
+        size += len(low)
+    return (*np.concatenate(nodes).T, inner)
+
+
+def first_owners(tree: tuple[np.ndarray, ...], owner: np.ndarray) -> np.ndarray:
+    """For each suffix the least owner under the outermost interval around it, or its own: owners are
+    brought up the tree from suffix to interval to parent, and down again."""
+    depth, _, _, parent, inner = tree
+    inside, found = inner >= 0, owner.copy()
+    if not len(depth):
+        return found
+    least = np.full(len(depth), np.iinfo(np.int64).max)
+    np.minimum.at(least, inner[inside], owner[inside])
+    levels = np.flatnonzero(np.diff(depth, prepend=-1, append=-1))
+    spans = [slice(a, b) for a, b in zip(levels[:-1].tolist(), levels[1:].tolist(), strict=True)]
+    for level in reversed(spans):
+        below = parent[level] >= 0
+        np.minimum.at(least, parent[level][below], least[level][below])
+    for level in spans:
+        up = parent[level]
+        least[level] = np.where(up >= 0, least[up], least[level])
+    found[inside] = least[inner[inside]]
+    return found
+
+
 def intervals(common: np.ndarray, least: int = LENGTH) -> Iterator[tuple[int, int, int]]:
     """All common-prefix intervals of a suffix array, inner ones first: (prefix length, first,
     last), by a stack over each outermost one."""
@@ -244,15 +283,14 @@ def _settle(rows: list[tuple], with_groups: bool = True) -> Iterator[pa.RecordBa
     anchor, key, texts, owner, last, low, high = zip(*rows, strict=True)
     text, place, _, common = enhanced_suffix_array(list(texts))
     owner, anchor, key = np.array(owner)[text], np.array(anchor), np.array(key)
-    first, groups = owner.copy(), outermost(common)
-    for a, b in groups.tolist():
-        first[a : b + 1] = owner[a : b + 1].min()
+    tree = interval_tree(common)
+    first = first_owners(tree, owner)
     repeats = []
     if with_groups:
         starts = np.concatenate(([0], np.cumsum([len(t) for t in texts])))
         left = np.frombuffer(b"".join(texts), np.uint8)[np.maximum(starts[text] + place - 1, 0)]
         low, high = (np.where(place > 0, left, np.array(x)[text]) for x in (low, high))
-        repeats = [(text[a], place[a], depth, a, b) for depth, a, b in intervals(common)
+        repeats = [(text[a], place[a], depth, a, b) for depth, a, b in np.column_stack(tree[:3]).tolist()
                    if low[a : b + 1].min() != high[a : b + 1].max()]  # left-extension diversity
     if repeats:
         members = [np.arange(a, b + 1) for *_, a, b in repeats]
@@ -413,15 +451,16 @@ def first_documents(stretch: DataFrame, groups: bool = True) -> tuple[DataFrame,
     counted = save(combined.groupBy("anchor").agg(F.count(F.lit(1)).alias("held")).filter(
         "held > 1"), "suffix-groups")
     several = if_small(counted.select("anchor"))
-    strings = (F.octet_length("bytes") - LENGTH + 1).cast("int")
-    alone = combined.filter("first < last").join(several, "anchor", "left_anti").select(
-        "anchor", "key", F.lit(0).alias("at"), strings.alias("until"), "first")
+    settled_columns = "anchor bigint, key bigint, at int, until int, first bigint, repeat binary," \
+        " occurrences array<struct<anchor: bigint, key: bigint, at: int>>"
+    # These need no shuffle: each is all that its anchor has.
+    alone = combined.filter("first < last").join(several, "anchor", "left_anti").mapInArrow(
+        lambda batches: _scan_groups(batches, False), settled_columns).drop("repeat", "occurrences")
     large = counted.filter(F.col("held") > GROUP_LIMIT).select("anchor")
     sorted_here = combined.join(several, "anchor", "left_semi").join(
         if_small(large), "anchor", "left_anti")
     settled = save(sorted_here.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(
-        lambda batches: _scan_groups(batches, groups), "anchor bigint, key bigint, at int, until int, first bigint, repeat binary,"
-        " occurrences array<struct<anchor: bigint, key: bigint, at: int>>"), "suffix-settled")
+        lambda batches: _scan_groups(batches, groups), settled_columns), "suffix-settled")
     places = combined.join(if_small(large), "anchor", "left_semi").mapInArrow(
         _strings, "anchor bigint, key bigint, at int, string binary, first bigint")
     firsts = places.groupBy("string").agg(F.min("first").alias("first"))

@@ -131,3 +131,34 @@ def test_whole_maximal_repeats(docs_of):
 def test_empty_table(docs_of):
     assert s.maximal_repeats(docs_of([])).collect() == []
     assert s.removed_spans(docs_of([])).collect() == []
+
+
+def test_interval_tree():
+    """The stack scan's intervals, each below the smallest one around it, and the least owner of the outermost."""
+    turn = random.Random(5)
+    texts = [bytes(turn.choices(b"ab", k=60)) for _ in range(40)] + [b"a" * 75, b"a" * 64, b"ab" * 35, b"ba" * 33]
+    text, _, _, common = s.enhanced_suffix_array(texts)
+    depth, low, high, parent, inner = tree = s.interval_tree(common, 4)
+    nodes = list(zip(depth.tolist(), low.tolist(), high.tolist(), strict=True))
+    assert len(nodes) > 100 and sorted(nodes) == sorted(s.intervals(common, 4))
+    for i, (d, a, b) in enumerate(nodes):
+        around = [n for n in nodes if n[0] < d and n[1] <= a and b <= n[2]]
+        assert (nodes[parent[i]] if parent[i] >= 0 else None) == max(around, default=None)
+    for at, i in enumerate(inner.tolist()):
+        around = [n for n in nodes if n[1] <= at <= n[2]]
+        assert (nodes[i] if i >= 0 else None) == max(around, default=None)
+    owner = s.np.array([turn.randrange(1000) for _ in texts])[text]
+    want = owner.copy()
+    for a, b in s.outermost(common, 4).tolist():
+        want[a : b + 1] = owner[a : b + 1].min()
+    assert s.first_owners(tree, owner).tolist() == want.tolist()
+    none = s.interval_tree(common, 1000)
+    assert s.first_owners(none, owner).tolist() == owner.tolist()
+
+
+def test_spans_come_from_the_tree(docs_of, monkeypatch):
+    seen = []
+    tree = s.interval_tree
+    monkeypatch.setattr(s, "interval_tree", lambda *a: seen.append(1) or tree(*a))
+    list(s._settle([(1, 2, b"x" * 60, 4, 9, 0, 1), (1, 3, b"x" * 55 + b"y" * 5, 3, 8, 0, 1)], False))
+    assert seen
