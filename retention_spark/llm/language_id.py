@@ -23,12 +23,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import words
-from .shared import fresh, text_slices
+from .shared import discard, fresh, save, text_slices
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
-#: The model is fitted on at most so many documents of each language, and the first so many
-#: characters of a longer one.
-SAMPLE_DOCUMENTS, SAMPLE_CHARS = 400, 50_000
+#: Where a sample of documents is asked for, the first so many characters of a longer one.
+SAMPLE_CHARS = 50_000
+#: Characters of words whose segmentations are held at once when fitting.
+FIT_CHARS = 1 << 18
 ROUNDS = 4
 #: Added to the expected count of every piece.
 PRIOR = 0.01
@@ -176,31 +177,45 @@ def _settle(reach: np.ndarray, at: int, scale: np.ndarray, longest: int) -> None
         scale += np.log(factor)
 
 
+def _spans_of(pieces: Pieces, texts: list[str], counts: np.ndarray) -> Iterator[tuple]:
+    """Words in groups of one length: length, counts, and where which pieces stand."""
+    for group, same in by_length(texts):
+        found = [(b, e, n) for b, e, n in pieces.spans(_codes(same)) if b == e - 1 or (n >= 0).any()]
+        yield len(same[0]), counts[group].astype(float), found
+
+
+def _expected(group: tuple, chance: np.ndarray) -> np.ndarray:
+    """Expected count of every piece, and of characters that none covers, over all segmentations."""
+    (length, weight, found), size = group, len(chance) - 1
+    expected = np.zeros(size + 1)
+    odds = [np.where(n < 0, UNKNOWN if e == b + 1 else 0, chance[n]) for b, e, n in found]
+    ahead, behind = np.zeros((2, length + 1, len(weight)))
+    ahead[0] = behind[length] = 1
+    for (b, e, _), p in zip(found, odds, strict=True):
+        ahead[e] += ahead[b] * p
+    for (b, e, _), p in zip(reversed(found), reversed(odds), strict=True):
+        behind[b] += behind[e] * p
+    total = np.maximum(ahead[length], 1e-300)
+    for (b, e, n), p in zip(found, odds, strict=True):
+        np.add.at(expected, np.where(n < 0, size, n), weight * ahead[b] * p * behind[e] / total)
+    return expected
+
+
+def _uniform(size: int) -> np.ndarray:
+    return np.append(np.full(size, 1 / size), 0)
+
+
+def _normalised(expected: np.ndarray) -> np.ndarray:
+    chance = expected + PRIOR
+    return np.append(chance[:-1] / chance[:-1].sum(), 0)
+
+
 def fit_language(pieces: Pieces, texts: list[str], counts: np.ndarray, size: int,
                  rounds: int = ROUNDS) -> np.ndarray:
     """Piece probabilities of one language from its words and their counts."""
-    groups = []
-    for group, same in by_length(texts):
-        found = [(b, e, n) for b, e, n in pieces.spans(_codes(same)) if b == e - 1 or (n >= 0).any()]
-        groups.append((len(same[0]), counts[group].astype(float), found))
-    chance = np.full(size + 1, 1 / size)
-    chance[-1] = 0
+    groups, chance = list(_spans_of(pieces, texts, counts)), _uniform(size)
     for _ in range(rounds):
-        expected = np.full(size + 1, PRIOR)
-        for length, weight, found in groups:
-            odds = [np.where(n < 0, UNKNOWN if e == b + 1 else 0, chance[n]) for b, e, n in found]
-            ahead, behind = np.zeros((2, length + 1, len(weight)))
-            ahead[0] = behind[length] = 1
-            for (b, e, _), p in zip(found, odds, strict=True):
-                ahead[e] += ahead[b] * p
-            for (b, e, _), p in zip(reversed(found), reversed(odds), strict=True):
-                behind[b] += behind[e] * p
-            total = np.maximum(ahead[length], 1e-300)
-            for (b, e, n), p in zip(found, odds, strict=True):
-                expected += np.bincount(np.where(n < 0, size, n), minlength=size + 1,
-                                        weights=weight * ahead[b] * p * behind[e] / total)
-        chance = expected / expected[:-1].sum()
-        chance[-1] = 0
+        chance = _normalised(sum((_expected(g, chance) for g in groups), np.zeros(size + 1)))
     return chance
 
 
@@ -259,28 +274,76 @@ def _sampled(docs: DataFrame, mine: Column, sample: int) -> DataFrame:
         ["lang", "hash"])
 
 
-def fit(docs: DataFrame, vocabulary: str = VOCABULARY, sample: int = SAMPLE_DOCUMENTS) -> Model:
-    """Fit on at most `sample` documents of each language, and at most SAMPLE_CHARS characters of
-    each: of those with text, lang and doc_id that aren't held out, the first by a hash of doc_id
-    and text. Every language is learned that has such rows with words among the first. Equal rows count as one."""
-    taken = _sampled(docs, ~held_out(F.col("doc_id")), sample)
-    counted = taken.select("text", "lang").mapInArrow(
+def _teaching(docs: DataFrame, mine: Column, sample: int | None) -> DataFrame:
+    """(lang, text) of the rows with text, lang and doc_id that are `mine`; or a sample of them."""
+    if sample is not None:
+        return _sampled(docs, mine, sample).select("lang", "text")
+    return docs.filter(F.col("text").isNotNull() & F.col("lang").isNotNull()
+                       & F.col("doc_id").isNotNull() & mine).select("lang", "text")
+
+
+def _stretches(marked: list[str], counts: list[int]) -> Iterator[tuple[list[str], np.ndarray]]:
+    """Words, longer ones in stretches of LONG characters, and their counts, about FIT_CHARS characters at once."""
+    held, times, chars = [], [], 0
+    for word, n in zip(marked, counts, strict=True):
+        for i in range(0, len(word), LONG):
+            held.append(word[i : i + LONG])
+            times.append(n)
+            chars += len(held[-1])
+            if chars >= FIT_CHARS:
+                yield held, np.array(times)
+                held, times, chars = [], [], 0
+    if held:
+        yield held, np.array(times)
+
+
+def fit(docs: DataFrame, vocabulary: str = VOCABULARY, sample: int | None = None) -> Model:
+    """Fit on all documents with text, lang and doc_id that aren't held out, each row of them, whole; every
+    language among them that has words is learned. Words are counted once; each round's expected counts of
+    pieces are added up where the words lie, and only a row per language and piece is collected.
+
+    With `sample`, fit on at most so many documents of each language, the first by a hash of doc_id and text, equal
+    rows as one, and at most SAMPLE_CHARS characters of each."""
+    taken = _teaching(docs, ~held_out(F.col("doc_id")), sample)
+    counted = save(taken.select("text", "lang").mapInArrow(
         _count_words, "lang string, word binary, n bigint").groupBy("lang", "word").agg(
-        F.sum("n").alias("n")).toArrow()
+        F.sum("n").alias("n")), "language-words")
     names = vocabulary_pieces(vocabulary)
     pieces = Pieces.of(names)
-    languages = sorted(set(counted.column("lang").to_pylist()))
-    chances = np.zeros((len(names) + 1, len(languages)))
-    for k, lang in enumerate(languages):
-        own = counted.filter(pc.equal(counted.column("lang"), lang)).sort_by("word")
-        marked = _marked(own.column("word").combine_chunks())
-        parts = [(w[i : i + LONG], n) for w, n in zip(marked, own.column("n").to_pylist(), strict=True)
-                 for i in range(0, len(w), LONG)]
-        chances[:, k] = fit_language(pieces, [w for w, _ in parts],
-                                     np.array([n for _, n in parts]), len(names))
+    languages = sorted(r.lang for r in counted.select("lang").distinct().collect())
+    chances = np.repeat(_uniform(len(names))[:, None], len(languages), axis=1)
+    for _ in range(ROUNDS if languages else 0):
+        expected = _expected_counts(counted, languages, pieces, chances)
+        chances = np.column_stack([_normalised(of) for of in expected])
+    discard(counted)
     return Model(languages, pieces, chances)
 
 
+def _expected_counts(counted: DataFrame, languages: list[str], pieces: Pieces, chances: np.ndarray) -> np.ndarray:
+    """Expected counts of pieces, a row for each language, over all words of `counted`."""
+    spark, size = counted.sparkSession, len(chances) - 1
+    sent = spark.sparkContext.broadcast((languages, pieces, chances))
+
+    def expect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        languages, pieces, chances = sent.value
+        found = np.zeros((len(languages), size + 1))
+        for batch in batches:
+            for k, lang in enumerate(languages):
+                own = batch.filter(pc.equal(batch.column("lang"), lang))
+                for words_, counts in _stretches(_marked(own.column("word")), own.column("n").to_pylist()):
+                    for group in _spans_of(pieces, words_, counts):
+                        found[k] += _expected(group, chances[:, k])
+        k, piece = np.nonzero(found)
+        yield pa.RecordBatch.from_pydict({"k": k, "piece": piece, "expected": found[k, piece]})
+
+    rows = counted.mapInArrow(expect, "k bigint, piece bigint, expected double").groupBy("k", "piece").agg(
+        F.sum("expected").alias("expected")).toArrow()
+    out = np.zeros((len(languages), size + 1))
+    out[rows.column("k").to_numpy(), rows.column("piece").to_numpy()] = rows.column("expected").to_numpy()
+    sent.unpersist()
+    return out
+
+
 def text_scores(model: Model, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Log probability of each text under each language; and a mean of it per character (a mark for
     each word among them), over words with letters and without digits, 0 where there are none."""
@@ -292,8 +355,11 @@ def text_scores(model: Model, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     low, high = found.first[:-1], found.first[1:]
 
     def per_text(values: np.ndarray) -> np.ndarray:
-        sums = np.concatenate((np.zeros((1, values.shape[1])), np.cumsum(values[found.ids], axis=0)))
-        return sums[high] - sums[low]
+        # Each text by itself, so equal texts have equal sums whatever stands beside them.
+        sums, full = np.zeros((len(low), values.shape[1])), np.flatnonzero(high > low)
+        if len(full):
+            sums[full] = np.add.reduceat(values[found.ids], low[full], axis=0)
+        return sums
 
     means = per_text(each * spoken[:, None]) / np.maximum(per_text(size[:, None]), 1)
     return per_text(each), means
@@ -318,10 +384,10 @@ def predictions(model: Model, texts: pa.Array, floors: np.ndarray | None = None
 
 
 def floors(docs: DataFrame, model: Model, slack: float = SLACK,
-           sample: int = SAMPLE_DOCUMENTS) -> np.ndarray:
+           sample: int | None = None) -> np.ndarray:
     """Least mean log probability per character of each language of the model: `slack` below the
-    lower quartile of at most `sample` held-out documents of the language; a language without such a document
-    has a floor that nothing is under."""
+    lower quartile of the language's held-out documents (all, or at most `sample`); a language without such a
+    document has a floor that nothing is under."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def means(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -333,7 +399,7 @@ def floors(docs: DataFrame, model: Model, slack: float = SLACK,
 
     found = np.full(len(model.languages), -1e9)
     if model.languages:
-        rows = _sampled(docs, held_out(F.col("doc_id")), sample).select("lang", "text").mapInArrow(
+        rows = _teaching(docs, held_out(F.col("doc_id")), sample).mapInArrow(
             means, "lang string, mean double")
         for row in rows.groupBy("lang").agg(
                 F.percentile_approx("mean", 0.25).alias("quartile")).collect():

@@ -128,3 +128,28 @@ def test_floors_lie_below_held_out_documents(docs_of):
     means = sorted(li.text_scores(model, out)[1].max(axis=1))
     assert means[0] - li.SLACK <= low["en"] <= means[len(means) // 2] - li.SLACK
     assert low["de"] == -1e9
+
+
+def test_every_document_teaches(docs_of, monkeypatch):
+    """Also the last characters of a long row, and a document beyond any sample; adding up over parts is exact."""
+    rows = [(i, f"the cat and the dog {i}", "s", "en") for i in range(500)]
+    rows += [(1001, "the cat " * 10_000 + "zyzzyva " * 500, "s", "en")]
+    model = li.fit(docs_of(rows))
+    taught = [t for i, t, *_ in rows if zlib.crc32(str(i).encode()) % 5]
+    words, counts = np.unique(" ".join(taught).split(), return_counts=True)
+    assert "zyzzyva" in words
+    names = li.vocabulary_pieces()
+    whole = li.fit_language(model.pieces, ["▁" + w for w in words], counts, len(names))
+    assert model.languages == ["en"] and np.allclose(model.chances[:, 0], whole, rtol=1e-6, atol=1e-12)
+    monkeypatch.setattr(li, "FIT_CHARS", 100)
+    assert np.allclose(li.fit(docs_of(rows)).chances[:, 0], whole, rtol=1e-6, atol=1e-12)
+    assert model.languages == ["en"] and len(names) + 1 == len(model.chances)
+
+
+def test_floors_come_from_all_held_out_documents(docs_of):
+    out = [i for i in range(4000) if zlib.crc32(str(i).encode()) % 5 == 0]
+    rows = [(i, "the cat and the dog" if i % 3 else f"zq{i}xv kkw", "s", "en") for i in range(4000)]
+    docs = docs_of(rows)
+    model = li.fit(docs)
+    means = sorted(li.text_scores(model, pa.array([rows[i][1] for i in out]))[1].max(axis=1))
+    assert len(out) > 400 and abs(li.floors(docs, model)[0] + li.SLACK - means[-(-len(means) // 4) - 1]) < 1e-9
