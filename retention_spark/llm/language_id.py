@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import words
-from .shared import discard, fresh, save, text_slices
+from .shared import discard, fresh, if_small, save, text_slices
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 #: Where a sample of documents is asked for, the first so many characters of a longer one.
@@ -275,11 +275,22 @@ def _sampled(docs: DataFrame, mine: Column, sample: int) -> DataFrame:
 
 
 def _teaching(docs: DataFrame, mine: Column, sample: int | None) -> DataFrame:
-    """(lang, text) of the rows with text, lang and doc_id that are `mine`; or a sample of them."""
+    """(lang, text) of the rows with text, lang and doc_id that are `mine`, or of a sample of them; rows that
+    are equal in lang, doc_id and text come once."""
     if sample is not None:
         return _sampled(docs, mine, sample).select("lang", "text")
-    return docs.filter(F.col("text").isNotNull() & F.col("lang").isNotNull()
-                       & F.col("doc_id").isNotNull() & mine).select("lang", "text")
+    rows = docs.filter(F.col("text").isNotNull() & F.col("lang").isNotNull()
+                       & F.col("doc_id").isNotNull() & mine).select(
+        "lang", "text", F.xxhash64("doc_id", "text").alias("hash"))
+    # Only the hashes are shuffled, and the texts of those that come again.
+    again = save(rows.groupBy("lang", "hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"),
+                 "language-again")
+    held = again.count()
+    if held:
+        few = if_small(again, held, 64)
+        rows = rows.join(few, ["lang", "hash"], "left_anti").unionByName(
+            rows.join(few, ["lang", "hash"], "left_semi").dropDuplicates(["lang", "hash"]))
+    return rows.select("lang", "text")
 
 
 def _stretches(marked: list[str], counts: list[int]) -> Iterator[tuple[list[str], np.ndarray]]:
@@ -298,12 +309,12 @@ def _stretches(marked: list[str], counts: list[int]) -> Iterator[tuple[list[str]
 
 
 def fit(docs: DataFrame, vocabulary: str = VOCABULARY, sample: int | None = None) -> Model:
-    """Fit on all documents with text, lang and doc_id that aren't held out, each row of them, whole; every
-    language among them that has words is learned. Words are counted once; each round's expected counts of
+    """Fit on all documents with text, lang and doc_id that aren't held out, whole, equal rows as one;
+    every language among them that has words is learned. Words are counted once; each round's expected counts of
     pieces are added up where the words lie, and only a row per language and piece is collected.
 
-    With `sample`, fit on at most so many documents of each language, the first by a hash of doc_id and text, equal
-    rows as one, and at most SAMPLE_CHARS characters of each."""
+    With `sample`, fit on at most so many documents of each language, the first by a hash of doc_id and text,
+    and at most SAMPLE_CHARS characters of each."""
     taken = _teaching(docs, ~held_out(F.col("doc_id")), sample)
     counted = save(taken.select("text", "lang").mapInArrow(
         _count_words, "lang string, word binary, n bigint").groupBy("lang", "word").agg(

@@ -153,3 +153,9 @@ def test_floors_come_from_all_held_out_documents(docs_of):
     model = li.fit(docs)
     means = sorted(li.text_scores(model, pa.array([rows[i][1] for i in out]))[1].max(axis=1))
     assert len(out) > 400 and abs(li.floors(docs, model)[0] + li.SLACK - means[-(-len(means) // 4) - 1]) < 1e-9
+
+
+def test_equal_rows_teach_once(docs_of):
+    rows = [(i, f"the cat and the dog {i}", "s", "en") for i in range(1, 9)]
+    once, twice = li.fit(docs_of(rows)), li.fit(docs_of([*rows, *rows[:3], rows[0]]))
+    assert np.allclose(once.chances, twice.chances, rtol=1e-9)
