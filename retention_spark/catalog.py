@@ -113,11 +113,13 @@ def _landed(table: str) -> Query:
 
 
 def _loaded(spark: SparkSession, folder: str) -> UsageStore:
-    """A usage store with the history and the increment, the increment loaded twice."""
-    star = _star(spark, folder)
+    """A usage store with the history and the increment, the increment loaded twice. A load goes over its
+    delivery more than once, so deliveries are files, as landed ones are, not joins of the star schema."""
+    star, path = _star(spark, folder), scratch_path(spark, "usage-deliveries")
     store = UsageStore(spark, scratch_path(spark, "usage-store"))
+    delivered = {name: stored({name: star.clean(f"usage_{name}")}, path)[name] for name in ("full", "increment")}
     for name in ("full", "increment", "increment"):
-        store.load(name, star.clean(f"usage_{name}"))
+        store.load(name, delivered[name])
     return store
 
 

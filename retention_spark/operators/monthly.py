@@ -13,7 +13,7 @@ from collections.abc import Mapping
 from datetime import date
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import AnalysisConfig
@@ -22,6 +22,8 @@ from ..sources.tables import MONTH
 from .blocks import USER, past_half, row_sums
 
 HELD = "held"
+#: Usage rows that one task adds up; their days are what it holds in memory at once.
+TASK_ROWS = 1 << 19
 COUNTS = ("log_rows", "total_songs", "skipped_songs")
 SECONDS = tuple(f"{name}_{part}" for name in ("total", "active") for part in ("high", "low", "nano"))
 SUMS = (*COUNTS, *SECONDS)
@@ -31,31 +33,38 @@ SCHEMA = f"{USER} string, {', '.join(f'{s} bigint' for s in SUMS)}, {BITS} bigin
          f"{MONTH} date, {HELD} int"
 
 
-def usage_by_month(logs: DataFrame) -> DataFrame:
+def usage_by_month(logs: DataFrame, tasks: int = 1) -> DataFrame:
     """One row per user and month with usage; rows without a date are left out, as no window holds
     them.
 
-    Rows are first added up by user and day, which combines before the shuffle: a user with a
-    third of all rows goes on as a row for each day, and a month has at most 31.
+    Rows are dealt to `tasks` tasks by ranges of month and user, the only shuffle: both sums, by day and
+    by month, then find theirs in place, and a task holds the days of its own rows, however many rows
+    there are in all. A user's month is added up by one task as its rows come, and has at most 31 days.
     """
-    days = logs.filter("date is not null").groupBy(USER, "date").agg(
+    dealt = logs.filter("date is not null").withColumn(MONTH, F.trunc("date", "MM")).repartitionByRange(
+        tasks, MONTH, USER)
+    days = dealt.groupBy(MONTH, USER, "date").agg(
         *row_sums(), F.coalesce(F.max(past_half() > 0), F.lit(False)).alias("active"))
     number = F.day("date")
     one = F.call_function("shiftleft", F.lit(1).cast("bigint"), number - 1)
     day = F.struct(number.alias("day"), *SUMS, "active")
-    return days.groupBy(USER, F.trunc("date", "MM").alias(MONTH)).agg(
-        *[F.sum(s).alias(s) for s in SUMS],
-        F.coalesce(F.bit_or(F.when(F.col("active"), one)), F.lit(0).cast("bigint")).alias(BITS),
-        F.sort_array(F.collect_list(day)).alias(DAYS),
-    )
-
-
-def write(logs: DataFrame, path: str, held: int) -> None:
-    """Write the rows of these usage rows, a folder for each month and for this version; a version that
-    was begun before is overwritten."""
-    rows = usage_by_month(logs).withColumn(HELD, F.lit(held))
+    # A user's month has few days, so sorting them costs less than a hash table of lists.
+    by_day = Window.partitionBy(MONTH, USER).orderBy("date")
+    month = by_day.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    summed = days.select(
+        USER, MONTH, F.row_number().over(by_day).alias("nth"), *[F.sum(s).over(month).alias(s) for s in SUMS],
+        F.coalesce(F.bit_or(F.when(F.col("active"), one)).over(month), F.lit(0).cast("bigint")).alias(BITS),
+        F.collect_list(day).over(month).alias(DAYS))
+    return summed.filter("nth = 1").drop("nth")
+
+
+def write(logs: DataFrame, path: str, held: int, rows: int) -> None:
+    """Write the rows of these usage rows, `rows` of them, a folder for each month and for this version; a
+    version that was begun before is overwritten. A task has a range of months and users, so a
+    month is in as many files as its rows need."""
+    found = usage_by_month(logs, -(-rows // TASK_ROWS) or 1).withColumn(HELD, F.lit(held))
     (
-        rows.hint("rebalance", F.col(MONTH)).sortWithinPartitions(MONTH, USER)
+        found.sortWithinPartitions(MONTH, HELD, USER)
         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         .partitionBy(MONTH, HELD).parquet(path)
     )

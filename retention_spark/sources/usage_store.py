@@ -133,7 +133,8 @@ class UsageStore:
         if filled:
             self._write(delivered.filter(in_months(p.month for p in filled)), name, entry)
             self._require_same(filled)
-        monthly.write(self._rows(state).filter(in_months(new)), f"{self.path}/months", entry)
+        monthly.write(self._rows(state).filter(in_months(new)), f"{self.path}/months", entry,
+                      sum(p.rows for p in state if p.month in new))
         (self.spark.createDataFrame(state, _STATE).coalesce(1)
          .write.mode("overwrite").parquet(f"{self.path}/manifest/{ENTRY}={entry}"))
         return Loaded(name, changed, entry)
