@@ -151,17 +151,24 @@ WINDOWS = {
 
 
 def _monthly(spark: SparkSession, folder: str) -> tuple[io.Tables, list[tuple[str, AnalysisConfig]]]:
+    """The stored months, and the windows. What all windows share is stored once."""
     star, store = _star(spark, folder), _loaded(spark, folder)
-    t = MonthlyTables(star.clean, store.months())
-    return t, [(name, replace(CFG, win_start=a, win_end=b)) for name, (a, b) in WINDOWS.items()]
+    t = _tables(spark, folder)
+    kept = stored({"train": t.train, "members": t.members, "latest": latest_payments(t, CFG)},
+                  scratch_path(spark, "shared"))
+    months = MonthlyTables(lambda name: kept[name] if name in kept else star.clean(name), store.months(),
+                           {CFG.cut: kept["latest"]})
+    return months, [(name, replace(CFG, win_start=a, win_end=b)) for name, (a, b) in WINDOWS.items()]
 
 
 def _in_windows(query: Callable[[io.Tables, AnalysisConfig], DataFrame]) -> Query:
-    """A query over three windows, all merged from the stored months."""
+    """A query over three windows, all merged from the stored months. Each window is a job of its own: in
+    one, a task would hold its users' sorted rows of all windows at once."""
     def run(spark: SparkSession, folder: str) -> DataFrame:
         t, windows = _monthly(spark, folder)
-        found = [query(t, cfg).withColumn("window", F.lit(name)) for name, cfg in windows]
-        return reduce(DataFrame.unionByName, found)
+        found = stored({name: query(t, cfg) for name, cfg in windows}, scratch_path(spark, "windows"))
+        return reduce(DataFrame.unionByName, [
+            df.withColumn("window", F.lit(name)) for name, df in found.items()])
     return run
 
 

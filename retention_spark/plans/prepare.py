@@ -8,7 +8,8 @@ for each of them is the whole cost; `prepare` reads it once and stores the reduc
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
+from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,11 +37,12 @@ class PreparedTables(Tables):
 
 class MonthlyTables(Tables):
     """Cleaned tables together with usage per user and month: any window is merged from its months,
-    and no usage row is read."""
+    and no usage row is read. Windows of one cut can share its stored latest payments, `latest` by cut."""
 
-    def __init__(self, load: Callable[[str], DataFrame], months: DataFrame):
+    def __init__(self, load: Callable[[str], DataFrame], months: DataFrame,
+                 latest: Mapping[date, DataFrame] | None = None):
         super().__init__(load)
-        self.months = months
+        self.months, self.latest = months, latest or {}
 
 
 def prepare(spark: SparkSession, t: Tables, cfg: AnalysisConfig,
@@ -80,6 +82,8 @@ def latest_payments(t: Tables, cfg: AnalysisConfig) -> DataFrame:
     if isinstance(t, PreparedTables):
         t.check(cfg)
         return t.latest
+    if isinstance(t, MonthlyTables) and cfg.cut in t.latest:
+        return t.latest[cfg.cut]
     return latest_as_of(t.transactions, cfg.cut)
 
 

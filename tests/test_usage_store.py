@@ -220,6 +220,49 @@ def test_a_hot_user_leaves_a_row_for_each_day(spark):
     assert same(merged, usage_by_user(hot, CFG))
 
 
+def test_months_take_one_shuffle_by_ranges(spark):
+    """The first sums of a task were as many as the rows of its piece of the table, in a hash table."""
+    rows = random_rows(seed=8, users=60)["user_logs"]
+    months = monthly.usage_by_month(logs(spark, [*rows, (None, *rows[0][1:])]), tasks=7)
+    plan = plan_of(months)
+    assert plan.count("Exchange") == 1 and "rangepartitioning(month" in plan and ", 7)" in plan
+    assert same(months, monthly.usage_by_month(logs(spark, [*rows, (None, *rows[0][1:])])))
+    for row in months.collect():
+        assert [d.day for d in row.days] == sorted({d.day for d in row.days})
+        assert row.log_rows == sum(d.log_rows for d in row.days)
+
+
+def test_months_are_dealt_by_the_rows_they_have(spark, store, monkeypatch):
+    seen = []
+    plain = monthly.usage_by_month
+    monkeypatch.setattr(monthly, "TASK_ROWS", 2)
+    monkeypatch.setattr(monthly, "usage_by_month", lambda logs, tasks: seen.append(tasks) or plain(logs, tasks))
+    store.load("full", logs(spark, JAN + FEB + MAR))
+    store.load("more", logs(spark, [*MAR, *MAR]))
+    store.load("full", logs(spark, []))
+    assert seen == [3, 2, 1]
+    assert same(store.usage().drop("month"), logs(spark, [*MAR, *MAR])) and store.months().count() == 1
+
+
+def test_deliveries_are_stored_and_windows_share_what_they_can(spark, small, monkeypatch):
+    from retention_spark import catalog
+    from retention_spark.operators.blocks import latest_as_of
+    plans, load = [], UsageStore.load
+    monkeypatch.setattr(UsageStore, "load", lambda self, name, rows: plans.append(plan_of(rows)) or load(self, name, rows))
+    t, windows = catalog._monthly(spark, small)
+    assert len(plans) == 3 and not any("Join" in p for p in plans)
+    for _, cfg in windows:
+        plan = plan_of(catalog.latest_payments(t, cfg))
+        assert "Window" not in plan and "Exchange" not in plan
+    direct = catalog._tables(spark, small)
+    assert same(t.latest[CFG.cut], latest_as_of(direct.transactions, CFG.cut))
+    other = replace(CFG, cut=date(2000, 6, 30))
+    assert same(catalog.latest_payments(t, other), latest_as_of(direct.transactions, other.cut))
+    # Windows come one by one: the union reads files alone.
+    plan = plan_of(catalog.QUERIES["b4_active_days_by_months"](spark, small))
+    assert plan.count("FileScan") == len(windows) and "Join" not in plan
+
+
 # Snapshots at many dates
 
 def test_snapshots_at_many_dates(spark):
