@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..config import AnalysisConfig
 from ..operators.clean import blank_to_null, clean_table, null_out_of_range
+from ..session import scratch_path
 from .schemas import CLEAN, DATE_COLUMNS, RAW, conform
 from .tables import Tables, union_usage
 
@@ -180,8 +181,11 @@ class StarSchema:
     def deliver(self, table: str, path: str) -> None:
         """Write the raw table as CSV files below `path`, every row once, as deliveries come: plain;
         with columns in another order and one nobody declared; with quotes and line breaks in texts; with
-        lines that don't fit; and without the last column. The last character of the user decides."""
-        df = self.raw(table)
+        lines that don't fit; and without the last column. The last character of the user decides. The
+        table is stored first, so that its joins run once and not for each kind."""
+        stored = scratch_path(self.spark, f"raw-{table}")
+        self.raw(table).write.parquet(stored)
+        df = self.spark.read.schema(RAW[table]).parquet(stored)
         names = df.columns
         kind = F.ascii(F.substring("msno", -1, 1)) % 5
         text = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False,

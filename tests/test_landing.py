@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.sql.readwriter import DataFrameWriter
 
 from retention_spark.sources.derived import StarSchema
 from retention_spark.sources.landing import FILE, REASON, TEXT, land, read_delivery
@@ -119,3 +120,13 @@ def test_no_row_of_a_delivery_is_lost(spark, small, tmp_path, table):
     header = ",".join(raw.columns[:-1])
     assert found.rows.count() + found.rejects.filter(f"{TEXT} <> '{header}'").count() == raw.count()
     assert {r[0] for r in found.rejects.select(REASON).distinct().collect()} == {"line", "header"}
+
+
+def test_a_delivery_runs_its_joins_once(spark, small, tmp_path, monkeypatch):
+    """Each kind of file joined all line items to their orders again."""
+    star, plans, lines = StarSchema(spark, small), [], DataFrameWriter.csv
+    monkeypatch.setattr(DataFrameWriter, "csv", lambda self, *args, **options: plans.append(
+        plan_of(self._df)) or lines(self, *args, **options))
+    star.deliver("user_logs", f"{tmp_path}/files")
+    assert len(plans) == 5 and not any("Join" in plan for plan in plans)
+    assert all(plan.count("FileScan parquet") == 1 for plan in plans)
