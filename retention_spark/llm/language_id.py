@@ -13,6 +13,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +47,8 @@ UNDETERMINED = "und"
 _LETTER, _DIGIT = re.compile(r"[^\W\d_]"), re.compile(r"\d")
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
+#: Slots of a table of pieces, and which bits of a hash lead into the first, second and third table.
+_SLOTS, _SHIFTS = 1 << 18, (np.uint64(46), np.uint64(28), np.uint64(10))
 
 
 def vocabulary_pieces(path: str = VOCABULARY) -> list[str]:
@@ -83,8 +86,48 @@ class Pieces:
         order = np.argsort(keys)
         return cls(keys[order], order, int(sizes.max(initial=1)))
 
-    def spans(self, codes: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
-        """(begin, end, number of the piece there in each row, or -1), by end."""
+    @cached_property
+    def _slots(self) -> tuple[list[tuple[np.uint64, np.ndarray]], np.ndarray]:
+        """Tables that some bits of a key lead to a place of `keys` in, each holding those that found
+        their slot taken in the one before; and the places that no table holds."""
+        left, tables = np.arange(len(self.keys)), []
+        for shift in _SHIFTS:
+            slot = self._slot(self.keys[left], shift)
+            _, first = np.unique(slot, return_index=True)
+            table = np.full(_SLOTS, -1, np.int32)
+            table[slot[first]] = left[first]
+            tables.append((shift, table))
+            left = np.delete(left, first)
+        return tables, left
+
+    @staticmethod
+    def _slot(keys: np.ndarray, shift: np.uint64) -> np.ndarray:
+        return ((keys >> shift) & np.uint64(_SLOTS - 1)).astype(np.int64)
+
+    def find(self, sought: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the hashes `sought` are those of pieces, and the number of each one's piece."""
+        tables, rest = self._slots
+        rows, places = [], []
+        left = np.arange(len(sought))
+        for shift, table in tables:  # a key with an empty slot is in no later table either
+            at = table[self._slot(sought[left], shift)]
+            taken = np.flatnonzero(at >= 0)
+            left, at = left[taken], at[taken]
+            equal = self.keys[at] == sought[left]
+            rows.append(left[equal])
+            places.append(at[equal])
+            left = left[~equal]
+            if not len(left):
+                break
+        if len(left) and len(rest):
+            at = rest[np.minimum(np.searchsorted(self.keys[rest], sought[left]), len(rest) - 1)]
+            equal = self.keys[at] == sought[left]
+            rows.append(left[equal])
+            places.append(at[equal])
+        return np.concatenate(rows), self.numbers[np.concatenate(places)]
+
+    def spans(self, codes: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """(begin, end, rows that have a piece there, its number in each), by end."""
         length = codes.shape[1]
         running = np.zeros((length + 1, len(codes)), np.uint64)
         for at in range(length):
@@ -94,9 +137,8 @@ class Pieces:
         for end in range(1, length + 1):
             for begin in range(max(0, end - self.longest), end):
                 size = end - begin
-                key = running[end] - running[begin] * powers[size] + np.uint64(size)
-                at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-                yield begin, end, np.where(self.keys[at] == key, self.numbers[at], -1)
+                yield begin, end, *self.find(
+                    running[end] - running[begin] * powers[size] + np.uint64(size))
 
     def ending(self, codes: np.ndarray) -> np.ndarray:
         """Number of the piece that ends with each character of one text, or -1: a row for each
@@ -105,10 +147,8 @@ class Pieces:
         key, power = np.zeros(len(codes), np.uint64), np.ones(1, np.uint64)
         for size in range(1, min(self.longest, len(codes)) + 1):
             key[size - 1 :] += codes[: len(codes) - size + 1] * power
-            sought = key[size - 1 :] + np.uint64(size)
-            at = np.minimum(np.searchsorted(self.keys, sought), len(self.keys) - 1)
-            out[self.longest - size, size - 1 :] = np.where(
-                self.keys[at] == sought, self.numbers[at], -1)
+            rows, numbers = self.find(key[size - 1 :] + np.uint64(size))
+            out[self.longest - size, size - 1 + rows] = numbers
             power = power * _BASE
         return out
 
@@ -136,14 +176,16 @@ def forward(pieces: Pieces, chances: np.ndarray, texts: list[str]) -> np.ndarray
             reach = np.zeros((length + 1, *scale.shape))
             reach[0] = 1
             done = 0
-            for begin, end, number in pieces.spans(_codes(part)):
+            for begin, end, rows, number in pieces.spans(_codes(part)):
                 if end > done:  # all ways to reach `done` are added up
                     _settle(reach, done, scale, pieces.longest)
                     done = end
-                chance = chances[number]
                 if begin == end - 1:
-                    chance = np.where(number[:, None] < 0, UNKNOWN, chance)
-                reach[end] += reach[begin] * chance
+                    chance = np.full(scale.shape, UNKNOWN)
+                    chance[rows] = chances[number]
+                    reach[end] += reach[begin] * chance
+                elif len(rows):
+                    reach[end, rows] += reach[begin, rows] * chances[number]
             out[group[low : low + 20_000]] = np.log(reach[length]) + scale
     return out
 
@@ -180,25 +222,30 @@ def _settle(reach: np.ndarray, at: int, scale: np.ndarray, longest: int) -> None
 def _spans_of(pieces: Pieces, texts: list[str], counts: np.ndarray) -> Iterator[tuple]:
     """Words in groups of one length: length, counts, and where which pieces stand."""
     for group, same in by_length(texts):
-        found = [(b, e, n) for b, e, n in pieces.spans(_codes(same)) if b == e - 1 or (n >= 0).any()]
+        found = [span for span in pieces.spans(_codes(same)) if span[0] == span[1] - 1 or len(span[2])]
         yield len(same[0]), counts[group].astype(float), found
 
 
 def _expected(group: tuple, chance: np.ndarray) -> np.ndarray:
     """Expected count of every piece, and of characters that none covers, over all segmentations."""
     (length, weight, found), size = group, len(chance) - 1
-    expected = np.zeros(size + 1)
-    odds = [np.where(n < 0, UNKNOWN if e == b + 1 else 0, chance[n]) for b, e, n in found]
+    every, spans = np.arange(len(weight)), []
+    for b, e, rows, n in found:
+        if e == b + 1:  # single characters stand in every row, as pieces or as uncovered ones
+            whole, odds = np.full(len(weight), size), np.full(len(weight), UNKNOWN)
+            whole[rows], odds[rows] = n, chance[n]
+            spans.append((b, e, every, whole, odds))
+        else:
+            spans.append((b, e, rows, n, chance[n]))
     ahead, behind = np.zeros((2, length + 1, len(weight)))
     ahead[0] = behind[length] = 1
-    for (b, e, _), p in zip(found, odds, strict=True):
-        ahead[e] += ahead[b] * p
-    for (b, e, _), p in zip(reversed(found), reversed(odds), strict=True):
-        behind[b] += behind[e] * p
-    total = np.maximum(ahead[length], 1e-300)
-    for (b, e, n), p in zip(found, odds, strict=True):
-        np.add.at(expected, np.where(n < 0, size, n), weight * ahead[b] * p * behind[e] / total)
-    return expected
+    for b, e, rows, _, p in spans:
+        ahead[e, rows] += ahead[b, rows] * p
+    for b, e, rows, _, p in reversed(spans):
+        behind[b, rows] += behind[e, rows] * p
+    share = weight / np.maximum(ahead[length], 1e-300)
+    return np.bincount(np.concatenate([n for *_, n, _ in spans]), np.concatenate([
+        share[rows] * ahead[b, rows] * p * behind[e, rows] for b, e, rows, _, p in spans]), size + 1)
 
 
 def _uniform(size: int) -> np.ndarray:
@@ -293,19 +340,27 @@ def _teaching(docs: DataFrame, mine: Column, sample: int | None) -> DataFrame:
     return rows.select("lang", "text")
 
 
-def _stretches(marked: list[str], counts: list[int]) -> Iterator[tuple[list[str], np.ndarray]]:
-    """Words, longer ones in stretches of LONG characters, and their counts, about FIT_CHARS characters at once."""
-    held, times, chars = [], [], 0
-    for word, n in zip(marked, counts, strict=True):
-        for i in range(0, len(word), LONG):
-            held.append(word[i : i + LONG])
-            times.append(n)
-            chars += len(held[-1])
-            if chars >= FIT_CHARS:
-                yield held, np.array(times)
-                held, times, chars = [], [], 0
-    if held:
-        yield held, np.array(times)
+class _Held:
+    """Words of one language, longer ones in stretches of LONG characters, and their counts, until there
+    are about FIT_CHARS characters of them: small groups of equal length cost most of their time in calls."""
+
+    def __init__(self) -> None:
+        self.words, self.counts, self.chars = [], [], 0
+
+    def add(self, marked: list[str], counts: list[int]) -> Iterator[tuple[list[str], np.ndarray]]:
+        for word, n in zip(marked, counts, strict=True):
+            for i in range(0, len(word), LONG):
+                self.words.append(word[i : i + LONG])
+                self.counts.append(n)
+                self.chars += len(self.words[-1])
+                if self.chars >= FIT_CHARS:
+                    yield from self.rest()
+
+    def rest(self) -> Iterator[tuple[list[str], np.ndarray]]:
+        if self.words:
+            taken = self.words, np.array(self.counts)
+            self.words, self.counts, self.chars = [], [], 0
+            yield taken
 
 
 def fit(docs: DataFrame, vocabulary: str = VOCABULARY, sample: int | None = None) -> Model:
@@ -338,12 +393,19 @@ def _expected_counts(counted: DataFrame, languages: list[str], pieces: Pieces, c
     def expect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         languages, pieces, chances = sent.value
         found = np.zeros((len(languages), size + 1))
+        held = [_Held() for _ in languages]
+
+        def add(k: int, ready: Iterator[tuple[list[str], np.ndarray]]) -> None:
+            for words_, counts in ready:
+                for group in _spans_of(pieces, words_, counts):
+                    found[k] += _expected(group, chances[:, k])
+
         for batch in batches:
             for k, lang in enumerate(languages):
                 own = batch.filter(pc.equal(batch.column("lang"), lang))
-                for words_, counts in _stretches(_marked(own.column("word")), own.column("n").to_pylist()):
-                    for group in _spans_of(pieces, words_, counts):
-                        found[k] += _expected(group, chances[:, k])
+                add(k, held[k].add(_marked(own.column("word")), own.column("n").to_pylist()))
+        for k, left in enumerate(held):
+            add(k, left.rest())
         k, piece = np.nonzero(found)
         yield pa.RecordBatch.from_pydict({"k": k, "piece": piece, "expected": found[k, piece]})
 

@@ -159,3 +159,32 @@ def test_equal_rows_teach_once(docs_of):
     rows = [(i, f"the cat and the dog {i}", "s", "en") for i in range(1, 9)]
     once, twice = li.fit(docs_of(rows)), li.fit(docs_of([*rows, *rows[:3], rows[0]]))
     assert np.allclose(once.chances, twice.chances, rtol=1e-9)
+
+
+def test_pieces_are_found_whatever_slots_they_share(monkeypatch):
+    """Looked up in tables of slots; a search among all sorted keys for each span took most of the time."""
+    monkeypatch.setattr(li, "_SLOTS", 4)  # most keys are in no table
+    rng = np.random.default_rng(5)
+    names = sorted({"".join(rng.choice(list("abé"), rng.integers(1, 5))) for _ in range(60)})
+    pieces = li.Pieces.of(names)
+    assert len(pieces._slots[1])
+    for length in (1, 3, 6):
+        texts = ["".join(rng.choice(list("abéc"), length)) for _ in range(40)]
+        seen = set()
+        for begin, end, rows, numbers in pieces.spans(li._codes(texts)):
+            seen |= {(r, begin, end, names[n]) for r, n in zip(rows.tolist(), numbers.tolist())}
+        assert seen == {(r, b, e, t[b:e]) for r, t in enumerate(texts) for b in range(length)
+                        for e in range(b + 1, length + 1) if t[b:e] in names}
+
+
+def test_words_of_small_batches_are_fitted_together(monkeypatch):
+    """Each batch's words made groups of their own, and their number set the time."""
+    held = li._Held()
+    assert not [*held.add(["a"] * 5, [1] * 5), *held.add(["bb"] * 5, [2] * 5)]
+    (words_, counts), = held.rest()
+    assert words_ == ["a"] * 5 + ["bb"] * 5 and counts.sum() == 15 and not [*held.rest()]
+    monkeypatch.setattr(li, "LONG", 4)
+    monkeypatch.setattr(li, "FIT_CHARS", 8)
+    parts = [*held.add(["abcdefghij", "k"], [3, 1]), *held.rest()]
+    assert [w for p, _ in parts for w in p] == ["abcd", "efgh", "ij", "k"]
+    assert [c.tolist() for _, c in parts] == [[3, 3], [3, 1]]
