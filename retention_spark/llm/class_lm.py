@@ -22,6 +22,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import words
-from .shared import discard, save, text_slices
+from .shared import discard, save, save_by_key, text_slices
 
 CLASSES, CORE, LEXICON = 64, 1000, 200_000
 #: The class of the end of a text, that of all words but the core before the first step, and that of
@@ -42,8 +43,22 @@ SHARES, DISCOUNT = (0.5, 0.35, 0.15), 0.5
 SLICE = 4 << 20
 
 _CONTEXTS = CLASSES + 2
-_CELL = np.dtype([("context", "<u2"), ("n", "<i8")])
-_GATHERED = "word binary, n bigint, class int, packed binary, context int"
+#: A cell: twice the neighbour's rank in the lexicon, one more for that to the right; then a count.
+_CODE_BITS, _COUNT_BITS = 20, 12
+_CODES, _MOST = (1 << _CODE_BITS) - 1, (1 << _COUNT_BITS) - 1
+#: Words are dealt to blocks, one for so many words of training text; bytes of cells held before they are summed.
+BLOCK, _HELD = 1 << 21, 64 << 20
+_FAR = np.dtype([("word", "<u8"), ("other", "<u8"), ("side", "u1"), ("n", "<i8")])
+_TOLD = np.dtype([("word", "<u8"), ("context", "u1"), ("n", "<i8")])
+_OWN = np.dtype([("rank", "<i4"), ("class", "u1")])
+#: What a step writes for a block: classes of its rare words, contexts for words of the lexicon and for rare
+#: ones, and for the driver the classes of words of the lexicon.
+_STATE, _NEAR, _RARE, _LEXICON = range(4)
+_KINDS = {_STATE: np.dtype("u1"), _NEAR: np.dtype("<u8"), _RARE: _TOLD}
+_COUNTED = "word binary, n bigint, id bigint"
+_PIECE = ["block", "ids", "sizes", "cells", "far"]
+_BLOCKS = "block int, ids binary, sizes binary, cells binary, far binary"
+_TOLD_ROWS = "block int, kind int, blob binary"
 
 
 def held_out(doc_id: Column) -> Column:
@@ -137,152 +152,242 @@ def exchange(bigrams: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS)
     return of
 
 
-def _contexts(lexicon: pa.Table, others: bool):
-    """For each word of a piece, the contexts it stands in: class to the left, or
-    _CONTEXTS + class to the right, and how often. With `others`, words beyond the lexicon count as the
-    class OTHER; without, contexts of such words are left out."""
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = np.append(lexicon.column("class").to_numpy(), OTHER)
-        for piece in text_slices(batches, "text", SLICE):
-            found = words.split(piece.column("text"))
-            kinds = len(found.distinct)
-            classes, first = _with_ends(found, known[_lookup(found.distinct, lexicon)], END)
-            token, _ = _with_ends(found, np.arange(kinds), kinds)
-            left, right = np.roll(classes, 1), np.roll(classes, -1)
-            left[first[:-1]] = END
-            wide = 2 * _CONTEXTS
-            pair = np.concatenate([token[real] * wide + side + context[real]
-                                   for side, context in ((0, left), (_CONTEXTS, right))
-                                   for real in [(token < kinds) & (others | (context != OTHER))]])
-            pair.sort()
-            begin = np.flatnonzero(np.diff(pair, prepend=-1))
-            pair, count = pair[begin], np.diff(np.append(begin, len(pair)))
-            bounds = np.searchsorted(pair // wide, np.arange(kinds + 1)) * 4
-            packed = np.column_stack((pair % wide, np.minimum(count, 65535))).astype(np.uint16)
-            many = np.flatnonzero(count > 65535)  # the rest of a large count gets rows of its own
-            yield pa.RecordBatch.from_arrays([found.distinct.cast(pa.binary()), pa.Array.from_buffers(
-                pa.large_binary(), kinds, [None, pa.py_buffer(bounds.astype(np.int64)),
-                                           pa.py_buffer(packed.tobytes())]).cast(pa.binary())],
-                ["word", "packed"])
-            for i in many:
-                rest = int(count[i]) - 65535
-                cells = [(int(pair[i] % wide), min(65535, rest - x)) for x in range(0, rest, 65535)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([found.distinct[int(pair[i] // wide)].as_py()], pa.binary()),
-                     pa.array([np.array(cells, np.uint16).tobytes()], pa.binary())],
-                    ["word", "packed"])
-    return gather
+def _blobs(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """The values from each bound to the next as bytes."""
+    return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [
+        None, pa.py_buffer((bounds * values.itemsize).astype(np.int32)),
+        pa.py_buffer(values.tobytes())])
+
+
+def _joined(rows: pa.Array, kind: np.dtype) -> np.ndarray:
+    return np.frombuffer(b"".join(rows.to_pylist()), kind)
+
+
+def _numbered(seed: int):
+    """Add the id of each word: a hash."""
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = words.hashes(batch.column("word"), seed).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids)], ["word", "n", "id"])
+    return number
+
+
+@dataclass
+class _Ranks:
+    """Ids of the lexicon's words by rank, and the number of blocks that ids are dealt to."""
+
+    ids: np.ndarray
+    blocks: int
+    seed: int
+
+    def __post_init__(self) -> None:
+        self.order = np.argsort(self.ids)
+        self.sorted = self.ids[self.order]
+        self.block = self.of(self.ids)
+
+    def of(self, ids: np.ndarray) -> np.ndarray:
+        return (ids % np.uint64(self.blocks)).astype(np.int32)
+
+    def find(self, ids: np.ndarray) -> np.ndarray:
+        """The rank of each id, or -1."""
+        if not len(self.ids):
+            return np.full(len(ids), -1)
+        at = np.minimum(np.searchsorted(self.sorted, ids), len(self.ids) - 1)
+        return np.where(self.sorted[at] == ids, self.order[at], -1)
 
 
-def _far_neighbours(lexicon: pa.Table):
-    """Rows (word, side, other, n): the neighbours of a piece's words that the lexicon lacks; `side` is 0
-    to the left and _CONTEXTS to the right."""
+def _sums(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Different keys in order, and the sum of each one's counts."""
+    order = np.argsort(keys, kind="stable")
+    keys, counts = keys[order], counts[order]
+    begin = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else order
+    return keys[begin], np.add.reduceat(counts, begin) if len(keys) else counts
+
+
+def _cells(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Cells of the keys, and which key each belongs to; a large count takes several."""
+    parts = -(-counts // _MOST)
+    of = np.repeat(np.arange(len(keys)), parts)
+    n = np.full(len(of), _MOST)
+    n[np.cumsum(parts) - 1] = counts - (parts - 1) * _MOST
+    return (((keys[of] & _CODES) << _COUNT_BITS) | n).astype(np.uint32), of
+
+
+def _neighbours(ranks: _Ranks):
+    """A row for each piece of the text and block of words: their ids, the numbers of their cells, the cells,
+    which name a neighbour of the lexicon or the end of the text, and pairs of words that the lexicon lacks."""
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in text_slices(batches, "text", SLICE):
+        end = len(ranks.ids)
+        for piece in text_slices(batches, "text", 2 * SLICE):
             found = words.split(piece.column("text"))
             kinds = len(found.distinct)
-            far = np.append(_lookup(found.distinct, lexicon) < 0, False)
-            token, first = _with_ends(found, np.arange(kinds), kinds)
+            ids = words.hashes(found.distinct, ranks.seed)
+            order = np.lexsort((ids, ranks.of(ids)))
+            place = np.empty(kinds + 1, np.int64)
+            place[order], place[kinds] = np.arange(kinds), kinds
+            ids = ids[order]
+            rank = np.append(ranks.find(ids), end)
+            token, first = _with_ends(found, place[:-1], kinds)
             before, after = np.roll(token, 1), np.roll(token, -1)
             before[first[:-1]] = kinds
-            for side, other in ((0, before), (_CONTEXTS, after)):
-                here = (token < kinds) & far[other]
-                pair, count = np.unique(token[here].astype(np.int64) * (kinds + 1) + other[here],
-                                        return_counts=True)
-                yield pa.RecordBatch.from_arrays(
-                    [found.distinct.take(pa.array(pair // (kinds + 1))).cast(pa.binary()),
-                     pa.array(np.full(len(pair), side, np.int32)),
-                     found.distinct.take(pa.array(pair % (kinds + 1))).cast(pa.binary()),
-                     pa.array(count.astype(np.int64))], ["word", "side", "other", "n"])
+            near, far = [], []
+            for side, other in ((0, before), (1, after)):
+                real = (token < kinds) & (rank[other] >= 0)
+                near.append((token[real] << _CODE_BITS) | rank[other[real]] * 2 | side)
+                real = (token < kinds) & (rank[other] < 0) & (rank[token] < 0)
+                far.append((token[real] * 2 + side) * kinds + other[real])
+            keys, counts = np.unique(np.concatenate(near), return_counts=True)
+            cells, of = _cells(keys, counts)
+            word = keys[of] >> _CODE_BITS
+            sizes = np.bincount(word, minlength=kinds)
+            pairs, counts = np.unique(np.concatenate(far), return_counts=True)
+            rare = np.zeros(len(pairs), _FAR)
+            owner = pairs // kinds // 2 if kinds else pairs
+            rare["word"], rare["n"] = ids[owner], counts
+            if kinds:
+                rare["other"], rare["side"] = ids[pairs % kinds], pairs // kinds % 2
+            blocks = ranks.of(ids)
+            begin = np.flatnonzero(np.diff(blocks, prepend=-1))
+            bounds = np.append(begin, kinds)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(blocks[begin]), _blobs(ids, bounds),
+                 _blobs(sizes.astype(np.uint32), bounds),
+                 _blobs(cells, np.searchsorted(word, bounds)),
+                 _blobs(rare, np.searchsorted(owner, bounds))], _PIECE)
     return gather
 
 
-def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (word, context, n) in the form of `_contexts`."""
-    for batch in batches:
-        counts = batch.column("n").to_numpy()
-        parts = -(-counts // 65535)
-        of = np.repeat(np.arange(len(counts)), parts)
-        part = np.arange(len(of)) - np.repeat(np.cumsum(parts) - parts, parts)
-        cells = np.column_stack((batch.column("context").to_numpy()[of],
-                                 np.minimum(counts[of] - part * 65535, 65535))).astype(np.uint16)
-        bounds = np.arange(len(of) + 1, dtype=np.int32) * 4
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("word").take(pa.array(of)), pa.Array.from_buffers(
-                pa.binary(), len(of), [None, pa.py_buffer(bounds), pa.py_buffer(cells.tobytes())])],
-            ["word", "packed"])
-
-
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (word, n, class, packed) in order of word, of which one per word has n and class: one row per word
-    with all its contexts, and at the end the class bigrams that the task's words make."""
-    wide = 2 * _CONTEXTS
-    made = np.zeros((_CONTEXTS, wide), np.int64)
-    schema = pa.schema([("word", pa.binary()), ("n", pa.int64()), ("class", pa.int32()),
-                        ("packed", pa.binary()), ("context", pa.int32())])
-
-    def close(names: list[bytes], counts: np.ndarray, own: np.ndarray) -> pa.RecordBatch:
-        np.add.at(made, own[:, 1], counts)
-        word, context = np.nonzero(counts)
-        cells = np.empty(len(word), _CELL)
-        cells["context"], cells["n"] = context, counts[word, context]
-        bounds = np.searchsorted(word, np.arange(len(names) + 1)) * _CELL.itemsize
+    """Rows of `_neighbours` in order of block: one row per block, each word and cell once, words by id."""
+    empty = np.zeros(0, np.uint64), np.zeros(0, np.uint32), np.zeros(0, np.uint32), np.zeros(0, _FAR)
+
+    def reduced(parts: list[tuple]) -> tuple:
+        all_ids, sizes, cells, far = (np.concatenate(x) for x in zip(*parts, strict=True))
+        ids, at = np.unique(all_ids, return_inverse=True)
+        whole = np.sort((np.repeat(at, sizes).astype(np.uint64) << np.uint64(32)) | cells)
+        keys, counts = whole >> np.uint64(_COUNT_BITS), (whole & np.uint64(_MOST)).astype(np.int64)
+        begin = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))[:len(keys)])
+        keys = keys[begin].astype(np.int64)
+        counts = np.add.reduceat(counts, begin) if len(begin) else counts
+        cells, of = _cells(keys, counts)
+        sizes = np.bincount(keys[of] >> _CODE_BITS, minlength=len(ids)).astype(np.uint32)
+        order = np.lexsort((far["other"], far["side"], far["word"]))
+        far = far[order]
+        new = np.ones(len(far), bool)
+        for name in ("word", "side", "other"):
+            new[1:] &= far[name][1:] == far[name][:-1]
+        new[1:] = ~new[1:]
+        begin = np.flatnonzero(new)
+        once = far[begin]
+        if len(begin):
+            once["n"] = np.add.reduceat(far["n"], begin)
+        return ids, sizes, cells, once
+
+    def row(block: int, parts: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays(
-            [pa.array(names, pa.binary()), pa.array(own[:, 0]), pa.array(own[:, 1].astype(np.int32)),
-             pa.Array.from_buffers(pa.binary(), len(names), [
-                 None, pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(cells.tobytes())]),
-             pa.nulls(len(names)).cast(pa.int32())], schema=schema)
+            [pa.array([block], pa.int32()), *(_blobs(x, np.array([0, len(x)])) for x in reduced(parts))],
+            _PIECE)
 
-    last, held = None, None
+    last, parts, held = None, [empty], 0
     for batch in batches:
-        names = batch.column("word").to_pylist()
-        new = np.array([i == 0 or names[i] != names[i - 1] for i in range(len(names))])
-        group = np.cumsum(new) - 1
-        sizes = pc.fill_null(pc.binary_length(batch.column("packed")), 0).to_numpy() // 4
-        cells = np.frombuffer(b"".join(filter(None, batch.column("packed").to_pylist())), np.uint16)
-        cells = cells.reshape(-1, 2).astype(np.int64)
-        counts = np.bincount(np.repeat(group, sizes) * wide + cells[:, 0],
-                             weights=cells[:, 1], minlength=(group[-1] + 1) * wide)
-        counts = counts.astype(np.int64).reshape(-1, wide)
-        own = np.column_stack([np.bincount(
-            group, weights=pc.fill_null(batch.column(name), 0).to_numpy()).astype(np.int64)
-            for name in ("n", "class")])
-        ready = [names[i] for i in np.flatnonzero(new)]
-        if last == ready[0]:
-            counts[0] += held[0]
-            own[0] += held[1]
-        elif last is not None:
-            yield close([last], held[0][None], held[1][None])
-        last, held = ready[-1], (counts[-1], own[-1])
-        if len(ready) > 1:
-            yield close(ready[:-1], counts[:-1], own[:-1])
+        for block, *blobs in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if block != last:
+                if last is not None:
+                    yield row(last, parts)
+                last, parts, held = block, [empty], 0
+            parts.append(tuple(np.frombuffer(x, e.dtype) for x, e in zip(blobs, empty, strict=True)))
+            held += len(blobs[2])
+            if held > _HELD:
+                parts, held = [reduced(parts)], 0
     if last is not None:
-        yield close([last], held[0][None], held[1][None])
-    full = np.argwhere(made)
-    none = pa.nulls(len(full)).cast(pa.binary())
-    yield pa.RecordBatch.from_arrays(
-        [none, pa.array(made[tuple(full.T)]), pa.array(full[:, 0].astype(np.int32)), none,
-         pa.array(full[:, 1].astype(np.int32))], schema=schema)
-
-
-def _choose(table: np.ndarray):
-    """Each word's best class by its contexts under a table of class bigrams."""
+        yield row(last, parts)
+
+
+class _Block:
+    """The words of a block (row of `_merge`), the classes of all, and how often each stands in which
+    context: class to the left, or _CONTEXTS + class to the right."""
+
+    def __init__(self, ranks: _Ranks, lexicon: np.ndarray, block: pa.Table, sent: pa.Table):
+        row = block.slice(0, 1).to_pylist()[0]
+        self.ids, sizes, cells, self.far = (
+            np.frombuffer(row[name], kind) for name, kind in zip(
+                _PIECE[1:], (np.uint64, np.uint32, np.uint32, _FAR), strict=True))
+        self.rank = ranks.find(self.ids)
+        told = {kind: _joined(sent.column("blob").filter(pc.equal(sent.column("kind"), kind)), of)
+                for kind, of in _KINDS.items()}
+        self.classes = np.where(self.rank >= 0, np.append(lexicon, OTHER)[self.rank], OTHER)
+        if len(told[_STATE]):
+            self.classes[self.rank < 0] = told[_STATE]
+        code, self.n = (cells >> _COUNT_BITS).astype(np.int64), (cells & _MOST).astype(np.int64)
+        self.other, self.side = code >> 1, code & 1
+        self.word = np.repeat(np.arange(len(self.ids)), sizes)
+        # What words beyond the lexicon tell their neighbours here.
+        by_rank = np.argsort(self.rank, kind="stable")
+        near, rare = told[_NEAR], told[_RARE]
+        at = by_rank[np.searchsorted(self.rank[by_rank], near >> np.uint64(46))] if len(near) else near
+        place = [self.word, at.astype(np.int64), np.searchsorted(self.ids, rare["word"])]
+        known = np.append(lexicon, END).astype(np.int64)
+        context = [known[self.other] + self.side * _CONTEXTS,
+                   (near >> np.uint64(38)).astype(np.int64) & 255, rare["context"].astype(np.int64)]
+        counts = [self.n, (near & np.uint64((1 << 38) - 1)).astype(np.int64), rare["n"]]
+        self.place, self.context, self.counts = map(np.concatenate, (place, context, counts))
+
+    def choose(self, gain: np.ndarray) -> None:
+        """Move every word to its best class."""
+        order = np.argsort(self.place, kind="stable")
+        place, context, counts = self.place[order], self.context[order], self.counts[order]
+        wide, some = 2 * _CONTEXTS, 1 << 13
+        for low in range(0, len(self.ids), some):
+            high = min(low + some, len(self.ids))
+            a, b = np.searchsorted(place, (low, high))
+            table = np.bincount((place[a:b] - low) * wide + context[a:b], weights=counts[a:b],
+                                minlength=(high - low) * wide).reshape(-1, wide)
+            self.classes[low:high] = (table @ gain).argmax(axis=1)
+
+    def tell(self, ranks: _Ranks, block: int) -> pa.Table:
+        """The classes, as the next step reads them: those of the block's rare words, those of the lexicon, and
+        for each neighbour of a rare word, by its block, the context that this word is."""
+        lexicon = self.rank >= 0
+        own = np.zeros(int(lexicon.sum()), _OWN)
+        own["rank"], own["class"] = self.rank[lexicon], self.classes[lexicon]
+        out = [(block, _STATE, self.classes[~lexicon].astype(np.uint8)), (block, _LEXICON, own)]
+        rare = ~lexicon[self.word] & (self.other < len(ranks.ids))
+        context = self.classes[self.word[rare]] + (1 - self.side[rare]) * _CONTEXTS
+        keys, counts = _sums(self.other[rare] * 256 + context, self.n[rare])
+        near = (keys.astype(np.uint64) << np.uint64(38)) | counts.astype(np.uint64)
+        far = np.zeros(len(self.far), _TOLD)
+        far["word"], far["n"] = self.far["other"], self.far["n"]
+        far["context"] = (self.classes[np.searchsorted(self.ids, self.far["word"])]
+                          + (1 - self.far["side"].astype(np.int64)) * _CONTEXTS)
+        for kind, to, what in ((_NEAR, ranks.block[keys >> 8], near),
+                               (_RARE, ranks.of(far["word"]), far)):
+            order = np.argsort(to, kind="stable")
+            to, what = to[order], what[order]
+            bounds = np.append(np.flatnonzero(np.diff(to, prepend=-1)), len(to))
+            out += [(int(to[a]), kind, what[a:b]) for a, b in pairwise(bounds)]
+        return pa.table({"block": pa.array([x for x, _, _ in out], pa.int32()),
+                         "kind": pa.array([x for _, x, _ in out], pa.int32()),
+                         "blob": pa.array([x.tobytes() for _, _, x in out], pa.binary())})
+
+    def bigrams(self) -> pa.Table:
+        """Class and context of the block's words, counted."""
+        wide = 2 * _CONTEXTS
+        made = np.bincount(self.classes[self.place] * wide + self.context, weights=self.counts)
+        full = np.flatnonzero(made)
+        return pa.table({"class": (full // wide).astype(np.int32),
+                         "context": (full % wide).astype(np.int32),
+                         "n": made[full].astype(np.int64)})
+
+    def named(self) -> pa.Table:
+        return pa.table({"id": self.ids.view(np.int64), "class": self.classes.astype(np.int32)})
+
+
+def _gain(table: np.ndarray) -> np.ndarray:
+    """What a word's context adds to the likelihood of each class, under a table of class bigrams."""
     log = np.log(table + 0.5)
-    gain = np.concatenate((log[:, :CLASSES] - np.log(table.sum(axis=0) + 1)[:CLASSES],
+    return np.concatenate((log[:, :CLASSES] - np.log(table.sum(axis=0) + 1)[:CLASSES],
                            log[:CLASSES].T - np.log(table.sum(axis=1) + 1)[:CLASSES]))
 
-    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sizes = pc.binary_length(batch.column("packed")).to_numpy() // _CELL.itemsize
-            cells = np.frombuffer(b"".join(batch.column("packed").to_pylist()), _CELL)
-            counts = np.zeros((batch.num_rows, 2 * _CONTEXTS))
-            counts[np.repeat(np.arange(batch.num_rows), sizes), cells["context"]] = cells["n"]
-            best = (counts @ gain).argmax(axis=1).astype(np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("word"), batch.column("n"), pa.array(best)], ["word", "n", "class"])
-
-    return pick
-
 
 def _bigram_table(made: DataFrame) -> np.ndarray:
     """Class bigrams over contexts, from the counts that tasks made: a table of fixed size."""
@@ -321,12 +426,19 @@ def _top(vocabulary: DataFrame, rows: int) -> pa.Table:
 
 def fit(docs: DataFrame) -> Model:
     """Count and cluster the words of `docs` (text)."""
-    texts = docs.select("text")
-    counted = save(texts.mapInArrow(_count, "word binary, n bigint").groupBy("word").agg(
-        F.sum("n").alias("n")), "lm-counts")
-    total = counted.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
+    texts, spark = docs.select("text"), docs.sparkSession
+    counted, seed = save(texts.mapInArrow(_count, "word binary, n bigint").groupBy("word").agg(
+        F.sum("n").alias("n")).mapInArrow(_numbered(0), _COUNTED), "lm-counts"), 0
+    total = counted.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1)),
+                        F.count_distinct("id")).first()
+    while total[2] < total[1]:  # two words have the same id
+        seed, shared = seed + 1, counted
+        counted = save(shared.select("word", "n").mapInArrow(_numbered(seed), _COUNTED), "lm-counts")
+        discard(shared)
+        total = *total[:2], counted.agg(F.count_distinct("id")).first()[0]
     size = texts.count()
-    core = _top(counted, CORE)
+    lexicon = _top(counted, max(LEXICON, CORE))
+    core = lexicon.slice(0, CORE)
     wide = core.num_rows + 2
     bigrams = np.zeros((wide, wide))
     cells = texts.mapInArrow(_core_bigrams(core, core.num_rows),
@@ -337,54 +449,60 @@ def fit(docs: DataFrame) -> Model:
     of = exchange(bigrams)
     table = np.zeros((_CONTEXTS, _CONTEXTS))
     np.add.at(table, (of[:, None], of[None, :]), bigrams)
-    lexicon = pa.table({"word": core.column("word"), "class": of[: core.num_rows]})
-
-    def gathered(vocabulary: DataFrame, lexicon: pa.Table, far: DataFrame | None,
-                 others: bool = False) -> DataFrame:
-        sent = docs.sparkSession.sparkContext.broadcast(lexicon)
-        found = texts.mapInArrow(lambda b: _contexts(sent.value, others)(b),
-                                 "word binary, packed binary")
-        if far:
-            classed = vocabulary.select(F.col("word").alias("other"), "class")
-            context = (F.col("side") + F.col("class")).alias("context")
-            found = found.unionByName(far.join(classed, "other").groupBy("word", context).agg(
-                F.sum("n").alias("n")).mapInArrow(_packed, "word binary, packed binary"))
-        rows = found.unionByName(vocabulary, allowMissingColumns=True).select(
-            "word", "n", "class", "packed")
-        out = save(rows.repartition("word").sortWithinPartitions("word").mapInArrow(
-            _merge, _GATHERED), "lm-contexts")
-        sent.unpersist()
-        return out
-
-    def step(contexts: DataFrame, table: np.ndarray) -> DataFrame:
-        return save(contexts.filter("context is null").mapInArrow(
-            _choose(table), "word binary, n bigint, class int"), "lm-vocabulary")
-
-    unclassed = counted.withColumn("class", F.lit(OTHER))
-    contexts = gathered(unclassed, lexicon, None, others=True)
-    proposed, vocabulary, far = step(contexts, table), None, None
-    discard(contexts)
-    if total[1] > LEXICON:
-        sent = docs.sparkSession.sparkContext.broadcast(_top(counted, LEXICON))
-        far = save(texts.mapInArrow(
-            lambda b: _far_neighbours(sent.value)(b),
-            "word binary, side int, other binary, n bigint").groupBy("word", "side", "other").agg(
-            F.sum("n").alias("n")), "lm-far")
+
+    ids = lexicon.column("id").to_numpy().view(np.uint64)
+    ranks = spark.sparkContext.broadcast(_Ranks(ids, int(total[0]) // BLOCK + 1, seed))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    blocks = save_by_key(texts.mapInArrow(lambda b: _neighbours(ranks.value)(b), _BLOCKS).repartition(
+        parts, "block").sortWithinPartitions("block").mapInArrow(_merge, _BLOCKS),
+        "block", parts, "lm-blocks")
+
+    def over_blocks(told: DataFrame, classes: np.ndarray, schema: str, result) -> DataFrame:
+        """What `result` makes of each block, after what the step before told it."""
+        def run(block: pa.Table, sent: pa.Table) -> pa.Table:
+            return result(_Block(ranks.value, classes, block, sent), block.column("block")[0].as_py())
+        return blocks.groupBy("block").cogroup(told.filter(F.col("kind") != _LEXICON).groupBy(
+            "block")).applyInArrow(run, schema)
+
+    def step(told: DataFrame, classes: np.ndarray, table: np.ndarray | None) -> DataFrame:
+        gain = None if table is None else _gain(table)
+
+        def moved(block: _Block, number: int) -> pa.Table:
+            if gain is not None:
+                block.choose(gain)
+            return block.tell(ranks.value, number)
+        return save(over_blocks(told, classes, _TOLD_ROWS, moved), "lm-step")
+
+    def of_lexicon(told: DataFrame) -> np.ndarray:
+        classes = np.full(len(ids), OTHER)
+        for row in told.filter(F.col("kind") == _LEXICON).select("blob").toLocalIterator():
+            own = np.frombuffer(row.blob, _OWN)
+            classes[own["rank"]] = own["class"]
+        return classes
+
+    classes = np.full(len(ids), OTHER)
+    classes[: core.num_rows] = of[: core.num_rows]
+    unclassed = step(spark.createDataFrame([], _TOLD_ROWS), classes, None)
+    told, proposed = None, step(unclassed, classes, table)
+    discard(unclassed)
     likelihoods: list[float] = []
     while True:
-        lexicon_now = _top(proposed, LEXICON)
-        contexts = gathered(proposed, lexicon_now, far)
-        table = _bigram_table(contexts.filter("context is not null"))
+        moved = of_lexicon(proposed)
+        table = _bigram_table(over_blocks(proposed, moved, "class int, context int, n bigint",
+                                          lambda block, _: block.bigrams()))
         likelihoods.append(likelihood(table))
         if len(likelihoods) > 1 and likelihoods[-1] <= likelihoods[-2]:
             break
-        if vocabulary:
-            discard(vocabulary)
-        vocabulary, lexicon = proposed, lexicon_now
-        proposed = step(contexts, table)
-        discard(contexts)
-    for left in filter(None, (contexts, proposed, far)):
+        if told:
+            discard(told)
+        told, classes = proposed, moved
+        proposed = step(told, classes, table)
+    named = over_blocks(told, classes, "id bigint, class int", lambda block, _: block.named())
+    vocabulary = save(counted.join(named, "id").select("word", "n", "class"), "lm-vocabulary")
+    for left in (told, proposed, blocks, counted):
         discard(left)
+    ranks.unpersist()
+    lexicon = lexicon.select(["word", "n"]).append_column("class", pa.array(classes, pa.int32()))
     return Model(vocabulary, lexicon, int(total[0]) + size, int(total[1]) + bool(size), size,
                  likelihoods)
 

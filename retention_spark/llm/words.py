@@ -49,10 +49,10 @@ def split(texts: pa.Array) -> Words:
                  np.searchsorted(starts, offsets))
 
 
-def hashes(distinct: pa.Array) -> np.ndarray:
+def hashes(distinct: pa.Array, seed: int = 0) -> np.ndarray:
     """A 64-bit hash of each word."""
     digest = xxhash.xxh3_64_intdigest
-    return np.fromiter((digest(w) for w in distinct.to_pylist()), np.uint64, len(distinct))
+    return np.fromiter((digest(w, seed) for w in distinct.to_pylist()), np.uint64, len(distinct))
 
 
 def mix(x: np.ndarray) -> np.ndarray:
