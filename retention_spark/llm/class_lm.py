@@ -27,11 +27,13 @@ from itertools import pairwise
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import words
-from .shared import discard, save, save_by_key, text_slices
+from .shared import discard, flat_bytes, save, save_by_key, text_slices
 
 CLASSES, CORE, LEXICON = 64, 1000, 200_000
 #: The class of the end of a text, that of all words but the core before the first step, and that of
@@ -48,6 +50,8 @@ _CODE_BITS, _COUNT_BITS = 20, 12
 _CODES, _MOST = (1 << _CODE_BITS) - 1, (1 << _COUNT_BITS) - 1
 #: Words are dealt to blocks, one for so many words of training text; bytes of cells held before they are summed.
 BLOCK, _HELD = 1 << 21, 64 << 20
+#: Words of more bytes are hashed one by one.
+_LONG = 64
 _FAR = np.dtype([("word", "<u8"), ("other", "<u8"), ("side", "u1"), ("n", "<i8")])
 _TOLD = np.dtype([("word", "<u8"), ("context", "u1"), ("n", "<i8")])
 _OWN = np.dtype([("rank", "<i4"), ("class", "u1")])
@@ -55,9 +59,9 @@ _OWN = np.dtype([("rank", "<i4"), ("class", "u1")])
 #: ones, and for the driver the classes of words of the lexicon.
 _STATE, _NEAR, _RARE, _LEXICON = range(4)
 _KINDS = {_STATE: np.dtype("u1"), _NEAR: np.dtype("<u8"), _RARE: _TOLD}
-_COUNTED = "word binary, n bigint, id bigint"
 _PIECE = ["block", "ids", "sizes", "cells", "far"]
-_BLOCKS = "block int, ids binary, sizes binary, cells binary, far binary"
+_BLOBS = [np.dtype("<u8"), np.dtype("<u4"), np.dtype("<u4"), _FAR]
+_ROWS = "block int, ids binary, sizes binary, cells binary, far binary"
 _TOLD_ROWS = "block int, kind int, blob binary"
 
 
@@ -87,24 +91,6 @@ def _with_ends(found: words.Words, values: np.ndarray, end: int) -> tuple[np.nda
     return out, found.first + np.arange(len(found.first))
 
 
-def _core_bigrams(lexicon: pa.Table, core: int):
-    """Counts of neighbours among the core (0 on), the end (`core`) and other words (`core` + 1)."""
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        side = core + 2
-        table = np.zeros(side * side, np.int64)
-        for piece in text_slices(batches, "text", SLICE):
-            found = words.split(piece.column("text"))
-            at = _lookup(found.distinct, lexicon)
-            tokens, first = _with_ends(found, np.where(at < 0, core + 1, at), core)
-            before = np.roll(tokens, 1)
-            before[first[:-1]] = core
-            table += np.bincount(before * side + tokens, minlength=side * side)
-        full = np.flatnonzero(table)
-        yield pa.RecordBatch.from_pydict(
-            {"left": full // side, "right": full % side, "n": table[full]})
-    return count
-
-
 def exchange(bigrams: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS) -> np.ndarray:
     """Classes of the words of a bigram table, most frequent first, its last two rows being the end and other
     words, which keep classes of their own.
@@ -163,11 +149,28 @@ def _joined(rows: pa.Array, kind: np.dtype) -> np.ndarray:
     return np.frombuffer(b"".join(rows.to_pylist()), kind)
 
 
+def _ids(distinct: pa.Array, seed: int) -> np.ndarray:
+    """A 64-bit hash of each word: 8 bytes at a time, long words by themselves."""
+    data, bounds = flat_bytes(distinct)
+    sizes = np.diff(bounds)
+    padded = np.concatenate((data, np.zeros(8, np.uint8)))
+    eights = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+    ids = words.mix(sizes.astype(np.uint64) + np.uint64(seed << 32))
+    for low in range(0, _LONG, 8):
+        here = np.flatnonzero(sizes > low)
+        unused = np.maximum(8 - (sizes[here] - low), 0).astype(np.uint64) * np.uint64(8)
+        part = eights[bounds[here] + low] << unused
+        ids[here] = words.mix(ids[here] ^ part)
+    for i in np.flatnonzero(sizes > _LONG):
+        ids[i] = xxhash.xxh3_64_intdigest(distinct[i].as_py(), seed)
+    return ids
+
+
 def _numbered(seed: int):
     """Add the id of each word: a hash."""
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = words.hashes(batch.column("word"), seed).view(np.int64)
+            ids = _ids(batch.column("word"), seed).view(np.int64)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids)], ["word", "n", "id"])
     return number
 
@@ -221,7 +224,7 @@ def _neighbours(ranks: _Ranks):
         for piece in text_slices(batches, "text", 2 * SLICE):
             found = words.split(piece.column("text"))
             kinds = len(found.distinct)
-            ids = words.hashes(found.distinct, ranks.seed)
+            ids = _ids(found.distinct, ranks.seed)
             order = np.lexsort((ids, ranks.of(ids)))
             place = np.empty(kinds + 1, np.int64)
             place[order], place[kinds] = np.arange(kinds), kinds
@@ -259,7 +262,7 @@ def _neighbours(ranks: _Ranks):
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of `_neighbours` in order of block: one row per block, each word and cell once, words by id."""
-    empty = np.zeros(0, np.uint64), np.zeros(0, np.uint32), np.zeros(0, np.uint32), np.zeros(0, _FAR)
+    empty = tuple(np.zeros(0, kind) for kind in _BLOBS)
 
     def reduced(parts: list[tuple]) -> tuple:
         all_ids, sizes, cells, far = (np.concatenate(x) for x in zip(*parts, strict=True))
@@ -303,6 +306,33 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield row(last, parts)
 
 
+def _core_bigrams(ranks: _Ranks, core: int):
+    """Counts of neighbours among the core (0 on), the end (`core`) and other words (`core` + 1), from rows of
+    `_merge`; all but those of texts without words."""
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        side = core + 2
+        table = np.zeros(side * side, np.int64)
+        known = np.full(len(ranks.ids) + 2, core + 1)
+        known[:core], known[-2] = np.arange(core), core
+        for batch in batches:
+            for blobs in zip(*(batch.column(name) for name in _PIECE[1:]), strict=True):
+                ids, sizes, cells, far = (np.frombuffer(x.as_buffer(), kind) for x, kind in zip(
+                    blobs, _BLOBS, strict=True))
+                rank = ranks.find(ids)
+                word, code = np.repeat(rank, sizes), cells >> _COUNT_BITS
+                other, right = (code >> 1).astype(np.int64), (code & 1).astype(bool)
+                # A word's left neighbours, its ends, and the words of the lexicon to the right of a rarer one.
+                real = ~right | (other == len(ranks.ids)) | (word < 0)
+                first, then = known[np.where(right, word, other)], known[np.where(right, other, word)]
+                table += np.bincount((first * side + then)[real], weights=(cells & _MOST)[real],
+                                     minlength=side * side).astype(np.int64)
+                table[-1] += far["n"][far["side"] == 0].sum()
+        full = np.flatnonzero(table)
+        yield pa.RecordBatch.from_pydict(
+            {"left": full // side, "right": full % side, "n": table[full]})
+    return count
+
+
 class _Block:
     """The words of a block (row of `_merge`), the classes of all, and how often each stands in which
     context: class to the left, or _CONTEXTS + class to the right."""
@@ -310,39 +340,43 @@ class _Block:
     def __init__(self, ranks: _Ranks, lexicon: np.ndarray, block: pa.Table, sent: pa.Table):
         row = block.slice(0, 1).to_pylist()[0]
         self.ids, sizes, cells, self.far = (
-            np.frombuffer(row[name], kind) for name, kind in zip(
-                _PIECE[1:], (np.uint64, np.uint32, np.uint32, _FAR), strict=True))
+            np.frombuffer(row[name], kind) for name, kind in zip(_PIECE[1:], _BLOBS, strict=True))
         self.rank = ranks.find(self.ids)
         told = {kind: _joined(sent.column("blob").filter(pc.equal(sent.column("kind"), kind)), of)
                 for kind, of in _KINDS.items()}
         self.classes = np.where(self.rank >= 0, np.append(lexicon, OTHER)[self.rank], OTHER)
         if len(told[_STATE]):
             self.classes[self.rank < 0] = told[_STATE]
-        code, self.n = (cells >> _COUNT_BITS).astype(np.int64), (cells & _MOST).astype(np.int64)
+        code, self.n = cells >> _COUNT_BITS, cells & _MOST
         self.other, self.side = code >> 1, code & 1
-        self.word = np.repeat(np.arange(len(self.ids)), sizes)
-        # What words beyond the lexicon tell their neighbours here.
+        self.sizes, self.word = sizes, np.repeat(np.arange(len(self.ids)), sizes)
+        known = np.append(lexicon, END)
+        self.context = known[self.other] + self.side * _CONTEXTS
+        # What words beyond the lexicon tell their neighbours here, in order of these.
         by_rank = np.argsort(self.rank, kind="stable")
         near, rare = told[_NEAR], told[_RARE]
-        at = by_rank[np.searchsorted(self.rank[by_rank], near >> np.uint64(46))] if len(near) else near
-        place = [self.word, at.astype(np.int64), np.searchsorted(self.ids, rare["word"])]
-        known = np.append(lexicon, END).astype(np.int64)
-        context = [known[self.other] + self.side * _CONTEXTS,
-                   (near >> np.uint64(38)).astype(np.int64) & 255, rare["context"].astype(np.int64)]
-        counts = [self.n, (near & np.uint64((1 << 38) - 1)).astype(np.int64), rare["n"]]
-        self.place, self.context, self.counts = map(np.concatenate, (place, context, counts))
+        at = np.searchsorted(self.rank[by_rank], (near >> np.uint64(46)).astype(np.int64))
+        place = np.concatenate((by_rank[at] if len(near) else at,
+                                np.searchsorted(self.ids, rare["word"])))
+        context = np.concatenate(((near >> np.uint64(38)).astype(np.int64) & 255, rare["context"]))
+        counts = np.concatenate(((near & np.uint64((1 << 38) - 1)).astype(np.int64), rare["n"]))
+        order = np.argsort(place, kind="stable")
+        self.told = place[order], context[order], counts[order]
 
     def choose(self, gain: np.ndarray) -> None:
         """Move every word to its best class."""
-        order = np.argsort(self.place, kind="stable")
-        place, context, counts = self.place[order], self.context[order], self.counts[order]
         wide, some = 2 * _CONTEXTS, 1 << 13
+        ends = np.concatenate(([0], np.cumsum(self.sizes, dtype=np.int64)))
+        place, context, counts = self.told
         for low in range(0, len(self.ids), some):
             high = min(low + some, len(self.ids))
-            a, b = np.searchsorted(place, (low, high))
-            table = np.bincount((place[a:b] - low) * wide + context[a:b], weights=counts[a:b],
-                                minlength=(high - low) * wide).reshape(-1, wide)
-            self.classes[low:high] = (table @ gain).argmax(axis=1)
+            table = np.zeros((high - low) * wide)
+            for (a, b), at, around, n in (
+                    (ends[[low, high]], self.word, self.context, self.n),
+                    (np.searchsorted(place, (low, high)), place, context, counts)):
+                table += np.bincount((at[a:b] - low) * wide + around[a:b], weights=n[a:b],
+                                     minlength=len(table))
+            self.classes[low:high] = (table.reshape(-1, wide) @ gain).argmax(axis=1)
 
     def tell(self, ranks: _Ranks, block: int) -> pa.Table:
         """The classes, as the next step reads them: those of the block's rare words, those of the lexicon, and
@@ -352,8 +386,9 @@ class _Block:
         own["rank"], own["class"] = self.rank[lexicon], self.classes[lexicon]
         out = [(block, _STATE, self.classes[~lexicon].astype(np.uint8)), (block, _LEXICON, own)]
         rare = ~lexicon[self.word] & (self.other < len(ranks.ids))
-        context = self.classes[self.word[rare]] + (1 - self.side[rare]) * _CONTEXTS
-        keys, counts = _sums(self.other[rare] * 256 + context, self.n[rare])
+        context = self.classes[self.word[rare]] + (1 - self.side[rare].astype(np.int64)) * _CONTEXTS
+        keys, counts = _sums(self.other[rare].astype(np.int64) * 256 + context,
+                             self.n[rare].astype(np.int64))
         near = (keys.astype(np.uint64) << np.uint64(38)) | counts.astype(np.uint64)
         far = np.zeros(len(self.far), _TOLD)
         far["word"], far["n"] = self.far["other"], self.far["n"]
@@ -372,7 +407,10 @@ class _Block:
     def bigrams(self) -> pa.Table:
         """Class and context of the block's words, counted."""
         wide = 2 * _CONTEXTS
-        made = np.bincount(self.classes[self.place] * wide + self.context, weights=self.counts)
+        place, context, counts = self.told
+        made = sum(np.bincount(self.classes[at] * wide + around, weights=n,
+                               minlength=_CONTEXTS * wide)
+                   for at, around, n in ((self.word, self.context, self.n), (place, context, counts)))
         full = np.flatnonzero(made)
         return pa.table({"class": (full // wide).astype(np.int32),
                          "context": (full % wide).astype(np.int32),
@@ -424,39 +462,43 @@ def _top(vocabulary: DataFrame, rows: int) -> pa.Table:
     return vocabulary.orderBy(F.desc("n"), "word").limit(rows).toArrow()
 
 
+def _blocks(texts: DataFrame, ranks: Broadcast, parts: int) -> DataFrame:
+    """The neighbours of all words of `texts`, a row for each block of words."""
+    return save_by_key(texts.mapInArrow(lambda b: _neighbours(ranks.value)(b), _ROWS).repartition(
+        parts, "block").sortWithinPartitions("block").mapInArrow(_merge, _ROWS),
+        "block", parts, "lm-blocks")
+
+
 def fit(docs: DataFrame) -> Model:
     """Count and cluster the words of `docs` (text)."""
     texts, spark = docs.select("text"), docs.sparkSession
-    counted, seed = save(texts.mapInArrow(_count, "word binary, n bigint").groupBy("word").agg(
-        F.sum("n").alias("n")).mapInArrow(_numbered(0), _COUNTED), "lm-counts"), 0
-    total = counted.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1)),
-                        F.count_distinct("id")).first()
-    while total[2] < total[1]:  # two words have the same id
-        seed, shared = seed + 1, counted
-        counted = save(shared.select("word", "n").mapInArrow(_numbered(seed), _COUNTED), "lm-counts")
-        discard(shared)
-        total = *total[:2], counted.agg(F.count_distinct("id")).first()[0]
+    counted = save(texts.mapInArrow(_count, "word binary, n bigint").groupBy("word").agg(
+        F.sum("n").alias("n")), "lm-counts")
+    total = counted.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     size = texts.count()
     lexicon = _top(counted, max(LEXICON, CORE))
-    core = lexicon.slice(0, CORE)
-    wide = core.num_rows + 2
+    parts, seed = int(spark.conf.get("spark.sql.shuffle.partitions")), 0
+    while True:
+        ids = _ids(lexicon.column("word").combine_chunks(), seed)
+        ranks = spark.sparkContext.broadcast(_Ranks(ids, int(total[0]) // BLOCK + 1, seed))
+        blocks = _blocks(texts, ranks, parts)
+        if blocks.agg(F.coalesce(F.sum(F.length("ids")), F.lit(0))).first()[0] == total[1] * ids.itemsize:
+            break
+        discard(blocks)  # two words had the same id
+        seed += 1
+    core = min(lexicon.num_rows, CORE)
+    wide = core + 2
     bigrams = np.zeros((wide, wide))
-    cells = texts.mapInArrow(_core_bigrams(core, core.num_rows),
-                             "left bigint, right bigint, n bigint").groupBy("left", "right").agg(
+    cells = blocks.mapInArrow(lambda b: _core_bigrams(ranks.value, core)(b),
+                              "left bigint, right bigint, n bigint").groupBy("left", "right").agg(
         F.sum("n").alias("n")).toArrow()  # at most CORE + 2 squared rows
     bigrams[cells.column("left").to_numpy(), cells.column("right").to_numpy()] = cells.column(
         "n").to_numpy()
+    bigrams[core, core] = size - bigrams[core].sum()  # texts without words
     of = exchange(bigrams)
     table = np.zeros((_CONTEXTS, _CONTEXTS))
     np.add.at(table, (of[:, None], of[None, :]), bigrams)
 
-    ids = lexicon.column("id").to_numpy().view(np.uint64)
-    ranks = spark.sparkContext.broadcast(_Ranks(ids, int(total[0]) // BLOCK + 1, seed))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    blocks = save_by_key(texts.mapInArrow(lambda b: _neighbours(ranks.value)(b), _BLOCKS).repartition(
-        parts, "block").sortWithinPartitions("block").mapInArrow(_merge, _BLOCKS),
-        "block", parts, "lm-blocks")
-
     def over_blocks(told: DataFrame, classes: np.ndarray, schema: str, result) -> DataFrame:
         """What `result` makes of each block, after what the step before told it."""
         def run(block: pa.Table, sent: pa.Table) -> pa.Table:
@@ -481,7 +523,7 @@ def fit(docs: DataFrame) -> Model:
         return classes
 
     classes = np.full(len(ids), OTHER)
-    classes[: core.num_rows] = of[: core.num_rows]
+    classes[:core] = of[:core]
     unclassed = step(spark.createDataFrame([], _TOLD_ROWS), classes, None)
     told, proposed = None, step(unclassed, classes, table)
     discard(unclassed)
@@ -498,7 +540,8 @@ def fit(docs: DataFrame) -> Model:
         told, classes = proposed, moved
         proposed = step(told, classes, table)
     named = over_blocks(told, classes, "id bigint, class int", lambda block, _: block.named())
-    vocabulary = save(counted.join(named, "id").select("word", "n", "class"), "lm-vocabulary")
+    numbered = counted.mapInArrow(_numbered(seed), "word binary, n bigint, id bigint")
+    vocabulary = save(numbered.join(named, "id").select("word", "n", "class"), "lm-vocabulary")
     for left in (told, proposed, blocks, counted):
         discard(left)
     ranks.unpersist()
@@ -567,10 +610,10 @@ def _ngram_codes(row: np.ndarray) -> np.ndarray:
 def _trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     table = np.zeros((UNKNOWN + 1) ** 3, np.int64)
     for batch in batches:
-        for classes in batch.column("classes").to_pylist():
-            codes, counts = np.unique(_ngram_codes(np.frombuffer(classes, np.uint8)),
-                                      return_counts=True)
-            table[codes] += counts
+        for low in range(0, batch.num_rows, 256):
+            codes = [_ngram_codes(np.frombuffer(classes, np.uint8))
+                     for classes in batch.column("classes").slice(low, 256).to_pylist()]
+            table += np.bincount(np.concatenate(codes), minlength=len(table))
     full = np.flatnonzero(table)
     yield pa.RecordBatch.from_pydict({"code": full, "n": table[full]})
 

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 
 from retention_spark.llm import class_lm
 
@@ -128,3 +129,34 @@ def test_clustering_knows_every_neighbour_and_goes_on_while_the_likelihood_rises
         assert len(values) >= 2 and values[-1] <= values[-2]
         assert math.isclose(_value(rows, found[-1]), values[-2], rel_tol=1e-9)
     assert found[0] == found[1]
+
+
+def test_steps_do_not_read_the_text_again(docs_of, spark, monkeypatch):
+    """Nor do results depend on how words are dealt to blocks."""
+    monkeypatch.setattr(class_lm, "CORE", 10)
+    monkeypatch.setattr(class_lm, "LEXICON", 10)
+    rows, found = _corpus(), []
+    for block in (1 << 21, 2000):
+        monkeypatch.setattr(class_lm, "BLOCK", block)
+        read = spark.sparkContext.accumulator(0)
+
+        def counted(batches, read=read):
+            for batch in batches:
+                read.add(batch.num_rows)
+                yield batch
+
+        docs = docs_of(rows).select("text").mapInArrow(counted, "text string")
+        model = class_lm.fit(docs)
+        assert len(model.likelihoods) >= 2
+        assert read.value == 3 * len(rows)  # words, texts, neighbours
+        found.append({bytes(r.word): (r.n, r["class"]) for r in model.vocabulary.collect()})
+    assert found[0] == found[1]
+
+
+def test_different_words_have_different_ids():
+    some = sorted({bytes(x) for n in (1, 7, 8, 9, 16, 63, 64, 65, 200)
+                   for x in (b"a" * n, b"a" * (n - 1) + b"b", b"a" * (n - 1) + bytes(1), b"b" + b"a" * (n - 1))})
+    ids = class_lm._ids(pa.array(some, pa.binary()), 0)
+    assert len(set(ids.tolist())) == len(some)
+    assert class_lm._ids(pa.array(some[::-1], pa.large_binary()), 0).tolist() == ids[::-1].tolist()
+    assert not set(ids.tolist()) & set(class_lm._ids(pa.array(some, pa.binary()), 1).tolist())
