@@ -5,15 +5,18 @@ that of each word given its class. Classes come from exchange clustering: a word
 class that raises the likelihood of the class bigrams most.
 
 1. Words are counted over all training text (combined by piece of the table before the shuffle).
-2. Exchange proper runs over the CORE most frequent words, whose bigrams fill a table of fixed size;
+2. Each word's neighbours are counted over all training text, once, into blocks of words, dealt by the hash
+   that is a word's id (another seed is taken if two words share one). A block names neighbours by their rank
+   among the LEXICON most frequent words; those of rarer words it has for rarer words only.
+3. Exchange proper runs over the CORE most frequent words, whose bigrams fill a table of fixed size;
    all other words are one fixed class there.
-3. A step then takes every word to its best class at once, by the classes to its left and right over
-   all training text. Only the core has classes at first; from the first step on every neighbour counts
-   with its own, those of the LEXICON most frequent words, a bounded table that tasks are sent, and those
-   of all others, which are joined. Steps go on until the likelihood of the class bigrams stops
+4. A step then takes every word to its best class at once, by the classes to its left and right.
+   Only the core has classes at first; from the first step on every neighbour counts with its own, those
+   of the lexicon, a bounded table that tasks are sent, and those of rarer words, which their block tells
+   the blocks of their neighbours. Steps go on until the likelihood of the class bigrams stops
    rising; a step that doesn't raise it is taken back.
-4. Texts become sequences of classes. Words beyond the lexicon are looked up by a join.
-5. Class trigrams are counted over all training sequences, a table of fixed size, and texts are scored.
+5. Texts become sequences of classes. Words beyond the lexicon are looked up by a join.
+6. Class trigrams are counted over all training sequences, a table of fixed size, and texts are scored.
 
 Every word counts towards classes, counts and scores, however rare it is.
 """
@@ -221,7 +224,7 @@ def _neighbours(ranks: _Ranks):
     which name a neighbour of the lexicon or the end of the text, and pairs of words that the lexicon lacks."""
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         end = len(ranks.ids)
-        for piece in text_slices(batches, "text", 2 * SLICE):
+        for piece in text_slices(batches, "text", SLICE):
             found = words.split(piece.column("text"))
             kinds = len(found.distinct)
             ids = _ids(found.distinct, ranks.seed)
@@ -239,6 +242,7 @@ def _neighbours(ranks: _Ranks):
                 near.append((token[real] << _CODE_BITS) | rank[other[real]] * 2 | side)
                 real = (token < kinds) & (rank[other] < 0) & (rank[token] < 0)
                 far.append((token[real] * 2 + side) * kinds + other[real])
+            del token, before, after, real, other
             keys, counts = np.unique(np.concatenate(near), return_counts=True)
             cells, of = _cells(keys, counts)
             word = keys[of] >> _CODE_BITS
